@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exchange, html_extract, license_scan, mixing, quality, simhash, suffix_dedup, url_filter
+from . import decontaminate, exchange, html_extract, license_scan, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scoring.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -57,7 +62,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op3_simhash, op4_url_filter, op5_suffix_dedup, op6_mixing, op7_license_scan, op8_decontaminate, op9_quality)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_html_extract, op3_simhash, op4_url_filter, op5_suffix_dedup, op6_mixing, op7_license_scan, op8_decontaminate, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
