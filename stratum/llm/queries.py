@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exchange, html_extract, license_scan, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
+from . import decontaminate, exchange, html_extract, license_scan, lm_scoring, mixing, quality, simhash, suffix_dedup, token_output, url_filter
+
+#: A public byte-level BPE vocabulary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +64,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.materialise(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_html_extract, op3_simhash, op4_url_filter, op5_suffix_dedup, op6_mixing, op7_license_scan, op8_decontaminate, op9_quality)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_html_extract, op3_simhash, op4_url_filter, op5_suffix_dedup, op6_mixing, op7_license_scan, op8_decontaminate, op9_quality, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
