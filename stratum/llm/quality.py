@@ -121,5 +121,7 @@ def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFr
     aside = {c: f"_held_{c}" for c in docs.columns if c in OWN and c != text}
     narrow = features(docs.select(F.col(text).alias("text")), "text").drop("text")
     found = features(docs.withColumnsRenamed(aside), text)
-    kept = judge(found, least, counted=narrow).where("kept")
+    # a generator and no filter: a filter would be pushed below the features and repeat their expressions
+    once = F.explode(F.expr("if(kept, array(1), cast(array() as array<int>))")).alias("_once")
+    kept = judge(found, least, counted=narrow).select("*", once).drop("_once")
     return kept.drop(*OWN).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
