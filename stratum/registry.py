@@ -1,11 +1,309 @@
-"""Queries over the knowledge base, one per operator family, and their SQL."""
+"""Queries over the derived knowledge base, one per operator family, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import build as B
+from .operators import candidates as C
+from .operators import graph as G
+from .operators import lookup as L
+from .operators import scores as S
+from .plans import search_space as P
+from .sources import derived as D
+from .sources import readers
+
+_bases: dict[tuple[str, str], B.KnowledgeBase] = {}
+
+
+def base(spark: SparkSession, sf_dir: str) -> B.KnowledgeBase:
+    """The knowledge base over a folder of tables; its index is built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bases:
+        for old in [k for k in _bases if k[0] == key[0]]:
+            _bases.pop(old).release()
+        _bases[key] = B.KnowledgeBase(D.facts(spark, sf_dir), D.texts(spark, sf_dir))
+    return _bases[key]
+
+
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several steps read: computed once, kept in memory and on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        for old in [k for k in _tables if k[0] == key[0] and k[1] != sf_dir]:
+            _tables.pop(old).unpersist()
+        _tables[key] = make().persist()
+    return _tables[key]
+
+
+def word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    """(word, vec): a word's vector is the embedding that its hash falls on."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n = emb.count()
+    spot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % n
+    return words.select("word").distinct().withColumn("vec_id", spot).join(emb, "vec_id").select("word", "vec")
+
+
+def _items(kb: B.KnowledgeBase, *spaces: str) -> DataFrame:
+    wanted = [D.SPACES[s] for s in spaces]
+    return kb.texts.select("item").where(F.substring("item", 2, 1).cast("int").isin(wanted) & (F.length("item") == 11))
+
+
+def _pairs(kb: B.KnowledgeBase, left: str, right: str) -> DataFrame:
+    """All pairs of two spaces of which the second is a fixed handful, told to the optimizer as such."""
+    others = F.array(*[F.lit(r[0]) for r in _items(kb, right).collect()])
+    return _items(kb, left).select(F.col("item").alias("i1"), F.explode(others).alias("i2"))
+
+
+def _joined(x: str):
+    return F.array_join(x, "|").alias("fact")
+
+
+def kb_facts(spark, sf_dir):
+    return base(spark, sf_dir).facts.select("subject", "predicate", "object", _joined("items"))
+
+
+def kb_qualifiers(spark, sf_dir):
+    rows = base(spark, sf_dir).facts.select("predicate", F.explode("qualifiers").alias("q"))
+    return rows.groupBy("predicate", F.col("q.p").alias("qualifier")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("q.v").alias("n_values"))
+
+
+def kb_dictionary(spark, sf_dir):
+    return B.dictionary(base(spark, sf_dir).facts)
+
+
+def kb_adjacency(spark, sf_dir):
+    return base(spark, sf_dir).adj.groupBy("item").agg(F.count(F.lit(1)).alias("n_neighbors"), F.min("neighbor").alias("first_neighbor"), F.max("neighbor").alias("last_neighbor"))
+
+
+def kb_statistics(spark, sf_dir):
+    return B.statistics(base(spark, sf_dir).facts)
+
+
+def frequency(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return L.frequency(kb, kb.texts.select("item"))
+
+
+def is_known(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return L.known(kb, kb.texts.select("item").union(spark.createDataFrame([("Q1",), ("P31",), ("P9",)], "item string")))
+
+
+def labels(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    some = spark.createDataFrame([('"2018-07-15T00:00:00Z"',), ('"2018-01-01T00:00:00Z"',), ("Q1",), ("12",)], "item string")
+    out = L.names(kb, kb.texts.select("item").union(some))
+    return out.select("item", F.array_join("labels", "|").alias("labels"), F.array_join("aliases", "|").alias("aliases"), "description", "label")
+
+
+def types(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return L.types(kb, kb.texts.select("item")).select("item", "type_id")
+
+
+def top_type(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return L.top_type(kb, kb.texts.select("item"))
+
+
+def neighborhood(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.neighborhood(kb, _items(kb, "nation", "supplier", "customer"), None).select("item", F.when(F.col("pos") == 0, "s").otherwise("o").alias("side"), _joined("items"))
+
+
+def neighborhood_pruned(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.neighborhood(kb, _items(kb, "region", "nation", "supplier", "class"), 100).select("item", F.when(F.col("pos") == 0, "s").otherwise("o").alias("side"), _joined("items"))
+
+
+def two_hop(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    out = G.two_hop(kb, _items(kb, "region"), 1000)
+    return out.groupBy("start", "hop", "via").agg(F.count(F.lit(1)).alias("n_facts"), F.min(F.array_join("items", "|")).alias("first_fact"))
+
+
+def connectivity(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.connectivity(kb, _pairs(kb, "supplier", "nation").union(_pairs(kb, "supplier", "region")))
+
+
+def connect_1hop(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.one_hop_paths(kb, _pairs(kb, "customer", "nation")).select("i1", "i2", _joined("items"))
+
+
+def connect_2hop(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.two_hop_paths(kb, _pairs(kb, "supplier", "region"))
+
+
+def distance(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.distance(kb, _pairs(kb, "region", "class"))
+
+
+def _tuples(kb: B.KnowledgeBase) -> DataFrame:
+    """A tuple for every nation: itself and its customers' class."""
+    nation = _items(kb, "nation").select(F.col("item").alias("tid"))
+    return nation.select("tid", F.explode(F.array("tid", F.lit("Q7000000002"), F.lit("Q7000000004"))).alias("item"))
+
+
+def search_space_union(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.search_space_of(kb, _tuples(kb), 1000).groupBy("tid", "item").agg(F.count(F.lit(1)).alias("n_facts"))
+
+
+def connected_space(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.connected_space(kb, _tuples(kb), None).select("tid", "item", _joined("items"))
+
+
+def context_graph(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    out = G.context_graph(kb, _tuples(kb), 100)
+    return out.groupBy("tid").agg(F.count(F.lit(1)).alias("n_facts"), F.countDistinct("fact_id").alias("n_distinct"))
+
+
+def _words(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("label")).distinct()
+    questions = _held(spark, sf_dir, "questions", lambda: D.questions(spark, sf_dir))
+    return kb, questions, _held(spark, sf_dir, "words", lambda: C.question_words(questions, names))
+
+
+def _found(spark, sf_dir):
+    kb, _, words = _words(spark, sf_dir)
+    found = _held(spark, sf_dir, "candidates", lambda: C.candidates(kb, words))
+    return found, _held(spark, sf_dir, "pairs", lambda: S.candidate_pairs(found))
+
+
+def question_words(spark, sf_dir):
+    return _words(spark, sf_dir)[2]
+
+
+def candidates(spark, sf_dir):
+    return _found(spark, sf_dir)[0].select("qid", "widx", "word", "rank", "item", C.matching(F.col("rank")).alias("match"))
+
+
+def auto_k(spark, sf_dir):
+    kb, _, words = _words(spark, sf_dir)
+    return C.auto_k(kb, _found(spark, sf_dir)[0], words)
+
+
+def dynamic_p(spark, sf_dir):
+    settings = ["DYNAMIC1", "DYNAMIC2", "DYNAMIC3", "DYNAMIC4", "DYNAMIC5", "DYNAMIC6", "1000"]
+    ks = spark.range(1, 5).withColumnRenamed("id", "k")
+    out = None
+    for s in settings:
+        one = ks.select(F.lit(s).alias("setting"), "k", C.dynamic_p(s, F.col("k")).alias("p"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _vectors(spark, sf_dir):
+    """(word vectors, item vectors) of what questions and candidates say."""
+    kb, _, words = _words(spark, sf_dir)
+    found = _found(spark, sf_dir)[0]
+    named = kb.texts.join(found.select("item").distinct(), "item", "left_semi")
+    spoken = named.select(F.explode(F.split(F.lower(F.get("labels", F.lit(0))), " +")).alias("word")).union(words.select(F.explode(F.split("word", " +"))))
+    vec = _held(spark, sf_dir, "word_vectors", lambda: word_vectors(spark, sf_dir, spoken))
+    return vec, _held(spark, sf_dir, "item_vectors", lambda: S.item_vectors(kb, found, vec))
+
+
+def _scored(spark, sf_dir):
+    """Words and the candidates with all their scores."""
+    kb, questions, words = _words(spark, sf_dir)
+    found, pairs = _found(spark, sf_dir)
+    vec, items = _vectors(spark, sf_dir)
+    rows = _held(spark, sf_dir, "scored", lambda: P.scored(kb, words, vec, found=found, vectors=items, pairs=pairs))
+    return kb, questions, words, rows
+
+
+def _chosen(spark, sf_dir):
+    kb, questions, words, rows = _scored(spark, sf_dir)
+    return kb, questions, P.selected(kb, words, P.weighted(rows, P.Parameters()), P.Parameters())
+
+
+def relevance(spark, sf_dir):
+    words, (vec, items) = _words(spark, sf_dir)[2], _vectors(spark, sf_dir)
+    return S.relevance(_found(spark, sf_dir)[0], words, vec, items)
+
+
+def connectivity_score(spark, sf_dir):
+    kb, _, words = _words(spark, sf_dir)
+    found, pairs = _found(spark, sf_dir)
+    return S.single_score(found, words, S.connectivity_edges(kb, pairs), "conn")
+
+
+def coherence_score(spark, sf_dir):
+    words, (found, pairs) = _words(spark, sf_dir)[2], _found(spark, sf_dir)
+    return S.single_score(found, words, S.coherence_edges(pairs, _vectors(spark, sf_dir)[1]), "coh")
+
+
+def topk(spark, sf_dir):
+    out = _chosen(spark, sf_dir)[2]
+    return out.select("qid", "widx", "item", "match", "rel", "conn", "coh", F.bround("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
+
+
+def search_space(spark, sf_dir):
+    """The flagship: questions to the facts of their best items."""
+    kb, _, chosen = _chosen(spark, sf_dir)
+    return P.search_space(kb, chosen).select("qid", "widx", F.col("place").cast("int").alias("place"), "item", _joined("items"))
+
+
+def answer_presence(spark, sf_dir):
+    kb, questions, chosen = _chosen(spark, sf_dir)
+    return P.evaluate(P.search_space(kb, chosen), questions)
+
+
+def benchmark_summary(spark, sf_dir):
+    kb, questions, words, rows = _scored(spark, sf_dir)
+    return P.sweep(kb, words, questions, rows)
+
+
+def bm25(spark, sf_dir):
+    """Pages of facts about a nation's suppliers and customers, asked for by the nation's name."""
+    kb = base(spark, sf_dir)
+    texts = kb.texts.where("item like 'Q3%' or item like 'Q4%'").select(F.col("item").alias("did"), F.concat_ws(" ", F.get("labels", F.lit(0)), "description").alias("text"))
+    where = kb.facts.where("predicate = 'P17'").select(F.col("subject").alias("did"), F.col("object").alias("qid"))
+    nation = kb.texts.where("item like 'Q2%'").select(F.col("item").alias("qid"), F.concat(F.lit("which HOUSEHOLD MACHINERY in "), F.get("labels", F.lit(0))).alias("question"))
+    out = P.bm25(texts.join(where, "did"), nation, 20)
+    return out.select("qid", "did", F.bround("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
+
+
+def flat_list(spark, sf_dir):
+    """Facts written as a flat list and read back."""
+    facts = base(spark, sf_dir).facts.where("predicate in ('P361', 'P17', 'P31')")
+    numbered = facts.select(F.concat_ws("|", "predicate", "subject").alias("k"), F.posexplode("items").alias("i", "item")).select(F.struct("k", "i").alias("pos"), "item")
+    return readers.parse_flat(numbered).select(_joined("items"))
+
+
+def date_labels(spark, sf_dir):
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00:00Z"')).alias("item")).distinct()
+    label = X.timestamp_label(F.col("item"))
+    back = F.when(X.is_date(label), X.date_to_timestamp(label)).otherwise(X.year_to_timestamp(label))
+    return days.select("item", label.alias("label"), X.year_of(F.col("item")).alias("year"), back.alias("timestamp"))
+
+
+_ALL = (
+    kb_facts, kb_qualifiers, kb_dictionary, kb_adjacency, kb_statistics, frequency, is_known, labels, types, top_type, neighborhood, neighborhood_pruned, two_hop, connectivity, connect_1hop, connect_2hop, distance,
+    search_space_union, connected_space, context_graph, question_words, candidates, auto_k, dynamic_p, relevance, connectivity_score, coherence_score, topk, search_space, answer_presence, benchmark_summary, bm25, flat_list, date_labels,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)
