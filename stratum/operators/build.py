@@ -98,10 +98,11 @@ class KnowledgeBase:
     freq: DataFrame = field(init=False)
 
     def __post_init__(self):
+        self.texts = self.texts.persist()
         self.index = fact_items(self.facts).persist()
         self.adj = adjacency(self.facts).persist()
         self.freq = frequencies(self.index).persist()
 
     def release(self) -> None:
-        for df in (self.index, self.adj, self.freq):
+        for df in (self.texts, self.index, self.adj, self.freq):
             df.unpersist()

@@ -57,7 +57,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(df, item, label, alias=None, description=None):
         return df.select(item.alias("item"), F.array(label).alias("labels"), (F.array(alias) if alias is not None else empty).alias("aliases"), (description if description is not None else none).alias("description"))
 
-    classes = spark.createDataFrame([(i + 1, n) for i, n in enumerate(CLASSES)], "k long, n string")
+    classes = spark.range(1, len(CLASSES) + 1, 1, 1).select(F.col("id").alias("k"), F.element_at(F.array(*map(F.lit, CLASSES)), F.col("id").cast("int")).alias("n"))
     parts = [
         make(t("region"), entity("region", F.col("r_regionkey")), F.col("r_name")),
         make(t("nation"), entity("nation", F.col("n_nationkey")), F.col("n_name")),
