@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import with_items
+from ..sources.store import keep
 from ..sources.readers import ENTITY, LITERAL_LIMIT, PREDICATE
 
 
@@ -51,7 +52,7 @@ def dictionary(facts: DataFrame) -> DataFrame:
     Ranks come from a range sort and per-partition counts, not from one global window.
     """
     ordered = nodes(facts).repartitionByRange("kind", "item").sortWithinPartitions("kind", "item").withColumn("part", F.spark_partition_id())
-    ordered = ordered.persist()
+    ordered = keep(ordered)
     counts = ordered.groupBy("kind", "part").count()
     before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("kind", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -89,7 +90,7 @@ def statistics(facts: DataFrame) -> DataFrame:
 
 @dataclass
 class KnowledgeBase:
-    """The core tables. ``build`` persists what most lookups share; it spills to disk where memory is short."""
+    """The core tables, written once; the index is clustered by item, so lookups skip most of it."""
 
     facts: DataFrame
     texts: DataFrame
@@ -98,11 +99,7 @@ class KnowledgeBase:
     freq: DataFrame = field(init=False)
 
     def __post_init__(self):
-        self.texts = self.texts.persist()
-        self.index = fact_items(self.facts).persist()
-        self.adj = adjacency(self.facts).persist()
-        self.freq = frequencies(self.index).persist()
-
-    def release(self) -> None:
-        for df in (self.texts, self.index, self.adj, self.freq):
-            df.unpersist()
+        self.facts, self.texts = keep(self.facts), keep(self.texts)
+        self.index = keep(fact_items(self.facts).repartition("item").sortWithinPartitions("item", "fact_id"))
+        self.adj = keep(adjacency(self.facts))
+        self.freq = keep(frequencies(self.index))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import keep
 from .build import KnowledgeBase
 
 MAX_DEPTH = 7
@@ -38,15 +39,14 @@ def connectivity(kb: KnowledgeBase, pairs: DataFrame) -> DataFrame:
     """
     pairs = pairs.select("i1", "i2").distinct()
     wanted = pairs.select(F.col("i1").alias("item")).union(pairs.select(F.col("i2").alias("item"))).distinct()
-    near = kb.adj.join(wanted, "item", "left_semi")
+    near = keep(kb.adj.join(wanted, "item", "left_semi"))  # read four times
     straight = pairs.join(near.select(F.col("item").alias("i1"), F.col("neighbor").alias("i2")), ["i1", "i2"])
-    back = pairs.join(near.select(F.col("item").alias("i2"), F.col("neighbor").alias("i1")), ["i1", "i2"])
-    ones = straight.unionByName(back).distinct()
-    rest = pairs.join(ones, ["i1", "i2"], "left_anti")
-    a = rest.join(near.select(F.col("item").alias("i1"), "neighbor"), "i1")
-    halves = a.join(near.select(F.col("item").alias("i2"), "neighbor"), ["i2", "neighbor"]).select("i1", "i2").distinct()
-    scored = ones.withColumn("connectivity", F.lit(1.0)).unionByName(halves.withColumn("connectivity", F.lit(0.5)))
-    return pairs.join(scored, ["i1", "i2"], "left").fillna(0.0, ["connectivity"])
+    back = pairs.join(near.select(F.col("item").alias("i2"), F.col("neighbor").alias("i1")), ["i1", "i2"]).select("i1", "i2")
+    ones = straight.unionByName(back).withColumn("w", F.lit(1.0))
+    a = pairs.join(near.select(F.col("item").alias("i1"), "neighbor"), "i1")
+    halves = a.join(near.select(F.col("item").alias("i2"), "neighbor"), ["i2", "neighbor"]).select("i1", "i2", F.lit(0.5).alias("w"))
+    none = pairs.withColumn("w", F.lit(0.0))
+    return ones.unionByName(halves).unionByName(none).groupBy("i1", "i2").agg(F.max("w").alias("connectivity"))
 
 
 def one_hop_paths(kb: KnowledgeBase, pairs: DataFrame) -> DataFrame:
@@ -75,14 +75,13 @@ def distance(kb: KnowledgeBase, pairs: DataFrame, max_depth: int = MAX_DEPTH) ->
     Breadth first from all i1 at once; a level that reaches nothing new, or all pairs, ends it.
     """
     pairs = pairs.select("i1", "i2").distinct()
-    seen = pairs.select("i1").distinct().join(kb.adj.select(F.col("item").alias("i1"), F.col("neighbor").alias("at")), "i1").withColumn("d", F.lit(1)).persist()
-    held, front = [seen], seen
+    seen = keep(pairs.select("i1").distinct().join(kb.adj.select(F.col("item").alias("i1"), F.col("neighbor").alias("at")), "i1").withColumn("d", F.lit(1)))
+    front = seen
     for depth in range(2, max_depth + 1):
         if pairs.join(seen.select("i1", F.col("at").alias("i2")), ["i1", "i2"], "left_anti").isEmpty():
             break
         step = front.select("i1", F.col("at").alias("item")).join(kb.adj, "item").select("i1", F.col("neighbor").alias("at")).distinct()
-        front = step.join(seen.select("i1", "at"), ["i1", "at"], "left_anti").withColumn("d", F.lit(depth)).persist()
-        held.append(front)
+        front = keep(step.join(seen.select("i1", "at"), ["i1", "at"], "left_anti").withColumn("d", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import keep
 from .build import KnowledgeBase
 from .graph import connectivity
 
@@ -84,11 +85,13 @@ def tuple_score(edges: DataFrame, tuples: DataFrame) -> DataFrame:
 
 def graph_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(qid, item, root): smallest label spread along the edges until nothing changes."""
-    both = edges.select("qid", F.col("i1").alias("a"), F.col("i2").alias("b")).union(edges.select("qid", F.col("i2"), F.col("i1"))).persist()
-    now = both.select("qid", F.col("a").alias("item")).distinct().withColumn("root", F.col("item")).persist()
+    both = edges.select("qid", F.col("i1").alias("a"), F.col("i2").alias("b")).union(edges.select("qid", F.col("i2"), F.col("i1")))
+    both = keep(both)
+    now = both.select("qid", F.col("a").alias("item")).distinct().withColumn("root", F.col("item"))
     for _ in range(rounds):
         near = both.join(now, (both["qid"] == now["qid"]) & (both["b"] == now["item"])).select(both["qid"], F.col("a").alias("item"), "root")
-        new = now.union(near).groupBy("qid", "item").agg(F.min("root").alias("root")).persist()
+        new = now.union(near).groupBy("qid", "item").agg(F.min("root").alias("root"))
+        new = keep(new)
         changed = not new.join(now, ["qid", "item", "root"], "left_anti").isEmpty()
         now = new
         if not changed:

@@ -12,6 +12,7 @@ from ..operators import candidates as C
 from ..operators import graph as G
 from ..operators import scores as S
 from ..operators.build import KnowledgeBase
+from ..sources.store import keep
 
 
 @dataclass(frozen=True)
@@ -34,13 +35,13 @@ PRESETS = [replace(_SWEEP, k="AUTO", p=1000), replace(_SWEEP, k=1, p=10000), rep
 
 def scored(kb: KnowledgeBase, words: DataFrame, word_vec: DataFrame, d: int = 20, found: DataFrame | None = None, vectors: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(qid, widx, word, rank, item, match, rel, conn, coh) of every candidate; given tables are not made anew."""
-    found = C.candidates(kb, words, d).persist() if found is None else found
-    vectors = S.item_vectors(kb, found, word_vec).persist() if vectors is None else vectors
+    found = keep(C.candidates(kb, words, d)) if found is None else found
+    vectors = keep(S.item_vectors(kb, found, word_vec)) if vectors is None else vectors
     pairs = S.candidate_pairs(found) if pairs is None else pairs
     key = ["qid", "widx", "item"]
-    conn = S.single_score(found, words, S.connectivity_edges(kb, pairs), "conn")
-    coh = S.single_score(found, words, S.coherence_edges(pairs, vectors), "coh")
-    rel = S.relevance(found, words, word_vec, vectors)
+    conn = keep(S.single_score(found, words, keep(S.connectivity_edges(kb, pairs)), "conn"))
+    coh = keep(S.single_score(found, words, keep(S.coherence_edges(pairs, vectors)), "coh"))
+    rel = keep(S.relevance(found, words, word_vec, vectors))
     return found.withColumn("match", C.matching(F.col("rank"))).join(rel, key).join(conn, key).join(coh, key)
 
 

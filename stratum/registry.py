@@ -16,6 +16,7 @@ from .operators import scores as S
 from .plans import search_space as P
 from .sources import derived as D
 from .sources import readers
+from .sources.store import keep
 
 _bases: dict[tuple[str, str], B.KnowledgeBase] = {}
 
@@ -25,7 +26,7 @@ def base(spark: SparkSession, sf_dir: str) -> B.KnowledgeBase:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _bases:
         for old in [k for k in _bases if k[0] == key[0]]:
-            _bases.pop(old).release()
+            _bases.pop(old)
         _bases[key] = B.KnowledgeBase(D.facts(spark, sf_dir), D.texts(spark, sf_dir))
     return _bases[key]
 
@@ -34,12 +35,12 @@ _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several steps read: computed once, kept in memory and on disk."""
+    """A table that several steps read: computed and written once."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
         for old in [k for k in _tables if k[0] == key[0] and k[1] != sf_dir]:
-            _tables.pop(old).unpersist()
-        _tables[key] = make().persist()
+            _tables.pop(old)
+        _tables[key] = keep(make())
     return _tables[key]
 
 
@@ -240,12 +241,12 @@ def relevance(spark, sf_dir):
 def connectivity_score(spark, sf_dir):
     kb, _, words = _words(spark, sf_dir)
     found, pairs = _found(spark, sf_dir)
-    return S.single_score(found, words, S.connectivity_edges(kb, pairs), "conn")
+    return S.single_score(found, words, keep(S.connectivity_edges(kb, pairs)), "conn")
 
 
 def coherence_score(spark, sf_dir):
     words, (found, pairs) = _words(spark, sf_dir)[2], _found(spark, sf_dir)
-    return S.single_score(found, words, S.coherence_edges(pairs, _vectors(spark, sf_dir)[1]), "coh")
+    return S.single_score(found, words, keep(S.coherence_edges(pairs, _vectors(spark, sf_dir)[1])), "coh")
 
 
 def topk(spark, sf_dir):
