@@ -20,12 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there; partitions and their order stay."""
+    """Write ``df`` to the shared folder and go on from there; partitions and their order stay.
+
+    Where the caller keeps no other reference to ``df``, the shuffle files behind it go now.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
+    del df
     release(spark)
     return out
 

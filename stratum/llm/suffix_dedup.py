@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import arrays, exchange
 
 #: A perfect difference set: every residue but 0 is the difference of exactly one pair.
-PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
+PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 assert len({(a - b) % PERIOD for a in COVER for b in COVER}) == PERIOD
 
 
@@ -343,10 +343,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = exchange.partitions(spark)
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     shelves = exchange.cut(narrow.mapInArrow(_shelve(n, length), _BLOCK).repartition(n, "bucket"))
-    samples = exchange.by_bucket(shelves.mapInArrow(_sample_ranks(n, width), _BLOCK), n)
-    shared = exchange.cut(samples.mapInArrow(_shared_ranks, _BLOCK))
-    keys = shelves.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffix_keys(n, length, width), _BLOCK)
-    repeats = exchange.cut(exchange.by_bucket(keys, n).mapInArrow(_repeats, _BLOCK))
+    # no name for what lies before a cut, so that its shuffle files can go
+    shared = exchange.cut(exchange.by_bucket(shelves.mapInArrow(_sample_ranks(n, width), _BLOCK), n).mapInArrow(_shared_ranks, _BLOCK))
+    repeats = exchange.cut(exchange.by_bucket(shelves.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffix_keys(n, length, width), _BLOCK), n).mapInArrow(_repeats, _BLOCK))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return shelves.groupBy("bucket").cogroup(shared.unionByName(repeats).groupBy("bucket")).applyInArrow(_finish(n, length, width, names, keep_text), schema)
