@@ -36,13 +36,14 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; partitions and their order stay.
 
-    Where the caller keeps no other reference to ``df``, the shuffle files behind it go now.
+    The shuffle files made on the way go at once; the files that remain need none of them.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
-    out = df.checkpoint(eager=True)
+    with dropping_shuffles(spark):
+        out = df.select("*").checkpoint(eager=True)  # a query of its own, so that it takes the setting up
     del df
     release(spark)
     return out
