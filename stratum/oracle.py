@@ -55,7 +55,7 @@ pe AS (SELECT ph, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pw JOIN wv
 pm AS (SELECT ph, i, avg(x) AS x FROM pe GROUP BY ph, i),
 pv AS MATERIALIZED (SELECT ph, list(x ORDER BY i) AS v, sqrt(sum(x * x)) AS nm FROM pm GROUP BY ph),
 iv AS MATERIALIZED (SELECT t.item, p.v, p.nm FROM txt t JOIN pv p ON p.ph = t.label WHERE t.item IN (SELECT item FROM top20)),
-rel AS MATERIALIZED (SELECT c.qid, c.widx, c.item, coalesce(round_even(avg(list_inner_product(a.v, b.v) / (a.nm * b.nm)), 4), 0) AS rel
+rel AS MATERIALIZED (SELECT c.qid, c.widx, c.item, coalesce(round_even(avg(list_inner_product(a.v, b.v) / (a.nm * b.nm)), 4) + 0.0, 0) AS rel
   FROM cand c LEFT JOIN iv a ON a.item = c.item LEFT JOIN wd o ON o.qid = c.qid AND o.widx <> c.widx LEFT JOIN pv b ON b.ph = o.word GROUP BY ALL)"""
 
 _PAIRS = """pr AS MATERIALIZED (SELECT DISTINCT a.qid, least(a.item, b.item) AS i1, greatest(a.item, b.item) AS i2 FROM cand a JOIN cand b ON a.qid = b.qid AND a.widx < b.widx),
@@ -75,7 +75,7 @@ def _single(edges: str, out: str) -> str:
 {out}_cr AS (SELECT n.qid, n.item, n.w, unnest(list_distinct(list_concat(a.ws, b.ws))) AS i FROM {out}_nb n JOIN nw a ON a.qid = n.qid AND a.item = n.item JOIN nw b ON b.qid = n.qid AND b.item = n.other),
 {out}_be AS (SELECT qid, item, i, max(w) AS best FROM {out}_cr GROUP BY ALL),
 {out}_su AS (SELECT c.qid, c.widx, c.item, sum(best) AS s FROM cand c JOIN {out}_be b ON b.qid = c.qid AND b.item = c.item AND b.i <> c.widx GROUP BY ALL),
-{out} AS MATERIALIZED (SELECT c.qid, c.widx, c.item, coalesce(round_even(s / greatest(m - 1, 1), 4), 0) AS {out} FROM cand c JOIN mm USING (qid) LEFT JOIN {out}_su USING (qid, widx, item))"""
+{out} AS MATERIALIZED (SELECT c.qid, c.widx, c.item, coalesce(round_even(s / greatest(m - 1, 1), 4) + 0.0, 0) AS {out} FROM cand c JOIN mm USING (qid) LEFT JOIN {out}_su USING (qid, widx, item))"""
 
 
 _AUTO_K = """fs AS (SELECT qid, widx, (freq_s + freq_o)::DOUBLE AS f FROM cand JOIN freq USING (item)),
