@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,3 +191,52 @@ def test_tokens(spark, docs, empty, tmp_path):
     back = token_output.read_from(spark, str(tmp_path / "s"), 1, 57, 3, 50, 64)
     by = {r.slot: r.record for r in rows}
     assert (back == np.stack([np.frombuffer(by[57 + k], np.uint16) for k in range(3)])).all()
+
+
+def _jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_wide_links_are_those_of_brute_force():
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 1 << 63, (4, 8), dtype=np.uint64), []
+    for i in range(200):
+        x = base[i % 4].copy()
+        for p in rng.choice(512, rng.integers(0, 70), replace=False):
+            x[p >> 6] ^= np.uint64(1) << np.uint64(p & 63)
+        rows.append(x)
+    fps, group = np.array(rows), np.repeat([0, 1], [130, 70])
+    apart = lambda i, j: sum(int(x).bit_count() for x in fps[i] ^ fps[j])
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if group[i] == group[j] and apart(i, j) <= simhash.WIDE_RADIUS}
+    assert set(zip(*(x.tolist() for x in simhash.wide_links(fps, group)))) == want
+
+
+def test_keep_one_finds_copies_of_similarity_over_0_8_and_keeps_the_rest(spark):
+    rng = random.Random(5)
+    rows, copies = [], set()
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        for c, changes in enumerate((1, 3, 5), 1):
+            other = list(words)
+            for p in rng.sample(range(300), changes):
+                other[p] = "x"
+            rows.append((10 * k + c, " ".join(other)))
+            assert _jaccard(rows[-1][1], " ".join(words)) > 0.8
+            copies.add(10 * k + c)
+        far = words[:150] + [f"v{rng.randrange(5000)}" for _ in range(150)]  # shares a passage only
+        rows.append((10 * k + 9, " ".join(far)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {r[0] for r in rows} - copies
+
+
+def test_a_key_of_thousands_is_linked_in_parts():
+    rng = np.random.default_rng(9)
+    base, n = rng.integers(0, 1 << 63, (2, 8), dtype=np.uint64), 9000
+    fps = base[np.arange(n) % 2].copy()
+    fps[np.arange(n), rng.integers(0, 8, n)] ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(1000, 7)), pa.array(np.arange(a, a + 1000)), pa.array([x.tobytes() for x in fps[a : a + 1000]], pa.binary())], ["key", "same", "fp"]) for a in range(0, n, 1000)]
+    edges = [e for b in simhash._wide_link_partition(batches) for e in zip(*(c.to_pylist() for c in b.columns))]
+    root = simhash._spanning(np.array([b for _, b in edges]), np.array([a for a, _ in edges]), n)
+    assert (root == np.arange(n) % 2).all()
