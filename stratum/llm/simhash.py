@@ -272,6 +272,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 WIDE_BITS, WIDE_RADIUS = 512, 95
 #: Keys of a text and least hashes in a key: two texts of similarity 0.8 share a key with probability 0.997.
 MIN_KEYS, MIN_ROWS = 8, 3
+#: Rows in a block of a large key; every two blocks of it are compared.
+BLOCK_ROWS = 1024
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (MIN_KEYS * MIN_ROWS + WIDE_BITS // 64, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -369,36 +371,45 @@ def _sketch_partition(shingle: int):
     return run
 
 
-def _wide_link_partition(batches):
-    """Star edges of rows (key, same, fp) sorted by key.
-
-    Of a key with thousands of rows, the rows read so far are linked and only one of each linked
-    set stays to be compared with those to come, so that no group has to be held whole.
-    """
-    key, same, fps, leaders = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_BITS // 64), np.uint64), 0
+def _star(same: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    root = _spanning(left, right, len(same))
+    some = root != np.arange(len(same))
+    return pa.RecordBatch.from_arrays([pa.array(same[some]), pa.array(same[root[some]])], ["a", "b"])
 
-    def linked(k, s, f):
-        group = np.cumsum(np.r_[False, k[1:] != k[:-1]])
-        root = _spanning(*wide_links(f, group), len(k))
-        some = root != np.arange(len(k))
-        return some, pa.RecordBatch.from_arrays([pa.array(s[some]), pa.array(s[root[some]])], ["a", "b"])
 
+def _wide_link_partition(batches):
+    """Star edges of rows (key, same, fp) sorted by key: what is linked, directly or not, among all rows of a key."""
+    key, same, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_BITS // 64), np.uint64)
+
+    def linked(n):
+        first = np.flatnonzero(np.r_[True, key[1:n] != key[: n - 1]])
+        a = 0
+        while a < n:  # whole keys of some thousand rows at a time
+            z = int(np.append(first, n)[np.searchsorted(first, min(a + 2 * BLOCK_ROWS, n))])
+            yield _star(same[a:z], *wide_links(fps[a:z], np.cumsum(np.r_[False, key[a + 1 : z] != key[a : z - 1]])))
+            a = z
+
+    held = []  # parts of the rows from the last key's first row on
     for b in batches:
         if not b.num_rows:
             continue
-        more = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
-        key, same, fps = np.r_[key, b.column(0).to_numpy()], np.r_[same, b.column(1).to_numpy()], np.concatenate([fps, more])
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)))
+        if held[-1][0][-1] == held[0][0][0]:
+            continue
+        key, same, fps = (np.concatenate(x) for x in zip(*held))
         at = int(np.searchsorted(key, key[-1]))  # where the last key begins
-        if at:
-            yield linked(key[:at], same[:at], fps[:at])[1]
-            key, same, fps, leaders = key[at:], same[at:], fps[at:], 0
-        if len(key) > 4096 + 2 * leaders:
-            some, out = linked(key, same, fps)
-            yield out
-            key, same, fps = key[~some], same[~some], fps[~some]
-            leaders = len(key)
-    if len(key) > 1:
-        yield linked(key, same, fps)[1]
+        yield from linked(at)
+        held = [(key[at:], same[at:], fps[at:])]
+    if held:
+        key, same, fps = (np.concatenate(x) for x in zip(*held))
+        yield from linked(len(key))
+
+
+def _block_pairs(rows: DataFrame, key: str, blocks: F.Column) -> DataFrame:
+    """``rows`` with column group: one for a key of one block, else one for every two blocks of it, so that any two rows of a key meet."""
+    rows = rows.withColumn("_m", blocks.cast("long")).withColumn("_own", F.expr("pmod(xxhash64(same), _m)"))
+    rows = rows.withColumn("_other", F.explode(F.expr("if(_m = 1, array(0L), filter(sequence(0L, _m - 1), x -> x <> _own))")))
+    return rows.withColumn("group", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_m", "_own", "_other")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -416,10 +427,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
     nodes = exchange.cut(rows.mapInArrow(_sketch_partition(shingle), schema).groupBy("same").agg(least, F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     keyed = nodes.select("same", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    blocks = keyed.join(shared, "key").join(nodes.select("same", "fp"), "same").select("key", "same", "fp")
-    blocks = blocks.repartition(exchange.partitions(spark), "key").sortWithinPartitions("key", "same")
-    roots = components(blocks.mapInArrow(_wide_link_partition, "a long, b long").distinct())
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = _block_pairs(keyed.join(shared, "key"), "key", F.ceil(F.col("n") / BLOCK_ROWS)).select("same", "group")
+    met = met.join(nodes.select("same", "fp"), "same").select("group", "same", "fp")
+    met = met.repartition(exchange.partitions(spark), "group").sortWithinPartitions("group", "same")
+    roots = components(met.mapInArrow(_wide_link_partition, "a long, b long").distinct())
     named = nodes.select("same", "least").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     stay = exchange.cut(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash")))
     mine = docs.withColumn("_hash", F.xxhash64(F.col(text)))

@@ -240,3 +240,13 @@ def test_a_key_of_thousands_is_linked_in_parts():
     edges = [e for b in simhash._wide_link_partition(batches) for e in zip(*(c.to_pylist() for c in b.columns))]
     root = simhash._spanning(np.array([b for _, b in edges]), np.array([a for a, _ in edges]), n)
     assert (root == np.arange(n) % 2).all()
+
+
+def test_members_of_a_hot_key_are_compared_with_all_that_come_later():
+    rng = np.random.default_rng(4)
+    flip = lambda x, a, z: x ^ np.array([sum(1 << p - 64 * w for p in range(max(a, 64 * w), min(z, 64 * w + 64))) for w in range(8)], np.uint64)
+    base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    fps = [flip(base, 0, 90), base, *rng.integers(0, 1 << 63, (4998, 8), dtype=np.uint64), flip(base, 200, 290)]  # the last is near the second only
+    batches = [pa.RecordBatch.from_arrays([pa.array([7] * len(x)), pa.array(range(a, a + len(x))), pa.array([f.tobytes() for f in x], pa.binary())], ["key", "same", "fp"]) for a in range(0, len(fps), 1000) for x in [fps[a : a + 1000]]]
+    edges = {e for b in simhash._wide_link_partition(batches) for e in zip(*(c.to_pylist() for c in b.columns))}
+    assert edges == {(1, 0), (5000, 0)}
