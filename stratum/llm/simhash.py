@@ -265,16 +265,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fp.join(_classes(fp, F.min("doc_id"), radius, blocks), "fp", "left").select("doc_id", "fp", "component")
 
 
-#: Bits of a wide fingerprint, and the largest number of them that differ in near copies. The mean
-#: distance at a similarity of 0.8 is 78 (standard deviation 8), so that 98.6 % of such pairs are within
-#: it, 99.98 % at 0.85, but also 38 % at 0.7, 9 % at 0.65 and 1 % at 0.6. One less than a multiple
-#: of 8, so that the counters overflow exactly beyond it.
-WIDE_BITS, WIDE_RADIUS = 512, 95
-#: Keys of a text and least hashes in a key: two texts of similarity 0.8 share a key with probability 0.997.
-MIN_KEYS, MIN_ROWS = 8, 3
-#: Rows in a block of a large key; every two blocks of it are compared.
-BLOCK_ROWS = 1024
-_MIX = np.random.default_rng(42).integers(1, 1 << 63, (MIN_KEYS * MIN_ROWS + WIDE_BITS // 64, 2), dtype=np.uint64) | np.uint64(1)
+#: Bits of a wide fingerprint, and the largest number of them that differ in candidates, which are then
+#: compared exactly. The mean distance at a similarity of 0.8 is 78 (standard deviation 8), so that the radius
+#: is 6 deviations off; of the shortest texts, 4 shingles in 5, it is 95, and 1 pair in 7,000 is missed. One
+#: less than a multiple of 8, so that the counters overflow exactly beyond it.
+WIDE_BITS, WIDE_RADIUS = 512, 127
+#: Least hashes of a text, and the keys made of three of them, no two of which share more than one: two texts
+#: of similarity 0.8 share no key with probability 0.00006.
+MIN_HASHES = 24
+_KEY_ROWS = np.concatenate([np.arange(24).reshape(8, 3), *(np.stack([np.arange(8), 8 + (np.arange(8) + x) % 8, 16 + (np.arange(8) + y) % 8], axis=1) for x, y in ((0, 0), (3, 5)))])
+MIN_KEYS = len(_KEY_ROWS)
+#: Texts are near copies from this share of common shingles on.
+SIMILAR = (4, 5)
+#: Rows and shingles in a block of a large group; every two blocks of it are compared.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, (MIN_HASHES + WIDE_BITS // 64, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -282,17 +287,22 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes, list[int]]:
-    """(hash of the set of shingles, wide fingerprint, keys) of a whole text; one set for all texts without words."""
-    h = np.unique(np.array(_shingle_hashes(text, shingle) or [0], np.uint64))
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text, ascending; one set for all texts without words."""
+    return np.unique(np.array(_shingle_hashes(text, shingle) or [0], np.uint64))
+
+
+def wide_sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes, list[int], int]:
+    """(hash of the set of shingles, wide fingerprint, keys, number of distinct shingles) of a whole text."""
+    h = shingle_set(text, shingle)
     ones = np.zeros(WIDE_BITS, np.int64)
     for a in range(0, len(h), 1 << 12):
         part = h[a : a + (1 << 12)]
-        words = np.stack([_mixed(part, MIN_KEYS * MIN_ROWS + i) for i in range(WIDE_BITS // 64)], axis=1)
+        words = np.stack([_mixed(part, MIN_HASHES + i) for i in range(WIDE_BITS // 64)], axis=1)
         ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    least = np.array([_mixed(h, i).min() for i in range(MIN_KEYS * MIN_ROWS)], np.uint64).reshape(MIN_KEYS, MIN_ROWS)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)]
-    return xxhash.xxh64_intdigest(h.tobytes(), 42), np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), keys
+    least = np.array([_mixed(h, i).min() for i in range(MIN_HASHES)], np.uint64)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least[_KEY_ROWS])]
+    return xxhash.xxh64_intdigest(h.tobytes(), 42), np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), keys, len(h)
 
 
 def _save_carry(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +376,7 @@ def _sketch_partition(shingle: int):
             found = [wide_sketch(t, shingle) for t in b.column(2).to_pylist()]
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             keys = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * MIN_KEYS, as_long([k for x in found for k in x[2]]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long([x[0] for x in found]), pa.array([x[1] for x in found], pa.binary()), keys], ["doc_id", "hash", "same", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long([x[0] for x in found]), pa.array([x[1] for x in found], pa.binary()), keys, pa.array([x[3] for x in found], pa.int64())], ["doc_id", "hash", "same", "fp", "keys", "shingles"])
 
     return run
 
@@ -405,6 +415,58 @@ def _wide_link_partition(batches):
         yield from linked(len(key))
 
 
+def similar_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs those whose sets share ``SIMILAR`` or more, but none that others of them have linked before."""
+    n, (share, of) = len(sets), SIMILAR
+    size = np.array([len(x) for x in sets], np.int64)
+    first = np.cumsum(size) - size
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, label = np.zeros(len(distinct), np.int64), np.arange(n)
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    edge = np.searchsorted(left, np.arange(n + 1))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for q in np.flatnonzero(np.diff(edge)):
+        c = right[edge[q] : edge[q + 1]]
+        c = c[(label[c] != label[q]) & (of * np.minimum(size[c], size[q]) >= share * np.maximum(size[c], size[q]))]
+        if not len(c):
+            continue
+        own = ids[first[q] : first[q] + size[q]]
+        marked[own] = 1
+        both = np.array([marked[ids[first[x] : first[x] + size[x]]].sum() for x in c])
+        marked[own] = 0
+        c = c[of * both >= share * (size[q] + size[c] - both)]
+        label[np.isin(label, label[c])] = label[q]
+        out.append((np.full(len(c), q), c))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _similar_partition(shingle: int):
+    """Star edges of rows (group, same, fp, text) sorted by group and same, by exact comparison."""
+
+    def links(group, same, fps, sets):
+        f = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDE_BITS // 64)
+        g = np.array(group)
+        near = wide_links(f, np.cumsum(np.r_[False, g[1:] != g[:-1]]))
+        return _star(np.array(same), *similar_links(sets, *near))
+
+    def run(batches):
+        group, same, fps, sets = held = [], [], [], []
+        for b in batches:
+            for g, s, f, t in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if group and g == group[-1] and s == same[-1]:
+                    continue  # the same row again
+                if group and g != group[-1] and len(group) >= BLOCK_ROWS // 4:
+                    yield links(*held)
+                    group, same, fps, sets = held = [], [], [], []
+                for x, v in zip(held, (g, s, f, shingle_set(t, shingle))):
+                    x.append(v)
+        if len(group) > 1:
+            yield links(*held)
+
+    return run
+
+
 def _block_pairs(rows: DataFrame, key: str, blocks: F.Column) -> DataFrame:
     """``rows`` with column group: one for a key of one block, else one for every two blocks of it, so that any two rows of a key meet."""
     rows = rows.withColumn("_m", blocks.cast("long")).withColumn("_own", F.expr("pmod(xxhash64(same), _m)"))
@@ -412,26 +474,39 @@ def _block_pairs(rows: DataFrame, key: str, blocks: F.Column) -> DataFrame:
     return rows.withColumn("group", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_m", "_own", "_other")
 
 
+def _similar(rows: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: int) -> DataFrame:
+    """Star edges (a, b) of the near copies in what candidates join: (node, root)."""
+    joined = joined.union(joined.select("root", "root")).distinct()
+    some = exchange.cut(nodes.select("same", "least", "fp", "shingles").join(joined.withColumnRenamed("node", "same"), "same"))
+    sizes = some.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("m"))
+    some = _block_pairs(some.join(sizes, "root"), "root", F.col("m")).select("group", "same", "fp", "least")
+    texts = rows.join(some, rows["doc_id"].eqNullSafe(F.col("least.doc_id")) & (rows["hash"] == F.col("least.hash"))).select("group", "same", "fp", "text")
+    texts = texts.repartition(exchange.partitions(rows.sparkSession), "group").sortWithinPartitions("group", "same")
+    return texts.mapInArrow(_similar_partition(shingle), "a long, b long")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of the smallest id.
 
-    Near copies share 0.8 or more of their five-word shingles, as estimated by 512-bit SimHash
-    fingerprints compared bit-sliced. At that distance equal bit fields find no pairs, so texts
-    meet in the blocks of equal keys of least shingle hashes. Links count indirectly too.
+    Near copies share 0.8 or more of their five-word shingles. Candidates are found by 512-bit SimHash
+    fingerprints compared bit-sliced; at their distance equal bit fields find no pairs, so texts
+    meet in the blocks of equal keys of least shingle hashes. Within what candidates join, those are
+    compared again by their sets of shingles, and only these links count, directly or not.
     A row with a null id stays only if its group has no other; of rows with the
     same id and text one stays. Texts without words are one group. All columns pass through.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("hash long, same long, fp binary, keys array<long>")])
+    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("hash long, same long, fp binary, keys array<long>, shingles long")])
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
-    nodes = exchange.cut(rows.mapInArrow(_sketch_partition(shingle), schema).groupBy("same").agg(least, F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    nodes = exchange.cut(rows.mapInArrow(_sketch_partition(shingle), schema).groupBy("same").agg(least, F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("shingles").alias("shingles")))
     keyed = nodes.select("same", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = _block_pairs(keyed.join(shared, "key"), "key", F.ceil(F.col("n") / BLOCK_ROWS)).select("same", "group")
     met = met.join(nodes.select("same", "fp"), "same").select("group", "same", "fp")
     met = met.repartition(exchange.partitions(spark), "group").sortWithinPartitions("group", "same")
-    roots = components(met.mapInArrow(_wide_link_partition, "a long, b long").distinct())
+    joined = components(met.mapInArrow(_wide_link_partition, "a long, b long").distinct())
+    roots = components(_similar(rows, nodes, joined, shingle).distinct())
     named = nodes.select("same", "least").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     stay = exchange.cut(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash")))
     mine = docs.withColumn("_hash", F.xxhash64(F.col(text)))

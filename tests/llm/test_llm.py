@@ -250,3 +250,25 @@ def test_members_of_a_hot_key_are_compared_with_all_that_come_later():
     batches = [pa.RecordBatch.from_arrays([pa.array([7] * len(x)), pa.array(range(a, a + len(x))), pa.array([f.tobytes() for f in x], pa.binary())], ["key", "same", "fp"]) for a in range(0, len(fps), 1000) for x in [fps[a : a + 1000]]]
     edges = {e for b in simhash._wide_link_partition(batches) for e in zip(*(c.to_pylist() for c in b.columns))}
     assert edges == {(1, 0), (5000, 0)}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_keep_one_is_exact_around_0_8(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    rng, rows = random.Random(6), []
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        for c, changes in enumerate((4, 6, 8, 9, 11, 12, 14) if k else range(1, 15)):
+            other = list(words)
+            for p in rng.sample(range(300), changes):
+                other[p] = f"x{rng.randrange(50)}"
+            rows.append((10 * k + 1 + c if k else 1000 + c, " ".join(other)))
+    root = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and root[i] != root[j] and _jaccard(a, b) >= 0.8:
+                low_, high = sorted((root[i], root[j]))
+                root = {x: low_ if r == high else r for x, r in root.items()}
+    assert 30 < len(set(root.values())) < len(rows) - 30
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(root.values())
