@@ -48,8 +48,16 @@ def _weight(counts: DataFrame, n: str, bad: str) -> tuple[float, float]:
     return m, min(1000.0, max(1.0, within / between - 1.0)) if between > 1e-9 else 1000.0
 
 
-def reputations(labelled: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, mean, bound) from rows (host, domain, suffix, bad 0/1); hosts without labels are not in it."""
+def _bound(mean, total, z: float):
+    return mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
+
+
+def reputations(labelled: DataFrame, z: float = 1.645) -> list[DataFrame]:
+    """[(host, bound), (domain, domain_bound), (suffix, suffix_bound), (all_bound)] from rows (host, domain, suffix, bad 0/1).
+
+    Only what has labels is in them. The bounds of a domain, of a suffix and of all are those of a
+    host of which nothing else is known: the level's mean, with the least prior weight on the way down.
+    """
     host = labelled.groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
     suffix = domain.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
@@ -58,27 +66,33 @@ def reputations(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     suffix = suffix.withColumn("sm", (F.col("sb") + ws * m) / (F.col("sn") + ws))
     domain = domain.join(suffix, "suffix").withColumn("dm", (F.col("db") + wd * F.col("sm")) / (F.col("dn") + wd))
     host = host.join(domain.select("domain", "dm"), "domain")
-    a, total = F.col("b") + wh * F.col("dm"), F.col("n") + wh
-    mean = a / total
-    return host.select("host", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (total + 1))).alias("bound"))
+    total = F.col("n") + wh
+    return [
+        host.select("host", _bound((F.col("b") + wh * F.col("dm")) / total, total, z).alias("bound")),
+        domain.select("domain", _bound(F.col("dm"), F.lit(wh), z).alias("domain_bound")),
+        suffix.select("suffix", _bound(F.col("sm"), F.lit(min(wh, wd)), z).alias("suffix_bound")),
+        labelled.sparkSession.range(1).select(_bound(F.lit(m), F.lit(min(wh, wd, ws)), z).alias("all_bound")),
+    ]
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
-    """Append host, path, rule, verdict, reputation (lower bound; null for a host without labels).
+    """Append host, path, rule, verdict, reputation (lower bound).
 
     ``outcomes`` has rows (key, bad 0/1); repeated keys all count, null keys do not. A url that is
     null or has no ``://`` has an empty host and path. The longest fitting rule decides; with none
-    the host is blocked if its bound is over the threshold, else allowed.
+    the host is blocked if its bound is over the threshold, else allowed. A host without labels has
+    the bound of its registered domain, else of its suffix, else of all.
     """
     host, path = split_url(f"`{url}`")
     parsed = pages.withColumn("host", host).withColumn("path", path)
     labelled = levels(parsed.select(F.col(key).alias("_key"), "host").join(outcomes.where(F.col("bad").isNotNull()).withColumnsRenamed({outcomes.columns[0]: "_key"}), "_key"))
-    known = reputations(labelled, z)
+    hosts, domains, suffixes, everywhere = reputations(labelled, z)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, text in sorted(rules, key=lambda r: len(r[1])):  # the longest is asked first
         rule_host, slash, rule_path = text.partition("/")
         fits = ((F.col("host") == rule_host) | F.col("host").endswith("." + rule_host)) & F.col("path").startswith(slash + rule_path)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    out = parsed.join(known.select("host", F.col("bound").alias("reputation")), "host", "left")
+    out = levels(parsed).join(hosts, "host", "left").join(domains, "domain", "left").join(F.broadcast(suffixes), "suffix", "left").crossJoin(F.broadcast(everywhere))
+    out = out.select("host", *(c for c in parsed.columns if c != "host"), F.coalesce("bound", "domain_bound", "suffix_bound", "all_bound").alias("reputation"))
     by_method = F.when(F.col("reputation") > threshold, "block").otherwise("allow")
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_method))

@@ -272,3 +272,15 @@ def test_keep_one_is_exact_around_0_8(spark, monkeypatch, block):
                 root = {x: low_ if r == high else r for x, r in root.items()}
     assert 30 < len(set(root.values())) < len(rows) - 30
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(root.values())
+
+
+def test_hosts_without_labels_inherit_from_domain_suffix_and_all(spark):
+    rows = [(f"http://h{i % 9}.bad.com/", 1) for i in range(90)] + [(f"http://h{i % 9}.good.com/", 0) for i in range(90)] + [(f"http://h{i}.d{i % 10}.info/", 1) for i in range(200)] + [(f"http://h{i}.d{i % 10}.fr/", 0) for i in range(200)]
+    new = ["http://new.bad.com/x", "http://new.good.com/x", "http://new.unseen.info/", "http://new.unseen.fr/", "http://new.unseen.zz/"]
+    pages = spark.createDataFrame([*((i, u) for i, (u, _) in enumerate(rows)), *((1000 + i, u) for i, u in enumerate(new))], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "k long, bad int")
+    got = {r.page_id: r for r in url_filter.judge(pages, outcomes, rules=[]).collect()}
+    assert len(got) == len(rows) + len(new) and all(r.reputation is not None for r in got.values())
+    assert [got[1000 + i].verdict for i in range(5)] == ["block", "allow", "block", "allow", "allow"]
+    outcomes = spark.createDataFrame([(i, 1) for i in range(len(rows))], "k long, bad int")
+    assert {r.verdict for r in url_filter.judge(pages, outcomes, rules=[]).collect()} == {"block"}
