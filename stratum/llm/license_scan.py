@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare licence words.
 
-The index holds, for every indexed word, its places in the licence templates. Of each text
-the licence words with the highest inverse document frequency are looked up, their places
-are turned into offsets of a whole template, and templates on which several words agree in
-offset are candidates; a candidate counts if its mandatory phrase stands in the text.
+The index holds, for every indexed word, its places in the licence templates. Of each
+template whose mandatory phrase stands in a text, the words in the text with the highest
+inverse document frequency are looked up, and their places are turned into offsets of the
+whole template; it counts if several words agree in offset.
 Everything is a DataFrame expression on the row; only document frequencies of the bounded
 licence vocabulary are gathered.
 """
@@ -74,15 +74,16 @@ def scan(docs: DataFrame, text: str = "text", rare: int = 6, agree: int = 2) ->
     n = narrow.count()
     freq = {r["w"]: r["count"] for r in df.collect()}  # one row for each word of the vocabulary at most
     idf = {w: math.log((n + 1) / (freq.get(w, 0) + 1)) for w in sorted(vocabulary)}
-    idf_map = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.lit(v))])
+    ordered = "map(" + ", ".join(f"{t}, array({', '.join(repr(w) for w in sorted({w for w in _words(notice) if w in postings}, key=lambda w: (-idf[w], w)))})" for t, (_, notice, _) in enumerate(TEMPLATES)) + ")"
     struct = lambda tp: f"struct({tp[0]} as t, {tp[1]} as p)"
     post_map = "map(" + ", ".join(f"'{w}', array({', '.join(map(struct, x))})" for w, x in sorted(postings.items())) + ")"
     base = "concat(" + ", ".join(f"transform(filter(_j, j -> {_phrase_at(p.split())}), j -> struct(hits[j].i as i, '{label}' as label))" for p, label in PHRASES.items()) + ")"
     keys = "array_distinct(flatten(transform(_j, j -> filter(array(" + ", ".join(f"if({_phrase_at(k.split())}, {t}, -1)" for t, (_, _, k) in enumerate(TEMPLATES)) + "), t -> t >= 0))))"
     places = narrow.withColumn("_j", F.expr("if(size(hits) = 0, cast(array() as array<int>), sequence(0, size(hits) - 1))"))
     places = places.select(*have, "n_words", "hits", F.expr(base).alias("_base"), F.expr(keys).alias("_keys"))
-    ranked = places.withColumn("_rank", F.slice(F.array_sort(F.transform(F.array_distinct("hits.w"), lambda w: F.struct((-idf_map[w]).alias("v"), w.alias("w")))), 1, rare))
-    offsets = f"flatten(transform(filter(hits, h -> exists(_rank, r -> r.w = h.w)), h -> transform(coalesce({post_map}[h.w], cast(array() as array<struct<t: int, p: int>>)), p -> struct(p.t as t, h.i - p.p as o, h.i as i))))"
+    ranked = places.withColumn("_rank", F.expr(f"transform(_keys, t -> struct(t as t, slice(filter({ordered}[t], w -> exists(hits, h -> h.w = w)), 1, {rare}) as words))"))
+    of_template = f"transform(filter({post_map}[h.w], p -> p.t = r.t), p -> struct(p.t as t, h.i - p.p as o, h.i as i))"
+    offsets = f"flatten(transform(_rank, r -> flatten(transform(filter(hits, h -> array_contains(r.words, h.w)), h -> {of_template}))))"
     voted = ranked.select(*have, "n_words", "_base", "_keys", F.expr(f"if(size(_keys) = 0, null, array_sort({offsets}))").alias("_votes"))
     # runs of equal (template, offset): how many looked-up words agree
     least = "map(" + ", ".join(f"{t}, {min(rare, s)}" for t, s in enumerate(sizes)) + ")"

@@ -284,3 +284,15 @@ def test_hosts_without_labels_inherit_from_domain_suffix_and_all(spark):
     assert [got[1000 + i].verdict for i in range(5)] == ["block", "allow", "block", "allow", "allow"]
     outcomes = spark.createDataFrame([(i, 1) for i in range(len(rows))], "k long, bad int")
     assert {r.verdict for r in url_filter.judge(pages, outcomes, rules=[]).collect()} == {"block"}
+
+
+def test_license_finds_every_notice_of_a_text(spark):
+    notice = {label: text for label, text, _ in reversed(license_scan.TEMPLATES)}
+    bsd, mit = notice["bsd"], license_scan.TEMPLATES[1][1]
+    pairs = [(bsd, "cc-by-nc"), (bsd, "cc-by"), (mit, "cc-by-nc")]
+    notice["cc-by"] = "Licensed under CC BY 4.0"
+    texts = [f"{long}. {notice[label]}." for long, label in pairs] + ["licensed cc by nc 4 0"] * 20
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    labels = {r.doc_id: r["labels"] for r in rows}
+    assert [labels[i] for i in range(3)] == ["bsd,cc-by-nc", "bsd,cc-by", "cc-by-nc,mit"]
+    assert all(0 <= r.score <= 1 for r in rows)
