@@ -41,7 +41,7 @@ STAGES = [
     ("token output", token_sequences),
 ]
 
-#: SimHash, the automaton and the encoder have no form in SQL; the tests compare with a brute-force version.
+#: SimHash, the automaton and the encoder have no form in SQL; the tests compare the stages' operators, not run().
 ORACLE_SQL = None
 
 
