@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import arrays
+from . import arrays, exchange
 
 
 class SuffixAutomaton:
@@ -237,18 +237,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 8, text: str = "
     A document goes if windows of more than ``most_items`` items occur in it, or if they cover
     more than ``most_share`` of its words. Documents without hits stay as they are, with all columns.
     """
-    own = {"n_words", "spans", "cuts", "items"}
-    clash = {c: f"_held_{c}" for c in docs.columns if c in own}
-    found = scan(docs.withColumnsRenamed(clash), build_index(benchmark, window=window), text)
+    mine, back = exchange.set_aside(docs, {"n_words", "spans", "cuts", "items"})
+    shown = {c: h for h, c in back.items()}.get(text, text)
+    found = scan(mine, build_index(benchmark, window=window), shown)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    raw = F.encode(F.col(text), "utf-8")
+    raw = F.encode(F.col(shown), "utf-8")
     ends = F.transform("cuts", lambda c: c[1])
-    starts = F.concat(F.transform("cuts", lambda c: c[0]), F.array(F.octet_length(F.col(text)).cast("long")))
+    starts = F.concat(F.transform("cuts", lambda c: c[0]), F.array(F.octet_length(F.col(shown)).cast("long")))
     froms = F.concat(F.array(F.lit(0).cast("long")), ends)
     rest = F.transform(F.arrays_zip(froms.alias("f"), starts.alias("t")), lambda x: F.decode(F.substring(raw, (x["f"] + 1).cast("int"), (x["t"] - x["f"]).cast("int")), "utf-8"))
-    cleaned = F.when(F.size("cuts") > 0, F.array_join(rest, "")).otherwise(F.col(text))
+    cleaned = F.when(F.size("cuts") > 0, F.array_join(rest, "")).otherwise(F.col(shown))
     kept = found.where((F.size("items") <= most_items) & (n_hit <= most_share * F.col("n_words")))
-    return kept.withColumn(text, cleaned).drop(*own).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    return kept.withColumn(shown, cleaned).drop("n_words", "spans", "cuts", "items").withColumnsRenamed(back).select(*docs.columns)
 
 
 def items_digest(items: F.Column) -> F.Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,14 +14,31 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a temporary one, on local masters only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = getattr(spark, "_stratum_folder", None) or tempfile.mkdtemp(prefix="stratum-")
-        spark._stratum_folder = where
+        where = getattr(spark, "_stratum_folder", None)
+        if not where:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            where = spark._stratum_folder = tempfile.mkdtemp(prefix="stratum-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where
 
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path of any store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later step reads."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 @contextmanager
 def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     """Queries made inside drop their own shuffle files as they end: for results that are kept as files."""
@@ -36,32 +54,38 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; partitions and their order stay.
 
-    The shuffle files made on the way go at once; the files that remain need none of them.
+    The shuffle files made on the way go at once; the files that remain need none of them and go with the session.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
+        fs, p = _path(spark, sc._jsc.sc().getCheckpointDir().get())
+        fs.deleteOnExit(p)
     with dropping_shuffles(spark):
-        out = df.select("*").checkpoint(eager=True)  # a query of its own, so that it takes the setting up
-    del df
-    release(spark)
-    return out
+        return df.select("*").checkpoint(eager=True)  # a query of its own, so that it takes the setting up
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted with the session."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a Parquet table in the shared folder, to be deleted with the session at the latest; its path."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, f"{name}-{uuid.uuid4().hex}")
     with dropping_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which it does after a collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,3 +96,23 @@ def partitions(spark: SparkSession) -> int:
 def by_bucket(df: DataFrame, n: int, column: str = "bucket") -> DataFrame:
     """Bucket b of n goes to partition b, so that each partition holds one bucket."""
     return df.repartitionById(n, F.col(column).cast("int"))
+
+
+def set_aside(df: DataFrame, own) -> tuple[DataFrame, dict[str, str]]:
+    """Columns whose names clash with those an operator adds, under other names meanwhile, and the way back."""
+    taken = {c.lower() for c in df.columns}
+    back = {}
+    for c in df.columns:
+        if c.lower() in own:
+            k = 0
+            while (name := f"_held{k}_{c}").lower() in taken:
+                k += 1
+            taken.add(name.lower())
+            back[name] = c
+    return df.withColumnsRenamed({c: h for h, c in back.items()}), back
+
+
+def put_back(df: DataFrame, back: dict[str, str], appended=()) -> DataFrame:
+    """Columns set aside under their own names again; those that clash with appended ones go."""
+    gone = [h for h, c in back.items() if c.lower() in appended]
+    return df.drop(*gone).withColumnsRenamed({h: c for h, c in back.items() if h not in gone})

@@ -1,8 +1,10 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by the elements
-that they stand in, by length, link density and stop-word density; short or ambiguous blocks
-stay open. The second pass gives open blocks the label of their nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides blocks by length, link density and
+stop-word density; short or ambiguous blocks stay open. The second pass gives open blocks the label of
+their nearest decided neighbours. What a page declares about itself is a further feature: elements and whole names
+of page furniture (footers, notices, comments read like text, so that words cannot tell them), and the borders of
+an article, which count as decided neighbours of what stands inside.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import types as T
 
 # Element names by their part in a page, and frequent words of four languages.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math", "object", "canvas"}
-_NO_TEXT = {"head", "select", "button", "option", "datalist", "audio", "video", "map", "label", "input", "fieldset", "legend"}
-_FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "figure-ad"}
+_NO_TEXT = {"head", "select", "button", "option", "datalist", "audio", "video", "map", "input"}
+_FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -27,11 +29,20 @@ _BLOCK = {
 _CLOSES_P = _BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "figcaption", "li", "dd", "dt"} | {"p"}
 _CLOSES_SAME = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promoted|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar|comment|comments|comment-list|disqus|respond|replies|discussion|share|sharing|social|related|recommended|recommendations|pagination|pager|login|search|skip|copyright|disclaimer|paywall|teaser|tags|taglist)(?:$|[\s_-])|(?:^|\s)(?:site|page)-?(?:header|footer|nav)|(?:comment|sidebar|advert|cookie|footer|navbar|newsletter)",
-    re.I,
+# Words of class names and ids: those of page furniture, and those that may stand beside them. A name is one of furniture if it
+# has no other words, so that ``cookie-notice`` is one and ``side-effects`` is none.
+_FURNITURE_NAMES = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored promo promos promotion
+    cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup
+    nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar
+    comment comments commentlist disqus respond replies share sharing social related recommended recommendations
+    pagination pager login search skip copyright disclaimer paywall teaser teasers taglist widget widgets""".split()
+)
+_NEUTRAL_NAMES = frozenset(
+    """box boxes container wrapper wrap inner outer area block blocks section sections list lists item items row col column slot unit
+    left right top bottom main primary secondary site page global local post article entry story news user reader reader's
+    bar link links button buttons icon icons form text content title body fixed sticky mobile desktop small large first last reply thread""".split()
 )
-_MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body-?text|articlebody)(?:$|[\s_-])", re.I)
 STOP_WORDS = frozenset(
     """the of and to in a is that it for on was as with be by are this at an from or not have has had he she they we you his her which were their will would can but all one there been if more when who what so no out up into than them some could about other then its over also after
     der die das und ist von den zu mit im ein eine auf für nicht des dem sich als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde
@@ -59,17 +70,24 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
+def _named_furniture(names: str) -> bool:
+    """Whether a class or id consists of words of furniture and neutral ones only."""
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
+        words = [w for w in re.split(r"[-_:\d]+", name) if w]
+        if any(w in _FURNITURE_NAMES for w in words) and all(w in _FURNITURE_NAMES or w in _NEUTRAL_NAMES for w in words):
+            return True
+    return False
+
+
 def _furniture(tag: str, a: dict[str, str], in_main: bool) -> bool:
+    """Whether an element declares itself, or what it holds, to be no part of the text."""
     if tag in _FURNITURE and not (tag == "header" and in_main):
         return True
-    if tag in ("html", "body", "main", "article", "h1") or not a:
-        return tag in ("article",) and bool(re.search(r"comment", a.get("class", "") + " " + a.get("id", ""), re.I)) if a else False
+    if not a or tag in ("html", "body"):
+        return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    if a.get("role", "").lower() in _ROLES:
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(_NAMES.search(names)) and not (_MAIN.search(names) and tag in ("div", "section") and not re.search(r"comment|sidebar|footer|related|promo|advert", names, re.I))
+    return a.get("role", "").lower() in _ROLES or tag not in ("main", "h1") and _named_furniture(f"{a.get('class', '')} {a.get('id', '')}")
 
 
 def blocks(page: str) -> list[Block]:
@@ -155,51 +173,64 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, stop_low: float = 0.15, stop_high: float = 0.3, most_links: float = 0.5) -> None:
-    """Set every label to good or bad."""
-    within = any(b.main and not b.banned and len(b.text) - b.links > 0 for b in found)
+def by_text(b: Block, short: int = 70, long: int = 200, stop_low: float = 0.1, stop_high: float = 0.2, most_links: float = 0.5) -> str:
+    """First pass, by the words alone: good, bad, near (good beside good) or open."""
+    words = [w.lower() for w in _WORD.findall(b.text)]
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    density = b.links / len(b.text)
+    if density > most_links:
+        return "bad" if density > 0.8 or len(b.text) >= short else "open"
+    if re.match(r"\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", b.text, re.I) and len(b.text) < long:
+        return "bad"
+    if len(b.text) < short:
+        return "open"
+    if stop >= stop_high and density < 0.3:
+        return "good" if len(b.text) >= long else "near"
+    return "near" if stop >= stop_low and density < 0.3 else "open"
+
+
+def classify(found: list[Block], declared: bool = True) -> None:
+    """Set every label to good or bad; ``declared``: use what the page says by elements and names, too.
+
+    The second pass walks from each undecided block to the nearest decided ones; the borders of an
+    article or main element are decided: good from inside, and unknown from outside, where the walk goes on. Of
+    two that differ, the nearer wins; headings go with what follows, near blocks with a good neighbour on either side.
+    Without any decided neighbour, paragraphs and headings are good.
+    """
     for b in found:
-        words = [w.lower() for w in _WORD.findall(b.text)]
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        density = b.links / len(b.text)
-        if b.banned or within and not b.main:
-            b.label = "bad"
-        elif density > most_links:
-            b.label = "bad" if not b.main or b.tag in ("li", "td", "div", "ul") else "open"
-        elif b.main:
-            b.label = "good" if len(b.text) >= short or stop >= stop_low else "open"
-        elif re.match(r"\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", b.text, re.I):
-            b.label = "bad"
-        elif len(b.text) < short:
-            b.label = "open"
-        elif stop >= stop_high:
-            b.label = "good" if len(b.text) >= long or density < 0.2 else "near"
-        elif stop >= stop_low:
-            b.label = "near"
-        else:
-            b.label = "bad" if density > 0.2 else "open"
-    decided = [b.label if b.label in ("good", "bad") else "" for b in found]
-    before, last = [], ("", 0)
-    for i, d in enumerate(decided):
-        last = (d, i) if d else last
-        before.append(last)
-    after, nxt = [], ("", len(decided))
-    for i in range(len(decided) - 1, -1, -1):
-        nxt = (decided[i], i) if decided[i] else nxt
-        after.append(nxt)
-    after.reverse()
+        b.label = "bad" if declared and b.banned else by_text(b)
+        if declared and b.main and b.label == "bad" and b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "figcaption"):
+            b.label = "open"  # a paragraph that is one link, in an article
+
+    def nearest(order: list[int]) -> dict[int, tuple[str, int]]:
+        out, last = {}, ("", 0)
+        before = None
+        for i in order:
+            b = found[i]
+            if declared and before is not None and b.main and not b.banned and not (before.main and not before.banned):
+                last = ("good", i - (1 if order[0] == 0 else -1))  # the border is crossed into an article
+            out[i] = last
+            if b.label in ("good", "bad"):
+                last = (b.label, i)
+            before = b
+        return out
+
+    forth, back = nearest(list(range(len(found)))), nearest(list(range(len(found) - 1, -1, -1)))
+    decided = {}
     for i, b in enumerate(found):
         if b.label in ("good", "bad"):
             continue
-        (left, l), (right, r) = before[i], after[i]
-        if b.main or b.label == "near" and "good" in (left, right):
-            b.label = "good"
+        (left, l), (right, r) = forth[i], back[i]
+        if b.label == "near" and "good" in (left, right):
+            decided[i] = "good"
         elif left == right or not left or not right:
-            b.label = left or right or ("good" if b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") else "bad")
+            decided[i] = left or right or ("good" if b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") else "bad")
         elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            b.label = right
+            decided[i] = right
         else:
-            b.label = left if i - l <= r - i else right
+            decided[i] = left if i - l <= r - i else right
+    for i, label in decided.items():
+        found[i].label = label
 
 
 def main_text(page: str | None) -> str:
@@ -210,7 +241,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_column: str = "html", out: str = "text") -> DataFrame:
-    """Replace the html column by the main text. Null or empty html gives an empty text; rows are independent."""
+    """Replace the html column by the main text, in column ``out``; another column of that name is replaced.
+
+    Null or empty html gives an empty text; rows are independent, so repeated ones get equal texts. Nothing is cut off, however long.
+    """
     names = [c for c in pages.columns if c not in (html_column, out)]
     narrow = pages.select(*names, F.col(html_column).alias("_html"))
 

@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare licence words.
 
 The index holds, for every indexed word, its places in the licence templates. Of each
-template whose mandatory phrase stands in a text, the words in the text with the highest
-inverse document frequency are looked up, and their places are turned into offsets of the
-whole template; it counts if several words agree in offset.
+template, those of its words that the text has and that have the highest inverse document frequency
+are looked up, and their places are turned into offsets of the whole template. A template of which
+several words agree in offset is a candidate; it counts if its mandatory phrase stands in the text.
 Everything is a DataFrame expression on the row; only document frequencies of the bounded
 licence vocabulary are gathered.
 """
@@ -31,6 +31,18 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", "cc by sa"),
     ("cc-by", "Licensed under CC BY 4.0", "cc by 4"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution 4"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0", "cc by nd"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "attribution sharealike 4"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "attribution noncommercial 4"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived all copyright"),
+    ("lgpl", "licensed under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lesser general public license"),
+    ("agpl", "licensed under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "affero general public license"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty; altered source versions must be plainly marked as such", "plainly marked as such"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0", "boost software license"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse public license"),
+    ("artistic", "You may distribute this package under the terms of the Artistic License 2.0", "artistic license"),
 ]
 #: Phrases that name a licence outright.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -40,6 +52,9 @@ FUNCTION_WORDS = {"the", "is", "of", "to", "any", "a", "this", "and", "you", "ma
 _SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
+OWN = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "hits", "_words", "_j", "_base", "_keys", "_rank", "_votes", "_found", "_there"}
+
+
 def _words(text: str) -> list[str]:
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
 
@@ -54,7 +69,9 @@ def scan(docs: DataFrame, text: str = "text", rare: int = 6, agree: int = 2) ->
 
     A null text is empty: no words, no labels, score 0. Labels are sorted and joined by commas.
     score is 1 with a base label, else the share of the best verified template's looked-up words
-    that agree on its offset.
+    that agree on its offset. Words of equal frequency rank by their spelling; rows are independent,
+    so repeated rows get equal results, and an empty table stays empty. Other columns pass through,
+    but for those that clash with the appended ones, which are replaced.
     """
     postings: dict[str, list[tuple[int, int]]] = {}
     sizes = []
@@ -65,7 +82,7 @@ def scan(docs: DataFrame, text: str = "text", rare: int = 6, agree: int = 2) ->
             postings.setdefault(w, []).append((t, p))
     vocabulary = set(postings) | {w for x in [*PHRASES, *(k for _, _, k in TEMPLATES)] for w in x.split()}
     listed = ", ".join(f"'{w}'" for w in sorted(vocabulary))
-    have = [F.col(c) for c in docs.columns if c != text]
+    have = [F.col(c) for c in docs.columns if c != text and c.lower() not in OWN]
     words = docs.select(*have, F.expr(f"filter(split(coalesce(`{text}`, ''), '{_SEPARATORS}'), w -> w <> '')").alias("_words"))
     lowered = f"filter(transform(_words, (w, i) -> struct(if(octet_length(w) <= 16, lower(w), '') as w, i as i, octet_length(w) as n)), x -> x.w in ({listed}) and octet_length(x.w) = x.n)"
     narrow = words.select(*have, F.expr("cast(size(_words) as bigint)").alias("n_words"), F.expr(f"transform({lowered}, x -> struct(x.w as w, x.i as i))").alias("hits"))
@@ -74,17 +91,20 @@ def scan(docs: DataFrame, text: str = "text", rare: int = 6, agree: int = 2) ->
     n = narrow.count()
     freq = {r["w"]: r["count"] for r in df.collect()}  # one row for each word of the vocabulary at most
     idf = {w: math.log((n + 1) / (freq.get(w, 0) + 1)) for w in sorted(vocabulary)}
-    ordered = "map(" + ", ".join(f"{t}, array({', '.join(repr(w) for w in sorted({w for w in _words(notice) if w in postings}, key=lambda w: (-idf[w], w)))})" for t, (_, notice, _) in enumerate(TEMPLATES)) + ")"
+    ordered = ["array(" + ", ".join(repr(w) for w in sorted({w for w in _words(notice) if w in postings}, key=lambda w: (-idf[w], w))) + ")" for _, notice, _ in TEMPLATES]
     struct = lambda tp: f"struct({tp[0]} as t, {tp[1]} as p)"
     post_map = "map(" + ", ".join(f"'{w}', array({', '.join(map(struct, x))})" for w, x in sorted(postings.items())) + ")"
     base = "concat(" + ", ".join(f"transform(filter(_j, j -> {_phrase_at(p.split())}), j -> struct(hits[j].i as i, '{label}' as label))" for p, label in PHRASES.items()) + ")"
     keys = "array_distinct(flatten(transform(_j, j -> filter(array(" + ", ".join(f"if({_phrase_at(k.split())}, {t}, -1)" for t, (_, _, k) in enumerate(TEMPLATES)) + "), t -> t >= 0))))"
     places = narrow.withColumn("_j", F.expr("if(size(hits) = 0, cast(array() as array<int>), sequence(0, size(hits) - 1))"))
     places = places.select(*have, "n_words", "hits", F.expr(base).alias("_base"), F.expr(keys).alias("_keys"))
-    ranked = places.withColumn("_rank", F.expr(f"transform(_keys, t -> struct(t as t, slice(filter({ordered}[t], w -> exists(hits, h -> h.w = w)), 1, {rare}) as words))"))
+    there = "array_distinct(hits.w)"
+    looked_up = ", ".join(f"struct({t} as t, slice(array_intersect({ordered[t]}, _there), 1, {rare}) as words)" for t in range(len(TEMPLATES)))
+    places = places.withColumn("_there", F.expr(there))
+    ranked = places.withColumn("_rank", F.expr(f"if(size(_there) < {agree}, null, filter(array({looked_up}), r -> size(r.words) >= {agree}))"))
     of_template = f"transform(filter({post_map}[h.w], p -> p.t = r.t), p -> struct(p.t as t, h.i - p.p as o, h.i as i))"
     offsets = f"flatten(transform(_rank, r -> flatten(transform(filter(hits, h -> array_contains(r.words, h.w)), h -> {of_template}))))"
-    voted = ranked.select(*have, "n_words", "_base", "_keys", F.expr(f"if(size(_keys) = 0, null, array_sort({offsets}))").alias("_votes"))
+    voted = ranked.select(*have, "n_words", "_base", "_keys", F.expr(f"if(coalesce(size(_rank), 0) <= 0, null, array_sort({offsets}))").alias("_votes"))
     # runs of equal (template, offset): how many looked-up words agree
     least = "map(" + ", ".join(f"{t}, {min(rare, s)}" for t, s in enumerate(sizes)) + ")"
     start = "struct(-1 as t, 0 as o, 0 as n, cast(array() as array<struct<t: int, n: int>>) as found)"

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of a source's key range; a hot source is spread over all of them.
-SLICES = 4096
+from . import exchange
+
+#: Slices of a source's key range for each bucket of the session's shuffles; a hot source is spread over all of them.
+SLICES_A_BUCKET = 32
 
 
 def n_words(text: Column) -> Column:
@@ -36,29 +38,41 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5
         full |= {s: float(ceiling * size[s]) for s in above}
 
 
+OWN = ("size", "source_size", "target", "taken", "last", "whole", "_key", "_tie", "_slice", "_sum", "_of", "_at", "_before", "_within", "_source", "_rest", "_whole")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, weights: tuple[float, ...] = (5, 2, 1), ceiling: int = 3, most_sources: int = 1_000_000, keep_text: bool = False) -> DataFrame:
-    """Append size, source_size, target, taken (all repeats) and last (words of the last, cut repeat).
+    """Append size, source_size, target, taken (all repeats), last (words of the last, cut repeat) and whole (repeats before it).
 
     A null text has size 0. A source is taken whole as often as its target holds it; then documents
     are taken in key order until the budget, rounded down to whole words, is spent to the word.
     Rows with the same id and text are interchangeable. More sources than ``most_sources`` raise an
-    error, as the table of sources is put together on the driver.
+    error, as the table of sources is put together on the driver. Columns that clash with those
+    appended are replaced by them; an empty table stays empty.
     """
-    others = [c for c in docs.columns if keep_text or c != text]
+    spark = docs.sparkSession
+    mine, _ = exchange.set_aside(docs, set(OWN))
+    taken = {c: h for h, c in _.items()}
+    source, doc_id = taken.get(source, source), taken.get(doc_id, doc_id)
+    text_at = taken.get(text, text)
+    others = [c for c in mine.columns if c not in _ and (keep_text or c != text_at)]
+    n_slices = SLICES_A_BUCKET * exchange.partitions(spark)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = docs.select(*others, n_words(F.col(text)).alias("size"), key.alias("_key"), F.xxhash64(*docs.columns).alias("_tie"))
-    per_source = [(r[0], int(r[1])) for r in rows.groupBy(source).agg(F.sum("size")).limit(most_sources + 1).collect()]
+    held = list(dict.fromkeys([*others, source]))
+    rows = mine.select(*held, n_words(F.col(text_at)).alias("size"), key.alias("_key"), F.xxhash64(*[c for c in mine.columns if c != text_at], F.xxhash64(F.col(text_at))).alias("_tie"))
+    # a key spreads evenly, so its first digits cut each source into slices of like size
+    rows = rows.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * n_slices / (1 << 32)).cast("int"))
+    if not keep_text:
+        rows = exchange.cut(rows)  # without texts, so that words are counted once
+    sums = exchange.cut(rows.groupBy(source, "_slice").agg(F.sum("size").alias("_sum")))
+    per_source = [(r[0], int(r[1])) for r in sums.groupBy(source).agg(F.sum("_sum")).limit(most_sources + 1).collect()]
     if len(per_source) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     aim = targets(per_source, weights, ceiling)
     plan = [(s, n, aim[s], int(aim[s] // n) if n else 0, int(aim[s]) - int(aim[s] // n) * n if n else 0) for s, n in per_source]
-    spark = docs.sparkSession
     plan_df = F.broadcast(spark.createDataFrame(plan, "_source string, source_size long, target double, _whole long, _rest long"))
-    # a key spreads evenly, so its first digits cut each source into slices of like size
-    rows = rows.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * SLICES / (1 << 24)).cast("int"))
-    slices = rows.groupBy(source, "_slice").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy(source).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(F.col(source).alias("_of"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    slices = sums.select(F.col(source).alias("_of"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(source, "_slice").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(slices, rows[source].eqNullSafe(slices["_of"]) & (rows["_slice"] == slices["_at"]))
@@ -71,15 +85,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def repeat(docs: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last repeat cut after its last word taken.
 
-    Documents without words, and those beyond their source's budget, are not in the mix.
+    Documents without words, and those beyond their source's budget, are not in the mix. All columns pass through, whatever their names.
     """
-    own = {"size", "source_size", "target", "taken", "last", "whole"}
-    aside = {c: f"_held_{c}" for c in docs.columns if c in own}
-    names = {v: k for k, v in aside.items()}
-    mixed = mix(docs.withColumnsRenamed(aside), source=source, text=text, keep_text=True, **options)
+    mine, back = exchange.set_aside(docs, {*OWN, "_take"})
+    there = {c: h for h, c in back.items()}
+    text_at = there.get(text, text)
+    mixed = mix(mine, source=there.get(source, source), text=text_at, keep_text=True, **options)
     partial = F.when(F.col("last") > 0, F.array(F.col("last"))).otherwise(F.array().cast("array<bigint>"))
     takes = mixed.withColumn("_take", F.explode(F.concat(F.array_repeat(F.col("size"), F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("int")), partial)))
-    words = F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("_take").cast("int"))
-    shown = F.when(F.col("_take") < F.col("size"), F.array_join(words, " ")).otherwise(F.col(text))
-    return takes.withColumn(text, shown).drop("_take", *own).withColumnsRenamed(names).select(*docs.columns)
-
+    words = F.slice(F.filter(F.split(F.col(text_at), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("_take").cast("int"))
+    shown = F.when(F.col("_take") < F.col("size"), F.array_join(words, " ")).otherwise(F.col(text_at))
+    return takes.withColumn(text_at, shown).select(*[F.col(there.get(c, c)).alias(c) for c in docs.columns])

@@ -14,6 +14,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
+
 _WS = r"[\\x20\\x09-\\x0D]+"
 _WS_CHARS = "' \\t\\n\\u000b\\u000c\\r'"
 
@@ -29,12 +31,16 @@ RULES = {
 }
 
 
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_distinct", "n_repeat_words", "_words", "_lines", "_grams", "_some", "_sorted", "_at")
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Append n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_distinct, n_repeat_words (longs).
 
-    A null text counts as empty. Words, lines and windows are those of the whole text.
+    A null text counts as empty. Words, lines and windows are those of the whole text. Columns that clash
+    with the appended ones are replaced; rows are independent, and an empty table stays empty.
     """
-    have = [F.col(c) for c in docs.columns]
+    have = [F.col(c) for c in docs.columns if c.lower() not in FEATURES]
     a = docs.select(
         *have,
         F.expr(f"filter(split(coalesce(`{text}`, ''), '{_WS}'), w -> w <> '')").alias("_words"),
@@ -97,31 +103,45 @@ def estimate(counts: dict[str, int], n_rules: int, rounds: int = 50, prior: floa
     return {p: posterior(p) for p in patterns}
 
 
-def judge(found: DataFrame, least: float = 0.5, rules: dict[str, tuple[str, str]] = RULES, counted: DataFrame | None = None) -> DataFrame:
-    """Append base_failed, quality (posterior probability) and kept to rows that have the features.
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
+def posteriors(voted: DataFrame) -> dict[str, float]:
+    """Posterior of every vote pattern that column _votes has; at most 3^rules counts come to the driver."""
+    counts = {r["_votes"]: r["count"] for r in voted.groupBy("_votes").count().collect()}
+    posterior = estimate(counts, len(RULES)) if counts else {}
+    return {p: posterior[p] for p in counts}
+
 
-    ``counted`` are the same rows for the pattern counts, ``found`` itself by default. Fewer than 50
-    words, or over half of the words in repeated windows, fail in any case.
+def _quality(posterior: dict[str, float]):
+    if not posterior:
+        return F.lit(0.5)
+    table = F.create_map(*[x for p in sorted(posterior) for x in (F.lit(p), F.lit(posterior[p]))])
+    return F.coalesce(table[F.col("_votes")], F.lit(0.5))
+
+
+def judge(found: DataFrame, least: float = 0.5) -> DataFrame:
+    """Append base_failed, quality (posterior probability) and kept to rows that have the features, which are read twice.
+
+    Fewer than 50 words, or over half of the words in repeated windows, fail in any case. Columns that
+    clash with the appended ones are replaced.
     """
-    of = (found if counted is None else counted).select(votes(rules).alias("p")).groupBy("p").count()
-    counts = {r["p"]: r["count"] for r in of.collect()}  # at most 3^rules rows
-    posterior = estimate(counts, len(rules))
-    table = F.create_map(*[x for p in sorted(counts) for x in (F.lit(p), F.lit(posterior[p]))]) if counts else None
-    quality = table[F.col("_votes")] if counts else F.lit(None).cast("double")
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    out = found.withColumn("base_failed", failed).withColumn("_votes", votes(rules)).withColumn("quality", F.coalesce(quality, F.lit(0.5)))
+    voted = found.withColumn("_votes", votes())
+    out = voted.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("quality", _quality(posteriors(voted)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop("_votes")
 
 
-OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_distinct", "n_repeat_words", "base_failed", "quality", "kept"]
+OWN = {*FEATURES, "base_failed", "quality", "kept", "_votes", "_failed"}
 
 
 def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that are kept, with all their columns; clashing names are set aside meanwhile."""
-    aside = {c: f"_held_{c}" for c in docs.columns if c in OWN and c != text}
-    narrow = features(docs.select(F.col(text).alias("text")), "text").drop("text")
-    found = features(docs.withColumnsRenamed(aside), text)
-    # a generator and no filter: a filter would be pushed below the features and repeat their expressions
-    once = F.explode(F.expr("if(kept, array(1), cast(array() as array<int>))")).alias("_once")
-    kept = judge(found, least, counted=narrow).select("*", once).drop("_once")
-    return kept.drop(*OWN).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    """The documents that are kept, with all their columns; clashing names are set aside meanwhile.
+
+    Rules are asked once: rows are written with their votes, of which the counts read nothing else.
+    """
+    mine, back = exchange.set_aside(docs, OWN)
+    text_at = {c: h for h, c in back.items()}.get(text, text)
+    voted = features(mine, text_at).select(*mine.columns, votes().alias("_votes"), F.expr(BASE_FAILED).alias("_failed"))
+    voted = exchange.written(voted, "votes")
+    kept = voted.where(~F.col("_failed") & (_quality(posteriors(voted)) >= least))
+    return kept.drop("_votes", "_failed").withColumnsRenamed(back).select(*docs.columns)

@@ -36,7 +36,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the labels whose doc_id is the page's id; bad is low quality or toxic."""
     outcomes = _table(spark, sf_dir, "labels").select("doc_id", F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
     out = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes)
-    return out.select("page_id", "host", "path", "rule", "verdict", "reputation")
+    return out.select("page_id", "host", "path", "rule", "verdict", F.bround("reputation", 6).alias("reputation"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.features(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     out = quality.judge(exchange.cut(found))  # a few numbers a document
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.bround("quality", 6).alias("quality"))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)

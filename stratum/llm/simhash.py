@@ -224,26 +224,40 @@ def near_pairs(fps: DataFrame, radius: int = 2, blocks: int = 4, most: int = 204
     return out.distinct()
 
 
+#: A node with over this share of all edges, and over this many, is a hub; so there are at most twice as many as the share's inverse.
+HUB_SHARE, HUB_EDGES = 1024, 256
+
+
+def _beside(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (a, ...) with the column m of ``least`` (a, m, n: rows of a). The few hubs, at most 2 * ``HUB_SHARE``, are broadcast, so their rows stay where they are."""
+    limit = max(HUB_EDGES, edges // HUB_SHARE)
+    hubs = least.where(F.col("n") > limit).select("a", F.col("m").alias("hub_m"))
+    marked = rows.join(F.broadcast(hubs), "a", "left")
+    rest = marked.where("hub_m is null").drop("hub_m").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
+    return marked.where("hub_m is not null").withColumnRenamed("hub_m", "m").select(*rest.columns).unionByName(rest)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
 
-    Alternating large-star and small-star steps, each a min per node and one join, so that a
-    hub's neighbours are never gathered in one place.
+    Alternating large-star and small-star steps, each a min per node and one join; the rows of hubs are joined
+    where they are. The number of rounds grows with the logarithm of the largest component, so
+    ``most_rounds`` is out of reach; should labels not have settled by then, ``RuntimeError`` is raised.
     """
     now = exchange.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    n, before = now.count(), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.greatest("b", "m")).alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = exchange.cut(_beside(both.where("b > a"), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _beside(large, least, n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.greatest("b", "m")).alias("a"), F.col("m").alias("b"))
         now = exchange.cut(small.where("a <> b").distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("a")).first())
         if state == before or state[0] == state[2] and now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        n, before = state[0], state
+    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
 def _classes(fp: DataFrame, least: F.Column, radius: int, blocks: int) -> DataFrame:
@@ -493,7 +507,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     meet in the blocks of equal keys of least shingle hashes. Within what candidates join, those are
     compared again by their sets of shingles, and only these links count, directly or not.
     A row with a null id stays only if its group has no other; of rows with the
-    same id and text one stays. Texts without words are one group. All columns pass through.
+    same id and text one stays. Texts without words are one group. All columns pass through, whatever their
+    names; an empty table stays empty.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
@@ -509,7 +524,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     roots = components(_similar(rows, nodes, joined, shingle).distinct())
     named = nodes.select("same", "least").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     stay = exchange.cut(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash")))
-    mine = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    mine, back = exchange.set_aside(docs, {"_hash", "_nth", "_kept_id", "_kept_hash"})
+    mine = mine.withColumn("_hash", F.xxhash64(F.col(text)))
     mine = mine.join(stay, mine[doc_id].eqNullSafe(stay["_kept_id"]) & (mine["_hash"] == stay["_kept_hash"]), "left_semi")
     once = Window.partitionBy(doc_id, "_hash").orderBy(F.lit(1))
-    return mine.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_hash")
+    return mine.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_hash").withColumnsRenamed(back)

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from . import arrays, exchange
 
-SLICES = 4096
+#: Slices for each bucket of the session's shuffles: what is dealt out grows with the input, and so does what the driver counts.
+SLICES_A_BUCKET = 32
 #: The public vocabulary's way to cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beyond ASCII and the control separators, as UTF-8.
@@ -127,13 +128,17 @@ def _binary(matrix: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in matrix], pa.binary())
 
 
+def slices(spark: SparkSession) -> int:
+    return SLICES_A_BUCKET * exchange.partitions(spark)
+
+
 def sequences(docs: DataFrame, encoder: Encoder, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(slice, rank, doc_id, seq, n_tokens, record): the sequences of every text, numbered within hash slices."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(encoder)  # the vocabulary file: fixed, about a megabyte
     key = F.xxhash64(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), key.alias("key"))
-    rows = rows.withColumn("slice", F.shiftrightunsigned("key", 52).cast("int"))
+    rows = rows.withColumn("slice", F.expr(f"cast(pmod(key, {slices(spark)}L) as int)"))
     rows = rows.repartition(exchange.partitions(spark), "slice").sortWithinPartitions("slice", "key", "doc_id", "text")
     names = ["slice", "rank", "doc_id", "seq", "n_tokens", "record"]
 
@@ -172,7 +177,7 @@ def materialise(docs: DataFrame, vocabulary: str, length: int = 512, key: int =
     """(slot, shard, offset, doc_id, seq, n_tokens, record), range-partitioned and sorted by slot.
 
     Slots are a permutation of 0 .. number of sequences - 1; shard and offset (bytes) say where
-    ``write_shards`` puts the record: ``length`` little-endian ids. Every text ends with the end id, so a null or
+    ``write_shards`` puts the record: ``length`` little-endian ids, a stride of which the last byte is a line feed. Every text ends with the end id, so a null or
     empty text is one sequence; what is left of a text's last sequence holds the end id too and n_tokens tells
     how many ids count. Equal rows get different slots; their order does not matter.
     """
@@ -180,41 +185,65 @@ def materialise(docs: DataFrame, vocabulary: str, length: int = 512, key: int =
     with open(vocabulary, "rb") as f:
         encoder = Encoder(f.read())
     table = exchange.written(sequences(docs, encoder, length, doc_id, text), "sequences")
-    exchange.release(spark)
-    counts = {r[0]: r[1] for r in table.groupBy("slice").agg(F.count(F.lit(1))).collect()}  # at most SLICES rows
-    starts = np.zeros(SLICES, np.int64)
-    starts[1:] = np.cumsum([counts.get(i, 0) for i in range(SLICES)])[:-1]
+    counts = {r[0]: r[1] for r in table.groupBy("slice").agg(F.count(F.lit(1))).collect()}  # one row a slice
+    some = slices(spark)
+    starts = np.zeros(some, np.int64)
+    starts[1:] = np.cumsum([counts.get(i, 0) for i in range(some)])[:-1]
     total = sum(counts.values())
-    order, width, n = Feistel(total, key), length * np.dtype(encoder.dtype).itemsize, exchange.partitions(spark)
+    order, step, n = Feistel(total, key), stride(length, np.dtype(encoder.dtype).itemsize), exchange.partitions(spark)
     names = ["slot", "shard", "offset", "part", "doc_id", "seq", "n_tokens", "record"]
 
     def run(batches):
         for b in batches:
             slot = order.forward(starts[b.column(0).to_numpy()] + b.column(1).to_numpy()) if b.num_rows else np.zeros(0, np.int64)
             part = (slot.astype(np.float64) * n / max(1, total)).astype(np.int32).clip(0, n - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * width), pa.array(part), *(b.column(i) for i in range(2, 6))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * step), pa.array(part), *(b.column(i) for i in range(2, 6))], names)
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("part", T.IntegerType()), *table.schema.fields[2:]])
     placed = exchange.by_bucket(table.mapInArrow(run, schema), n, "part").sortWithinPartitions("slot")
     return placed.select("slot", "shard", "offset", F.col("doc_id").alias(doc_id), "seq", "n_tokens", "record")
 
 
+def stride(length: int, width: int = 2) -> int:
+    """Bytes from one record of a shard to the next: the ids and the line feed that Spark's text writer puts behind them."""
+    return length * width + 1
+
+
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write the records as raw files of fixed stride, a folder for each shard.
+    """Write the records as raw files of fixed stride, a folder for each shard: record k of a shard begins at k times the stride.
 
-    Spark's text writer commits whole tasks, so a lost executor leaves no half shard. It puts a line
-    feed after each record: the stride is the record's size plus one byte, and record k of a
-    shard begins at k times the stride.
+    Spark's text writer commits whole tasks, so a lost executor leaves no half shard. Rows are dealt by
+    ranges of slots, cut at the borders of shards, so that a shard is one file.
     """
     n = max(1, (placed.agg(F.max("shard")).first()[0] or 0) + 1)
-    lines = exchange.by_bucket(placed.select(F.col("shard"), "slot", "record"), int(n), "shard").sortWithinPartitions("shard", "slot")
+    lines = exchange.by_bucket(placed.select("shard", "slot", "record"), int(n), "shard").sortWithinPartitions("shard", "slot")
     lines.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
 
 
-def read_from(spark: SparkSession, path: str, shard: int, slot: int, count: int, per_shard: int, length: int, width: int = 2) -> np.ndarray:
-    """``count`` sequences from a slot on within its shard: seeks by stride in the shard's file."""
-    raw = bytes(spark.read.format("binaryFile").load(f"{path}/shard={shard}").select("content").first()[0])
-    stride = length * width + 1
-    at = slot % per_shard
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, stride)[at : at + count, :-1]
-    return np.ascontiguousarray(rows).view(np.uint16 if width == 2 else np.uint32)
+def read_from(spark: SparkSession, path: str, slot: int, count: int, per_shard: int, length: int, width: int = 2) -> DataFrame:
+    """(slot, record) of ``count`` sequences from a slot on, over the borders of shards, in order: a training run that resumes.
+
+    The shards are read as records of fixed length by Hadoop's input format, which seeks to its split by the stride; the
+    row's place is the shard's first slot plus its number in the file. Only the shards of the range are opened. Raises
+    ``IndexError`` if the range goes beyond the last slot.
+    """
+    step = stride(length, width)
+    shards = range(slot // per_shard, (slot + max(1, count) - 1) // per_shard + 1)
+    parts = []
+    for k in shards:
+        conf = {"fixedlengthinputformat.record.length": str(step)}
+        try:
+            rows = spark.sparkContext.newAPIHadoopFile(f"{path}/shard={k}", "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        except Exception as e:
+            if "InvalidInput" in str(e) or "does not exist" in str(e):
+                raise IndexError(f"no shard {k}") from e
+            raise
+        got = rows.toDF("at long, raw binary")
+        parts.append(got.select((F.lit(k * per_shard) + F.col("at") / step).cast("long").alias("slot"), F.expr(f"substring(raw, 1, {length * width})").alias("record")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    out = out.where((F.col("slot") >= slot) & (F.col("slot") < slot + count))
+    if (n := out.count()) != count:
+        raise IndexError(f"{n} of {count} sequences from slot {slot} on exist")
+    return out.orderBy("slot")

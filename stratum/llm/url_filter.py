@@ -3,7 +3,8 @@
 Labelled outcomes are counted per host, registered domain and public suffix. Each level's
 rate is shrunk towards the level above, with a weight that the spread between its members
 gives by the method of moments; a host is blocked when the lower bound of the posterior
-share of bad pages is over a threshold. Only DataFrame and SQL functions are used.
+share of bad pages, a quantile of its Beta distribution, is over a multiple of the share among
+all labelled pages. Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rules of the contract, then public suffixes of two labels.
+from . import exchange
+
+# Rules of the contract, then second labels that registries of two-letter domains hand names out under.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "com.tr", "co.za"]
+SECOND_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "govt", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch"]
+#: Cells of the numerical integral that the Beta quantile is read from, and its reach in standard deviations.
+CELLS, REACH = 200, 9
 
 
 def split_url(url):
@@ -25,12 +30,17 @@ def split_url(url):
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def levels(pages: DataFrame) -> DataFrame:
-    """Append domain (registered domain) and suffix of column host."""
-    two = F.substring_index("host", ".", -2)
-    n = F.when(two.isin(SUFFIXES), F.lit(2)).otherwise(F.lit(1))
+def levels(pages: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
+    """Append domain (registered domain) and suffix of column host.
+
+    A suffix is the last label, or the last two below a two-letter domain if the second last is in
+    ``SECOND_LABELS``, or the longest of ``suffixes`` (a public suffix list without its wild cards) if given.
+    """
     parts = F.split("host", r"\.")
+    n = F.when((F.length(F.element_at(parts, -1)) == 2) & F.get(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 1), F.lit(0)).isin(SECOND_LABELS), F.lit(2)).otherwise(F.lit(1))
     tail = lambda k: F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - k + 1), k), ".")
+    for k in range(2, max([1, *(x.count(".") + 1 for x in suffixes or [])]) + 1):
+        n = F.when(tail(F.lit(k)).isin([x for x in suffixes if x.count(".") + 1 == k]), F.lit(k)).otherwise(n)
     return pages.withColumn("suffix", tail(n)).withColumn("domain", tail(n + 1))
 
 
@@ -48,15 +58,25 @@ def _weight(counts: DataFrame, n: str, bad: str) -> tuple[float, float]:
     return m, min(1000.0, max(1.0, within / between - 1.0)) if between > 1e-9 else 1000.0
 
 
-def _bound(mean, total, z: float):
-    return mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
+def _bound(a: str, b: str, level: float) -> F.Column:
+    """The ``level`` quantile of Beta(a, b), both at least 1: masses of ``CELLS`` cells around the mean, added up from below."""
+    lo, hi = f"greatest(0D, {a} / ({a} + {b}) - {REACH} * {_SD.format(a=a, b=b)})", f"least(1D, {a} / ({a} + {b}) + {REACH} * {_SD.format(a=a, b=b)})"
+    logs = f"transform(sequence(0, {CELLS - 1}), i -> ({a} - 1) * ln({lo} + ({hi} - {lo}) * (i + 0.5D) / {CELLS}) + ({b} - 1) * ln(1 - {lo} - ({hi} - {lo}) * (i + 0.5D) / {CELLS}))"
+    mass = f"transform(array({logs}), l -> transform(l, x -> exp(x - array_max(l))))[0]"
+    step = "struct(s.acc + m as acc, s.i + 1 as i, if(s.acc < goal and s.acc + m >= goal, s.i + (goal - s.acc) / m, s.at) as at)"
+    at = f"transform(array({mass}), w -> transform(array({level}D * aggregate(w, 0D, (s, m) -> s + m)), goal -> aggregate(w, struct(0D as acc, 0D as i, 0D as at), (s, m) -> {step}, s -> s.at))[0])[0]"
+    return F.expr(f"{lo} + ({hi} - {lo}) * {at} / {CELLS}")
+
+
+_SD = "sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
 
 
-def reputations(labelled: DataFrame, z: float = 1.645) -> list[DataFrame]:
-    """[(host, bound), (domain, domain_bound), (suffix, suffix_bound), (all_bound)] from rows (host, domain, suffix, bad 0/1).
+def reputations(labelled: DataFrame, level: float = 0.05) -> tuple[float, list[DataFrame]]:
+    """The share of bad pages among all, and [(host, bound), (domain, domain_bound), (suffix, suffix_bound), (all_bound)] from rows (host, domain, suffix, bad 0/1).
 
     Only what has labels is in them. The bounds of a domain, of a suffix and of all are those of a
     host of which nothing else is known: the level's mean, with the least prior weight on the way down.
+    Parameters of a Beta below 1 count as 1.
     """
     host = labelled.groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
@@ -66,33 +86,46 @@ def reputations(labelled: DataFrame, z: float = 1.645) -> list[DataFrame]:
     suffix = suffix.withColumn("sm", (F.col("sb") + ws * m) / (F.col("sn") + ws))
     domain = domain.join(suffix, "suffix").withColumn("dm", (F.col("db") + wd * F.col("sm")) / (F.col("dn") + wd))
     host = host.join(domain.select("domain", "dm"), "domain")
-    total = F.col("n") + wh
-    return [
-        host.select("host", _bound((F.col("b") + wh * F.col("dm")) / total, total, z).alias("bound")),
-        domain.select("domain", _bound(F.col("dm"), F.lit(wh), z).alias("domain_bound")),
-        suffix.select("suffix", _bound(F.col("sm"), F.lit(min(wh, wd)), z).alias("suffix_bound")),
-        labelled.sparkSession.range(1).select(_bound(F.lit(m), F.lit(min(wh, wd, ws)), z).alias("all_bound")),
+
+    def bounded(df: DataFrame, key: list[str], a, b, out: str) -> DataFrame:
+        one = F.lit(1.0)
+        return df.select(*key, F.greatest(one, a).alias("_a"), F.greatest(one, b).alias("_b")).select(*key, _bound("_a", "_b", level).alias(out))
+
+    prior = lambda mean, w: (F.lit(w) * mean, F.lit(w) * (1 - mean))
+    return m, [
+        bounded(host, ["host"], F.col("b") + wh * F.col("dm"), F.col("n") - F.col("b") + wh * (1 - F.col("dm")), "bound"),
+        bounded(domain, ["domain"], *prior(F.col("dm"), wh), "domain_bound"),
+        bounded(suffix, ["suffix"], *prior(F.col("sm"), min(wh, wd)), "suffix_bound"),
+        bounded(labelled.sparkSession.range(1), [], *prior(F.lit(m), min(wh, wd, ws)), "all_bound"),
     ]
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
-    """Append host, path, rule, verdict, reputation (lower bound).
+APPENDED = ("host", "path", "rule", "verdict", "reputation")
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", rules: list[tuple[str, str]] = RULES, lift: float = 1.5, level: float = 0.05, suffixes: list[str] | None = None) -> DataFrame:
+    """Append host, path, rule, verdict, reputation (lower bound of the share of bad pages).
 
-    ``outcomes`` has rows (key, bad 0/1); repeated keys all count, null keys do not. A url that is
+    ``outcomes`` has rows (key, bad 0/1); repeated keys all count, null keys and outcomes do not. A url that is
     null or has no ``://`` has an empty host and path. The longest fitting rule decides; with none
-    the host is blocked if its bound is over the threshold, else allowed. A host without labels has
-    the bound of its registered domain, else of its suffix, else of all.
+    the host is blocked if its bound is over ``lift`` times the share of bad pages among all labelled ones (at most
+    0.9), else allowed. A host without labels has the bound of its registered domain, else of its suffix, else of all.
+    Rules of equal length that both fit cannot differ but in kind; the later one wins. Repeated rows stay, other columns pass
+    through, those that clash with the appended ones are replaced, and an empty table stays empty.
     """
-    host, path = split_url(f"`{url}`")
-    parsed = pages.withColumn("host", host).withColumn("path", path)
-    labelled = levels(parsed.select(F.col(key).alias("_key"), "host").join(outcomes.where(F.col("bad").isNotNull()).withColumnsRenamed({outcomes.columns[0]: "_key"}), "_key"))
-    hosts, domains, suffixes, everywhere = reputations(labelled, z)
+    mine, back = exchange.set_aside(pages, {*APPENDED, "suffix", "domain", "bound", "domain_bound", "suffix_bound", "all_bound", "_key", "bad"})
+    there = {c: h for h, c in back.items()}
+    host, path = split_url(f"`{there.get(url, url)}`")
+    parsed = mine.withColumn("host", host).withColumn("path", path)
+    known = outcomes.toDF("_key", "bad").where("bad is not null")
+    labelled = levels(parsed.select(F.col(there.get(key, key)).alias("_key"), "host").join(known, "_key"), suffixes)
+    share, (hosts, domains, suffixes_, everywhere) = reputations(labelled, level)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, text in sorted(rules, key=lambda r: len(r[1])):  # the longest is asked first
         rule_host, slash, rule_path = text.partition("/")
         fits = ((F.col("host") == rule_host) | F.col("host").endswith("." + rule_host)) & F.col("path").startswith(slash + rule_path)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    out = levels(parsed).join(hosts, "host", "left").join(domains, "domain", "left").join(F.broadcast(suffixes), "suffix", "left").crossJoin(F.broadcast(everywhere))
+    out = levels(parsed, suffixes).join(hosts, "host", "left").join(domains, "domain", "left").join(F.broadcast(suffixes_), "suffix", "left").crossJoin(F.broadcast(everywhere))
     out = out.select("host", *(c for c in parsed.columns if c != "host"), F.coalesce("bound", "domain_bound", "suffix_bound", "all_bound").alias("reputation"))
-    by_method = F.when(F.col("reputation") > threshold, "block").otherwise("allow")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_method))
+    by_method = F.when(F.col("reputation") > min(0.9, lift * share), "block").otherwise("allow")
+    return exchange.put_back(out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_method)), back, APPENDED)

@@ -111,7 +111,7 @@ def test_suffix_dedup(docs, empty):
 
 
 def test_mixing(docs, empty):
-    rows = mixing.mix(docs.drop("size")).collect()
+    rows = mixing.mix(docs).collect()
     by = collections.defaultdict(int)
     for r in rows:
         assert 0 <= r.taken <= 3 * r.size
@@ -121,11 +121,11 @@ def test_mixing(docs, empty):
     assert mixing.targets([("a", 10), ("b", 10), (None, 10)]) == {"a": 18.75, "b": 7.5, None: 3.75}
     again = mixing.repeat(docs)
     assert again.columns == docs.columns and again.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(by.values())
-    assert mixing.mix(empty.drop("size")).count() == 0
+    assert mixing.mix(empty).count() == 0
 
 
 def test_quality(docs, empty):
-    found = {r.doc_id: r for r in quality.judge(quality.features(docs.select("doc_id", "text")).drop("text")).collect()}
+    found = {r.doc_id: r for r in quality.judge(quality.features(docs).drop("text")).collect()}
     for i, t in enumerate(TEXTS):
         w = WORD.findall(t or "")
         grams = collections.Counter(zip(w, w[1:], w[2:]))
@@ -137,10 +137,10 @@ def test_quality(docs, empty):
 
 
 def test_license(docs, empty):
-    rows = {r.doc_id: r for r in license_scan.scan(docs.select("doc_id", "text")).collect()}
+    rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     assert rows[None].base_labels == "mit" and rows[None].first_word == 0 and rows[11].n_base == 4 and rows[11].base_labels == "apache,mit"
     assert rows[8].labels == "cc-by-nc" and rows[8].base_labels == "" and rows[0].n_words == 0 and rows[0].first_word is None
-    assert license_scan.scan(empty.select("doc_id", "text")).count() == 0
+    assert license_scan.scan(empty).count() == 0
 
 
 def test_urls(spark):
@@ -188,9 +188,17 @@ def test_tokens(spark, docs, empty, tmp_path):
     assert token_output.materialise(empty, VOCABULARY).count() == 0
     placed = token_output.materialise(docs, VOCABULARY, length=64, per_shard=50)
     token_output.write_shards(placed, str(tmp_path / "s"))
-    back = token_output.read_from(spark, str(tmp_path / "s"), 1, 57, 3, 50, 64)
     by = {r.slot: r.record for r in rows}
-    assert (back == np.stack([np.frombuffer(by[57 + k], np.uint16) for k in range(3)])).all()
+    starts = {r.slot: (r.shard, r.offset) for r in rows}
+    raw = {k: b"".join(bytes(r[0]) for r in spark.read.format("binaryFile").load(f"{tmp_path}/s/shard={k}").select("content").collect()) for k in {k for k, _ in starts.values()}}
+    assert all(raw[k][at : at + 128] == by[slot] for slot, (k, at) in starts.items())  # every record lies where the query says
+    for first, count in ((0, 3), (47, 60), (len(rows) - 2, 2), (3, 0)):
+        got = token_output.read_from(spark, str(tmp_path / "s"), first, count, 50, 64).collect()
+        assert [(r.slot, bytes(r.record)) for r in got] == [(k, bytes(by[k])) for k in range(first, first + count)]
+    with pytest.raises(IndexError):
+        token_output.read_from(spark, str(tmp_path / "s"), len(rows) - 2, 3, 50, 64)
+    with pytest.raises(IndexError):
+        token_output.read_from(spark, str(tmp_path / "s"), len(rows) + 500, 1, 50, 64)
 
 
 def _jaccard(a, b, n=5):
