@@ -32,13 +32,11 @@ def assemble(triples: DataFrame) -> DataFrame:
     """Facts of entity subjects, qualifiers attached; long literals drop the fact or the qualifier."""
     fits = lambda x: (F.length(x) < LITERAL_LIMIT) | x.rlike("^[QP][0-9]+$")
     rows = triples.where(F.col("s").startswith("Q")).select("line", F.col("s").alias("subject"), F.col("p").alias("statement"), _bare(F.col("p")).alias("predicate"), _bare(F.col("o")).alias("object")).where(fits(F.col("object")))
-    quals = qualifiers(triples)
-    first = Window.partitionBy("statement").orderBy("line")
-    once = rows.withColumn("nth", F.row_number().over(first))
-    joined = once.join(quals, "statement", "left")
+    # only a statement of its own, which has a suffix, has qualifiers, and only its first row gets them
+    first = rows.where("statement like '%-%'").groupBy("statement").agg(F.min("line").alias("line"))
+    quals = first.join(qualifiers(triples), "statement").select("line", "qualifiers")
     kept = F.filter(F.coalesce("qualifiers", F.array().cast("array<struct<p:string,v:string>>")), lambda q: fits(q["v"]))
-    out = joined.select(F.col("line").alias("fact_id"), "subject", "predicate", "object", F.when(F.col("nth") == 1, kept).otherwise(F.filter(kept, lambda q: F.lit(False))).alias("qualifiers"))
-    return with_items(out)
+    return with_items(rows.join(quals, "line", "left").select(F.col("line").alias("fact_id"), "subject", "predicate", "object", kept.alias("qualifiers")))
 
 
 def nodes(facts: DataFrame) -> DataFrame:
@@ -83,6 +81,19 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("item").agg(F.count_if(F.col("pos") == 0).alias("freq_s"), F.count_if(F.col("pos") > 0).alias("freq_o"))
 
 
+def index_without_side(facts: DataFrame) -> DataFrame:
+    """(item, fact_ids): the legacy index, one list of facts an item, once per occurrence.
+
+    A list of a hot item may be long; where that matters, ``fact_items`` holds the same rows unlisted.
+    """
+    return fact_items(facts).groupBy("item").agg(F.array_sort(F.collect_list("fact_id")).alias("fact_ids"))
+
+
+def rekey(texts: DataFrame, codes: DataFrame) -> DataFrame:
+    """Labels, aliases and descriptions by code; items without a code go."""
+    return texts.join(codes.select("item", "code"), "item").drop("item")
+
+
 def statistics(facts: DataFrame) -> DataFrame:
     """Number of facts, and of those with qualifiers."""
     return facts.agg(F.count(F.lit(1)).alias("n_facts"), F.count_if(F.size("qualifiers") > 0).alias("n_qualified"))
@@ -90,7 +101,7 @@ def statistics(facts: DataFrame) -> DataFrame:
 
 @dataclass
 class KnowledgeBase:
-    """The core tables, written once; the index is clustered by item, so lookups skip most of it."""
+    """The core tables, written once; the index is clustered by item, so lookups skip most of it, and a hot item spans many files."""
 
     facts: DataFrame
     texts: DataFrame
@@ -100,6 +111,36 @@ class KnowledgeBase:
 
     def __post_init__(self):
         self.facts, self.texts = keep(self.facts), keep(self.texts)
-        self.index = keep(fact_items(self.facts).repartition("item").sortWithinPartitions("item", "fact_id"))
+        self.index = keep(fact_items(self.facts).repartitionByRange("item", "fact_id").sortWithinPartitions("item", "fact_id"))
         self.adj = keep(adjacency(self.facts))
         self.freq = keep(frequencies(self.index))
+
+    def save(self, path: str) -> None:
+        """A3: the tables as Parquet, with the dictionary."""
+        for name, df in (("facts", self.facts), ("texts", self.texts), ("index", self.index), ("adj", self.adj), ("freq", self.freq), ("dictionary", dictionary(self.facts))):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> KnowledgeBase:
+        """A3: the tables as saved; nothing is built again."""
+        kb = cls.__new__(cls)
+        for name in ("facts", "texts", "index", "adj", "freq"):
+            setattr(kb, name, spark.read.parquet(f"{path}/{name}"))
+        return kb
+
+
+def build(triples: DataFrame, texts: DataFrame, max_items: int | None = None) -> KnowledgeBase:
+    """From triples and names to a knowledge base; ``max_items``: only facts among the first so many elements."""
+    facts = assemble(triples)
+    if max_items is not None:
+        facts = first_elements(facts, max_items)
+    return KnowledgeBase(facts, texts)
+
+
+def first_elements(facts: DataFrame, max_items: int) -> DataFrame:
+    """The facts that end within the first ``max_items`` elements in fact order, by sums of slices and a sum inside each."""
+    rows = keep(facts.repartitionByRange("fact_id").sortWithinPartitions("fact_id").withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("part").agg(F.sum(F.size("items")).alias("n"))
+    before = sums.alias("x").join(F.broadcast(sums.alias("y")), F.expr("y.part < x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    inside = F.sum(F.size("items")).over(Window.partitionBy("part").orderBy("fact_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("upto", inside).join(F.broadcast(before), "part").where(F.col("before") + F.col("upto") <= max_items).drop("part", "upto", "before")

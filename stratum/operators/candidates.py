@@ -37,15 +37,39 @@ def word_pairs(words: DataFrame) -> DataFrame:
     return a.join(b, F.expr("a.qid = b.qid and a.widx < b.widx")).select("a.qid", F.col("a.widx").alias("i"), F.col("b.widx").alias("j"))
 
 
-def candidates(kb: KnowledgeBase, words: DataFrame, d: int = 20) -> DataFrame:
-    """(qid, widx, word, rank, item): the first 2d hits, of which the first d that have facts stay.
+def spot_by_model(questions: DataFrame, spotter, column: str = "question") -> DataFrame:
+    """(qid, i, label): the names that a model finds. ``spotter`` takes a list of questions and gives a list of lists of names; batches go by Arrow."""
+    import pandas as pd
+
+    kind = questions.schema["qid"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = spotter(b[column].fillna("").tolist())
+            rows = [(q, i, x) for q, xs in zip(b["qid"], found) for i, x in enumerate(xs)]
+            yield pd.DataFrame(rows, columns=["qid", "i", "label"])
+
+    return questions.select("qid", column).mapInPandas(run, f"qid {kind}, i int, label string")
+
+
+def linked_names(kb: KnowledgeBase, words: DataFrame, kind: str = "E") -> DataFrame:
+    """(qid, widx, word, item, label): every word with its first candidate of a kind, and that item's first label."""
+    best = candidates(kb, words, 1, kind).where("rank = 1")
+    return best.join(kb.texts.select("item", F.get("labels", F.lit(0)).alias("label")), "item").select("qid", "widx", "word", "item", "label")
+
+
+def candidates(kb: KnowledgeBase, words: DataFrame, d: int = 20, kind: str | None = None) -> DataFrame:
+    """E2, A9, A10 (``kind``: only entities 'E' or predicates 'P'): (qid, widx, word, rank, item): the first 2d hits, of which the first d that have facts stay.
 
     Hits are ranked by matched tokens, then the shorter label, then the item. The distinct words are looked
     up once, whatever the number of questions.
     """
     distinct = words.select("word").distinct()
     asked = distinct.select("word", F.explode(F.array_distinct(F.split(F.lower("word"), "[ #]+"))).alias("token"))
-    hits = asked.join(lexicon(kb), "token").groupBy("word", "item").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("n_chars"))
+    known = lexicon(kb)
+    if kind:
+        known = known.where(F.col("item").rlike({"E": "^Q[0-9]+$", "P": "^P[0-9]+$"}[kind]))
+    hits = asked.join(known, "token").groupBy("word", "item").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("n_chars"))
     order = Window.partitionBy("word").orderBy(F.desc("n"), "n_chars", "item")
     top = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * d)
     some = top.join(kb.freq.select("item"), "item", "left_semi")

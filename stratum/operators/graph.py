@@ -32,60 +32,126 @@ def two_hop(kb: KnowledgeBase, items: DataFrame, p: int | None = 1000, drop_star
     return first.unionByName(two.select("start", F.lit(2).alias("hop"), F.col("item").alias("via"), "fact_id", "items"))
 
 
+def neighbors(kb: KnowledgeBase, items: DataFrame, indexed: bool = True) -> DataFrame:
+    """C11: distinct (item, neighbor): the stored entities, or without the index all elements of all facts, predicates and literals too."""
+    if indexed:
+        return items.select("item").distinct().join(kb.adj, "item")
+    rows = items.select("item").distinct().join(kb.index.select("item", "items"), "item")
+    return rows.select("item", F.explode("items").alias("neighbor")).distinct()
+
+
+def _smaller_first(kb: KnowledgeBase, pairs: DataFrame) -> DataFrame:
+    """Append a and b: the pair's items, that with fewer facts first, so that hubs are looked into and never expanded."""
+    n = kb.freq.select("item", (F.col("freq_s") + F.col("freq_o")).alias("n"))
+    for c in ("i1", "i2"):
+        pairs = pairs.join(n.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    first = F.coalesce("n_i1", F.lit(0)) <= F.coalesce("n_i2", F.lit(0))
+    return pairs.withColumn("a", F.when(first, F.col("i1")).otherwise(F.col("i2"))).withColumn("b", F.when(first, F.col("i2")).otherwise(F.col("i1"))).drop("n_i1", "n_i2")
+
+
+def shared_neighbors(kb: KnowledgeBase, pairs: DataFrame) -> DataFrame:
+    """(i1, i2, middle) for every common neighbour of a pair."""
+    near = _smaller_first(kb, pairs.select("i1", "i2").distinct()).join(kb.adj.select(F.col("item").alias("a"), F.col("neighbor").alias("middle")), "a")
+    return near.join(kb.adj.select(F.col("item").alias("b"), F.col("neighbor").alias("middle")), ["b", "middle"], "left_semi").select("i1", "i2", "middle")
+
+
 def connectivity(kb: KnowledgeBase, pairs: DataFrame) -> DataFrame:
     """Pairs (i1, i2) with 1 if one is in the other's neighbours, 0.5 if they share one, else 0.
 
-    Only the neighbours of requested items enter the joins.
+    Pairs of weight 1 are settled first; only the others are expanded, from the item with fewer facts.
     """
     pairs = pairs.select("i1", "i2").distinct()
-    wanted = pairs.select(F.col("i1").alias("item")).union(pairs.select(F.col("i2").alias("item"))).distinct()
-    near = keep(kb.adj.join(wanted, "item", "left_semi"))  # read four times
-    straight = pairs.join(near.select(F.col("item").alias("i1"), F.col("neighbor").alias("i2")), ["i1", "i2"])
-    back = pairs.join(near.select(F.col("item").alias("i2"), F.col("neighbor").alias("i1")), ["i1", "i2"]).select("i1", "i2")
-    ones = straight.unionByName(back).withColumn("w", F.lit(1.0))
-    a = pairs.join(near.select(F.col("item").alias("i1"), "neighbor"), "i1")
-    halves = a.join(near.select(F.col("item").alias("i2"), "neighbor"), ["i2", "neighbor"]).select("i1", "i2", F.lit(0.5).alias("w"))
-    none = pairs.withColumn("w", F.lit(0.0))
-    return ones.unionByName(halves).unionByName(none).groupBy("i1", "i2").agg(F.max("w").alias("connectivity"))
+    straight = pairs.join(kb.adj.select(F.col("item").alias("i1"), F.col("neighbor").alias("i2")), ["i1", "i2"], "left_semi")
+    back = pairs.join(kb.adj.select(F.col("item").alias("i2"), F.col("neighbor").alias("i1")), ["i1", "i2"], "left_semi")
+    ones = keep(straight.unionByName(back).distinct())
+    halves = shared_neighbors(kb, pairs.join(ones, ["i1", "i2"], "left_anti")).select("i1", "i2").distinct()
+    some = ones.withColumn("w", F.lit(1.0)).unionByName(halves.withColumn("w", F.lit(0.5)))
+    return pairs.join(some, ["i1", "i2"], "left").select("i1", "i2", F.coalesce("w", F.lit(0.0)).alias("connectivity"))
+
+
+def connectivity_of_sets(kb: KnowledgeBase, pairs: DataFrame, test: str = "smaller") -> DataFrame:
+    """The other backends' test on sets of all elements of all facts, taken from one side only.
+
+    ``test``: 'smaller' looks into the smaller set (ties: the second item's), 'second' into the second item's. Predicates do not count as shared.
+    """
+    pairs = pairs.select("i1", "i2").distinct()
+    items = pairs.select(F.col("i1").alias("item")).union(pairs.select("i2"))
+    near = keep(neighbors(kb, items, indexed=False))
+    size = near.groupBy("item").count()
+    p = pairs.join(size.select(F.col("item").alias("i1"), F.col("count").alias("n1")), "i1", "left").join(size.select(F.col("item").alias("i2"), F.col("count").alias("n2")), "i2", "left").na.fill(0, ["n1", "n2"])
+    into_first = (F.col("n1") < F.col("n2")) if test == "smaller" else F.lit(False)
+    p = p.select("i1", "i2", F.when(into_first, F.col("i1")).otherwise(F.col("i2")).alias("of"), F.when(into_first, F.col("i2")).otherwise(F.col("i1")).alias("what"), F.when(F.col("n1") <= F.col("n2"), F.col("i1")).otherwise(F.col("i2")).alias("a"), F.when(F.col("n1") <= F.col("n2"), F.col("i2")).otherwise(F.col("i1")).alias("b"))
+    ones = p.join(near.select(F.col("item").alias("of"), F.col("neighbor").alias("what")), ["of", "what"], "left_semi").select("i1", "i2", F.lit(1.0).alias("w"))
+    shared = near.where("neighbor not like 'P%' and neighbor <> ''")
+    halves = p.join(shared.select(F.col("item").alias("a"), "neighbor"), "a").join(shared.select(F.col("item").alias("b"), "neighbor"), ["b", "neighbor"], "left_semi").select("i1", "i2", F.lit(0.5).alias("w"))
+    best = ones.unionByName(halves).groupBy("i1", "i2").agg(F.max("w").alias("w"))
+    return pairs.join(best, ["i1", "i2"], "left").select("i1", "i2", F.coalesce("w", F.lit(0.0)).alias("connectivity"))
 
 
 def one_hop_paths(kb: KnowledgeBase, pairs: DataFrame) -> DataFrame:
-    """Facts of i1 that hold i2."""
-    facts = kb.index.select(F.col("item").alias("i1"), "fact_id", "items")
-    return pairs.select("i1", "i2").join(facts, "i1").where(F.array_contains(F.col("items"), F.col("i2"))).dropDuplicates(["i1", "i2", "fact_id"])
+    """The facts of the pair's item with fewer facts (ties: i1) that hold the other, once per occurrence (ledger Q5)."""
+    facts = kb.index.select(F.col("item").alias("a"), "fact_id", "items")
+    return _smaller_first(kb, pairs.select("i1", "i2")).join(facts, "a").where(F.array_contains(F.col("items"), F.col("b"))).select("i1", "i2", "fact_id", "items")
 
 
 def two_hop_paths(kb: KnowledgeBase, pairs: DataFrame, max_middle: int | None = None) -> DataFrame:
-    """C20: (i1, i2, middle) with the numbers of facts on both sides."""
-    near1 = kb.adj.join(pairs.select(F.col("i1").alias("item")).distinct(), "item", "left_semi")
-    near2 = kb.adj.join(pairs.select(F.col("i2").alias("item")).distinct(), "item", "left_semi")
-    both = pairs.select("i1", "i2").join(near1.select(F.col("item").alias("i1"), F.col("neighbor").alias("middle")), "i1")
-    both = both.join(near2.select(F.col("item").alias("i2"), F.col("neighbor").alias("middle")), ["i2", "middle"])
+    """C20: (i1, i2, middle, side, fact_id, items): for every shared neighbour the facts with i1 ('l') and those with i2 ('r').
+
+    ``max_middle`` leaves out neighbours with more facts than that (ledger Q3).
+    """
+    both = shared_neighbors(kb, pairs)
     if max_middle:
-        both = both.join(kb.freq.where(F.col("freq_s") + F.col("freq_o") <= max_middle).select(F.col("item").alias("middle")), "middle", "left_semi")
-    left = one_hop_paths(kb, both.select("i1", F.col("middle").alias("i2")).distinct()).groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("n_left"))
-    right = one_hop_paths(kb, both.select(F.col("i2").alias("i1"), F.col("middle").alias("i2")).distinct()).groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("n_right"))
-    both = both.join(left.select("i1", F.col("i2").alias("middle"), "n_left"), ["i1", "middle"])
-    return both.join(right.select(F.col("i1").alias("i2"), F.col("i2").alias("middle"), "n_right"), ["i2", "middle"]).select("i1", "middle", "i2", "n_left", "n_right")
+        both = both.join(kb.freq.where(F.col("freq_s") + F.col("freq_o") > max_middle).select(F.col("item").alias("middle")), "middle", "left_anti")
+    both = keep(both)
+    steps = both.select(F.col("i1").alias("end"), "middle").union(both.select("i2", "middle")).distinct()
+    facts = keep(one_hop_paths(kb, steps.select(F.col("end").alias("i1"), F.col("middle").alias("i2"))).select(F.col("i1").alias("end"), F.col("i2").alias("middle"), "fact_id", "items"))
+    side = lambda c, name: both.withColumn("end", F.col(c)).join(facts, ["end", "middle"]).select("i1", "i2", "middle", F.lit(name).alias("side"), "fact_id", "items")
+    return side("i1", "l").unionByName(side("i2", "r"))
+
+
+def connect(kb: KnowledgeBase, pairs: DataFrame, hop: float | None = None, max_middle: int | None = None) -> DataFrame:
+    """(i1, i2, hop, middle, side, fact_id, items): the paths of the pair's own connectivity, or of a forced hop (1 or 0.5; else none)."""
+    rows = pairs.select("i1", "i2").distinct()
+    if hop is None:
+        w = keep(connectivity(kb, rows))
+        near, far = (w.where(F.col("connectivity") == x).select("i1", "i2") for x in (1.0, 0.5))
+    else:
+        near, far = (rows if hop == x else rows.limit(0) for x in (1, 0.5))
+    none = F.lit(None).cast("string")
+    one = one_hop_paths(kb, near).select("i1", "i2", F.lit(1.0).alias("hop"), none.alias("middle"), none.alias("side"), "fact_id", "items")
+    return one.unionByName(two_hop_paths(kb, far, max_middle).withColumn("hop", F.lit(0.5)))
 
 
 def distance(kb: KnowledgeBase, pairs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Hops between i1 and i2, null beyond the depth; an item with facts is 1 from itself.
 
-    Breadth first from all i1 at once; a level that reaches nothing new, or all pairs, ends it.
+    The first two hops come from ``connectivity``'s joins. Further on the search is breadth first from the i1 of
+    pairs that are still open, all at once; what is settled goes, and a level that reaches nothing new ends it.
     """
     pairs = pairs.select("i1", "i2").distinct()
-    seen = keep(pairs.select("i1").distinct().join(kb.adj.select(F.col("item").alias("i1"), F.col("neighbor").alias("at")), "i1").withColumn("d", F.lit(1)))
-    front = seen
-    for depth in range(2, max_depth + 1):
-        if pairs.join(seen.select("i1", F.col("at").alias("i2")), ["i1", "i2"], "left_anti").isEmpty():
-            break
-        step = front.select("i1", F.col("at").alias("item")).join(kb.adj, "item").select("i1", F.col("neighbor").alias("at")).distinct()
-        front = keep(step.join(seen.select("i1", "at"), ["i1", "at"], "left_anti").withColumn("d", F.lit(depth)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return pairs.join(seen.select("i1", F.col("at").alias("i2"), "d"), ["i1", "i2"], "left").select("i1", "i2", F.col("d").alias("distance"))
+    step = kb.adj.select(F.col("item").alias("at"), F.col("neighbor").alias("to"))
+    done = keep(pairs.join(kb.adj.select(F.col("item").alias("i1"), F.col("neighbor").alias("i2")), ["i1", "i2"], "left_semi").withColumn("d", F.lit(1)))
+    left = keep(pairs.where("i2 like 'Q%'").join(done, ["i1", "i2"], "left_anti"))  # nothing else is in anyone's neighbours
+    # an entity at the far end has its neighbours on either side, so that two hops are a shared neighbour
+    if max_depth > 1 and not left.isEmpty():
+        two = keep(shared_neighbors(kb, left).select("i1", "i2").distinct().withColumn("d", F.lit(2)))
+        done, left = done.unionByName(two), keep(left.join(two, ["i1", "i2"], "left_anti"))
+    if max_depth > 2 and not left.isEmpty():
+        starts = left.select("i1").distinct()
+        seen = keep(starts.join(kb.adj.select(F.col("item").alias("i1"), F.col("neighbor").alias("at")), "i1"))
+        front = seen
+        for depth in range(2, max_depth + 1):
+            reached = front.join(step, "at").select("i1", F.col("to").alias("at")).distinct()
+            front = keep(reached.join(seen, ["i1", "at"], "left_anti"))
+            if front.isEmpty():
+                break
+            hits = keep(left.join(front.select("i1", F.col("at").alias("i2")), ["i1", "i2"], "left_semi").withColumn("d", F.lit(depth)))
+            done, left = done.unionByName(hits), keep(left.join(hits, ["i1", "i2"], "left_anti"))
+            if left.isEmpty():
+                break
+            open_ = left.select("i1").distinct()
+            front, seen = front.join(open_, "i1", "left_semi"), keep(seen.unionByName(front).join(open_, "i1", "left_semi"))
+    return pairs.join(done, ["i1", "i2"], "left").select("i1", "i2", F.col("d").alias("distance"))
 
 
 def search_space_of(kb: KnowledgeBase, tuples: DataFrame, p: int | None = 1000) -> DataFrame:

@@ -18,8 +18,11 @@ def names(kb: KnowledgeBase, items: DataFrame) -> DataFrame:
     return found.select(*items.columns, "labels", F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(own).alias("aliases"), F.coalesce("description", F.lit("None")).alias("description"), X.single_label(F.col("item"), F.col("labels")).alias("label"))
 
 
-def frequency(kb: KnowledgeBase, items: DataFrame) -> DataFrame:
-    """[0, 0] for what is unknown or a literal."""
+def frequency(kb: KnowledgeBase, items: DataFrame, qualifiers: bool = True) -> DataFrame:
+    """[0, 0] for what is unknown or a literal; C27: without ``qualifiers`` only subjects and objects count."""
+    if not qualifiers:
+        own = kb.index.where("pos in (0, 2)").groupBy("item").agg(F.count_if(F.col("pos") == 0).alias("freq_s"), F.count_if(F.col("pos") == 2).alias("freq_o"))
+        return items.join(own, "item", "left").select(*items.columns, F.coalesce("freq_s", F.lit(0)).alias("freq_s"), F.coalesce("freq_o", F.lit(0)).alias("freq_o"))
     return items.join(kb.freq, "item", "left").select(*items.columns, F.coalesce("freq_s", F.lit(0)).alias("freq_s"), F.coalesce("freq_o", F.lit(0)).alias("freq_o"))
 
 
@@ -52,10 +55,21 @@ def decode(codes: DataFrame, dictionary: DataFrame) -> DataFrame:
     return codes.join(dictionary.select("item", "code"), "code", "left")
 
 
-def labelled(kb: KnowledgeBase, facts: DataFrame, key: list[str]) -> DataFrame:
-    """Every element of a fact as (id, label), in place."""
+def labelled(kb: KnowledgeBase, facts: DataFrame, key: list[str], types: bool = False) -> DataFrame:
+    """Every element of a fact as (id, label), or with ``types`` as (id, label, type (id, label)), in place.
+
+    Each distinct element is looked up once, whatever the number of facts that hold it.
+    """
     flat = facts.select(*key, F.posexplode("items").alias("at", "item"))
-    return names(kb, flat).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("item").alias("id"), "label"))), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"))).alias("elements"))
+    known = names(kb, flat.select("item").distinct()).select("item", "label")
+    inside = [F.col("item").alias("id"), F.col("label")]
+    if types:
+        best = top_type(kb, known.select("item"))
+        of = best.join(names(kb, best.select(F.col("type_id").alias("item")).distinct()).select(F.col("item").alias("type_id"), F.col("label").alias("type_label")), "type_id")
+        known = known.join(of.select("item", F.struct(F.col("type_id").alias("id"), F.col("type_label").alias("label")).alias("type")), "item", "left")
+        inside.append(F.col("type"))
+    rows = flat.join(known, "item").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", F.struct(*inside).alias("x")))).alias("xs"))
+    return rows.select(*key, F.col("xs.x").alias("elements"))
 
 
 __all__ = ["decode", "encode", "frequency", "kind_of", "known", "labelled", "names", "top_type", "types"]

@@ -28,10 +28,26 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(f"{a}.vec"), F.col(f"{b}.vec")) / (F.col(f"{a}.norm") * F.col(f"{b}.norm"))
 
 
-def item_vectors(kb: KnowledgeBase, found: DataFrame, word_vec: DataFrame) -> DataFrame:
-    """E5: (item, vec, norm) by the item's label."""
-    labels = found.select("item").distinct().join(kb.texts, "item").select("item", X.single_label(F.col("item"), F.col("labels")).alias("phrase"))
-    return labels.join(embed(labels, word_vec), "phrase").select("item", "vec", "norm")
+def item_vectors(kb: KnowledgeBase, found: DataFrame, word_vec: DataFrame, titles: DataFrame | None = None, title_vec: DataFrame | None = None) -> DataFrame:
+    """E5: (item, vec, norm): an entity's title vector if ``titles`` (item, title) and ``title_vec`` (title, vec) have one, else by its label.
+
+    Predicates go by their label, anything else by its own text.
+    """
+    items = found.select("item").distinct()
+    labels = items.join(kb.texts, "item", "left").select("item", X.single_label(F.col("item"), F.coalesce("labels", F.array("item"))).alias("phrase"))
+    by_label = labels.join(embed(labels, word_vec), "phrase").select("item", "vec", "norm")
+    if titles is None or title_vec is None:
+        return by_label
+    shown = titles.where(X.is_entity(F.col("item"))).select("item", F.regexp_replace(F.regexp_replace("title", "%27", "'"), "_", " ").alias("title"))
+    own = items.join(shown, "item").join(title_vec, "title").select("item", "vec").withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
+    return own.unionByName(by_label.join(own.select("item"), "item", "left_anti"))
+
+
+def matching_by_vectors(found: DataFrame, words: DataFrame, word_vec: DataFrame, items: DataFrame) -> DataFrame:
+    """The alternative matching score: cosine of an item and its own question word; 0 where either has no vector."""
+    wv = embed(words.select(F.col("word").alias("phrase")), word_vec).select(F.col("phrase").alias("word"), "vec", "norm")
+    both = found.alias("f").join(items.alias("a"), "item").join(wv.alias("b"), "word").select("qid", "widx", "item", cosine("a", "b").alias("sim"))
+    return found.join(both, ["qid", "widx", "item"], "left").select("qid", "widx", "item", F.coalesce("sim", F.lit(0.0)).alias("similarity"))
 
 
 def relevance(found: DataFrame, words: DataFrame, word_vec: DataFrame, items: DataFrame) -> DataFrame:
@@ -83,20 +99,35 @@ def tuple_score(edges: DataFrame, tuples: DataFrame) -> DataFrame:
     return pairs.join(edges, ["qid", "i1", "i2"], "left").groupBy("qid").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("score"))
 
 
-def graph_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(qid, item, root): smallest label spread along the edges until nothing changes."""
-    both = edges.select("qid", F.col("i1").alias("a"), F.col("i2").alias("b")).union(edges.select("qid", F.col("i2"), F.col("i1")))
-    both = keep(both)
-    now = both.select("qid", F.col("a").alias("item")).distinct().withColumn("root", F.col("item"))
+def edge_weight(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stored weight of (qid, i1, i2) in either order, or 0."""
+    ordered = pairs.withColumn("lo", F.least("i1", "i2")).withColumn("hi", F.greatest("i1", "i2"))
+    stored = edges.select("qid", F.col("i1").alias("lo"), F.col("i2").alias("hi"), "w")
+    return ordered.join(stored, ["qid", "lo", "hi"], "left").select("qid", "i1", "i2", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def graph_nodes(found: DataFrame) -> DataFrame:
+    """(qid, item, words): the nodes with the question words that they stand for, in order."""
+    return found.groupBy("qid", "item").agg(F.array_sort(F.collect_set("widx")).alias("words"))
+
+
+def graph_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(qid, item, root): root is the smallest item linked, directly or not.
+
+    Labels spread along the edges and then jump to their label's label, so that the rounds grow with the logarithm of
+    the longest path; ``RuntimeError`` if they have not settled in ``rounds``.
+    """
+    both = keep(edges.select("qid", F.col("i1").alias("item"), F.col("i2").alias("other")).union(edges.select("qid", F.col("i2"), F.col("i1"))).distinct())
+    now = keep(both.select("qid", "item").distinct().withColumn("root", F.col("item")))
     for _ in range(rounds):
-        near = both.join(now, (both["qid"] == now["qid"]) & (both["b"] == now["item"])).select(both["qid"], F.col("a").alias("item"), "root")
-        new = now.union(near).groupBy("qid", "item").agg(F.min("root").alias("root"))
-        new = keep(new)
-        changed = not new.join(now, ["qid", "item", "root"], "left_anti").isEmpty()
+        near = both.join(now.select("qid", F.col("item").alias("other"), "root"), ["qid", "other"]).select("qid", "item", "root")
+        spread = now.unionByName(near).groupBy("qid", "item").agg(F.min("root").alias("root"))
+        jump = now.select("qid", F.col("item").alias("root"), F.col("root").alias("further"))
+        new = keep(spread.join(jump, ["qid", "root"]).select("qid", "item", F.least("root", "further").alias("root")))
+        if new.join(now, ["qid", "item", "root"], "left_anti").isEmpty():
+            return now
         now = new
-        if not changed:
-            break
-    return now
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-__all__ = ["candidate_pairs", "coherence_edges", "connectivity_edges", "embed", "graph_components", "item_vectors", "relevance", "single_score", "tuple_score"]
+__all__ = ["candidate_pairs", "coherence_edges", "connectivity_edges", "edge_weight", "embed", "graph_components", "graph_nodes", "item_vectors", "matching_by_vectors", "relevance", "single_score", "tuple_score"]

@@ -57,10 +57,20 @@ def _items(kb: B.KnowledgeBase, *spaces: str) -> DataFrame:
     return kb.texts.select("item").where(F.substring("item", 2, 1).cast("int").isin(wanted) & (F.length("item") == 11))
 
 
-def _pairs(kb: B.KnowledgeBase, left: str, right: str) -> DataFrame:
-    """All pairs of two spaces of which the second is a fixed handful, told to the optimizer as such."""
-    others = F.array(*[F.lit(r[0]) for r in _items(kb, right).collect()])
-    return _items(kb, left).select(F.col("item").alias("i1"), F.explode(others).alias("i2"))
+#: Spaces of which the fixture has a fixed handful of items, whatever its size.
+FEW = ("region", "nation", "class")
+
+
+def _few(kb: B.KnowledgeBase, *spaces: str, predicates: bool = False) -> DataFrame:
+    """Items of small spaces, and the predicates: at most some dozens."""
+    assert set(spaces) <= set(FEW)
+    some = _items(kb, *spaces)
+    return some.union(kb.texts.where("item like 'P%'").select("item")) if predicates else some
+
+
+def _pairs(left: DataFrame, few: DataFrame) -> DataFrame:
+    """Every left item with every one of a few: grows with the left items only."""
+    return left.select(F.col("item").alias("i1")).crossJoin(F.broadcast(few.select(F.col("item").alias("i2"))))
 
 
 def _joined(x: str):
@@ -115,40 +125,115 @@ def top_type(spark, sf_dir):
     return L.top_type(kb, kb.texts.select("item"))
 
 
+def _digest(rows: DataFrame) -> DataFrame:
+    """Per item and side the number of facts, and the first and last of them."""
+    side, fact = F.when(F.col("pos") == 0, "s").otherwise("o"), F.array_join("items", "|")
+    return rows.groupBy("item", side.alias("side")).agg(F.count(F.lit(1)).alias("n_facts"), F.min(fact).alias("first_fact"), F.max(fact).alias("last_fact"))
+
+
 def neighborhood(spark, sf_dir):
     kb = base(spark, sf_dir)
-    return G.neighborhood(kb, _items(kb, "nation", "supplier", "customer"), None).select("item", F.when(F.col("pos") == 0, "s").otherwise("o").alias("side"), _joined("items"))
+    return _digest(G.neighborhood(kb, kb.texts.select("item"), None))
 
 
 def neighborhood_pruned(spark, sf_dir):
     kb = base(spark, sf_dir)
-    return G.neighborhood(kb, _items(kb, "region", "nation", "supplier", "class"), 100).select("item", F.when(F.col("pos") == 0, "s").otherwise("o").alias("side"), _joined("items"))
+    return _digest(G.neighborhood(kb, kb.texts.select("item"), 100))
 
 
-def two_hop(spark, sf_dir):
+def neighborhood_typed(spark, sf_dir):
+    """Facts of nations and regions with every element's label and type."""
+    kb = base(spark, sf_dir)
+    rows = G.neighborhood(kb, _few(kb, "nation", "region"), 1000)
+    shown = L.labelled(kb, rows.select("fact_id", "items").dropDuplicates(["fact_id"]), ["fact_id"], types=True)
+    text = F.array_join(F.transform("elements", lambda e: F.concat(e["label"], F.lit("/"), F.coalesce(e["type"]["label"], F.lit("")))), "|")
+    return rows.join(shown, "fact_id").select("item", F.when(F.col("pos") == 0, "s").otherwise("o").alias("side"), text.alias("fact"))
+
+
+def neighbors_unindexed(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.neighbors(kb, kb.texts.select("item"), indexed=False).groupBy("item").agg(F.count(F.lit(1)).alias("n_neighbors"), F.min("neighbor").alias("first_neighbor"), F.max("neighbor").alias("last_neighbor"))
+
+
+def legacy_index(spark, sf_dir):
+    return B.index_without_side(base(spark, sf_dir).facts).select("item", F.size("fact_ids").cast("long").alias("n_facts"))
+
+
+def frequency_main(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return L.frequency(kb, kb.texts.select("item"), qualifiers=False)
+
+
+def rekeyed_texts(spark, sf_dir):
+    """Labels by code, and the codes turned back."""
     kb = base(spark, sf_dir)
-    out = G.two_hop(kb, _items(kb, "region"), 1000)
+    codes = _held(spark, sf_dir, "codes", lambda: B.dictionary(kb.facts))
+    return L.decode(B.rekey(kb.texts, codes), codes).select("code", "item", F.array_join("labels", "|").alias("labels"))
+
+
+def encoded(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    codes = _held(spark, sf_dir, "codes", lambda: B.dictionary(kb.facts))
+    return L.encode(kb.texts.select("item").union(spark.createDataFrame([("Q1",), ("nothing",)], "item string")), codes)
+
+
+def _two_hop_digest(out: DataFrame) -> DataFrame:
     return out.groupBy("start", "hop", "via").agg(F.count(F.lit(1)).alias("n_facts"), F.min(F.array_join("items", "|")).alias("first_fact"))
 
 
+def two_hop(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return _two_hop_digest(G.two_hop(kb, _few(kb, "region", "nation"), 1000))
+
+
+def two_hop_all(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return _two_hop_digest(G.two_hop(kb, _few(kb, "region", "nation"), 1000, drop_start_facts=False))
+
+
+def _some_pairs(kb: B.KnowledgeBase) -> DataFrame:
+    """Suppliers, nations and predicates with nations, regions, classes and predicates; an item with itself among them."""
+    left = _items(kb, "supplier").union(_few(kb, "nation", predicates=True))
+    return _pairs(left, _few(kb, "nation", "region", "class", predicates=True))
+
+
 def connectivity(spark, sf_dir):
     kb = base(spark, sf_dir)
-    return G.connectivity(kb, _pairs(kb, "supplier", "nation").union(_pairs(kb, "supplier", "region")))
+    return G.connectivity(kb, _some_pairs(kb))
+
+
+def connectivity_of_sets(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return G.connectivity_of_sets(kb, _some_pairs(kb))
+
+
+def _paths(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy("i1", "i2", *key).agg(F.count(F.lit(1)).alias("n_facts"), F.min(F.array_join("items", "|")).alias("first_fact"))
 
 
 def connect_1hop(spark, sf_dir):
+    """Customers, suppliers and predicates with nations and classes."""
     kb = base(spark, sf_dir)
-    return G.one_hop_paths(kb, _pairs(kb, "customer", "nation")).select("i1", "i2", _joined("items"))
+    left = _items(kb, "customer", "supplier").union(kb.texts.where("item like 'P%'").select("item"))
+    return _paths(G.one_hop_paths(kb, _pairs(left, _few(kb, "nation", "class"))))
 
 
 def connect_2hop(spark, sf_dir):
     kb = base(spark, sf_dir)
-    return G.two_hop_paths(kb, _pairs(kb, "supplier", "region"))
+    return _paths(G.two_hop_paths(kb, _pairs(_items(kb, "supplier"), _few(kb, "region"))), "middle", "side")
+
+
+def connect(spark, sf_dir):
+    """Suppliers with nations and regions: the facts of one hop, or those of two."""
+    kb = base(spark, sf_dir)
+    return _paths(G.connect(kb, _pairs(_items(kb, "supplier"), _few(kb, "region", "nation"))), "hop", "middle", "side")
 
 
 def distance(spark, sf_dir):
+    """Regions, nations and classes with one another, and with themselves."""
     kb = base(spark, sf_dir)
-    return G.distance(kb, _pairs(kb, "region", "class"))
+    some = _few(kb, "region", "nation", "class")
+    return G.distance(kb, _pairs(some, some))
 
 
 def _tuples(kb: B.KnowledgeBase) -> DataFrame:
@@ -173,6 +258,12 @@ def context_graph(spark, sf_dir):
     return out.groupBy("tid").agg(F.count(F.lit(1)).alias("n_facts"), F.countDistinct("fact_id").alias("n_distinct"))
 
 
+def verbalized(spark, sf_dir):
+    """All facts as text."""
+    kb = base(spark, sf_dir)
+    return P.verbalize(kb, kb.facts).select("text")
+
+
 def _words(spark, sf_dir):
     kb = base(spark, sf_dir)
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("label")).distinct()
@@ -194,6 +285,22 @@ def candidates(spark, sf_dir):
     return _found(spark, sf_dir)[0].select("qid", "widx", "word", "rank", "item", C.matching(F.col("rank")).alias("match"))
 
 
+def candidates_by_kind(spark, sf_dir):
+    """The first three entities, and the first three predicates, of every word."""
+    kb, _, words = _words(spark, sf_dir)
+    rows = [C.candidates(kb, words, 3, k).withColumn("kind", F.lit(k)) for k in "EP"]
+    return rows[0].unionByName(rows[1]).select("kind", "qid", "widx", "rank", "item")
+
+
+def linked_names(spark, sf_dir):
+    kb, _, words = _words(spark, sf_dir)
+    return C.linked_names(kb, words)
+
+
+def word_pairs(spark, sf_dir):
+    return C.word_pairs(_words(spark, sf_dir)[2])
+
+
 def auto_k(spark, sf_dir):
     kb, _, words = _words(spark, sf_dir)
     return C.auto_k(kb, _found(spark, sf_dir)[0], words)
@@ -249,6 +356,48 @@ def coherence_score(spark, sf_dir):
     return S.single_score(found, words, keep(S.coherence_edges(pairs, _vectors(spark, sf_dir)[1])), "coh")
 
 
+def _edges(spark, sf_dir):
+    kb = base(spark, sf_dir)
+    return _held(spark, sf_dir, "edges", lambda: S.connectivity_edges(kb, _found(spark, sf_dir)[1]))
+
+
+def graph_nodes(spark, sf_dir):
+    return S.graph_nodes(_found(spark, sf_dir)[0]).select("qid", "item", F.array_join("words", ",").alias("words"))
+
+
+def edge_weights(spark, sf_dir):
+    """Every candidate pair, asked for the other way round."""
+    pairs = _found(spark, sf_dir)[1]
+    return S.edge_weight(_edges(spark, sf_dir), pairs.select("qid", F.col("i2").alias("i1"), F.col("i1").alias("i2")))
+
+
+def graph_components(spark, sf_dir):
+    return S.graph_components(_edges(spark, sf_dir))
+
+
+def tuple_score(spark, sf_dir):
+    """The best items of a question's words as a tuple."""
+    top = _chosen(spark, sf_dir)[2].where("place = 1").select("qid", "item").distinct()
+    return S.tuple_score(_edges(spark, sf_dir), top).select("qid", F.bround("score", 6).alias("score"))
+
+
+def matching_similarity(spark, sf_dir):
+    words, (vec, items) = _words(spark, sf_dir)[2], _vectors(spark, sf_dir)
+    out = S.matching_by_vectors(_found(spark, sf_dir)[0], words, vec, items)
+    return out.select("qid", "widx", "item", F.bround("similarity", 4).alias("similarity"))
+
+
+def topk_fagin(spark, sf_dir):
+    rows = P.weighted(_scored(spark, sf_dir)[3], P.Parameters())
+    return P.fagin(rows, 5).select("qid", "widx", "item", F.bround("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
+
+
+def topk_padded(spark, sf_dir):
+    kb, _, words, rows = _scored(spark, sf_dir)
+    top = P.top_k(P.weighted(rows, P.Parameters()), 25)
+    return P.padded(top, words, 25).select("qid", "widx", "item", F.bround("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
+
+
 def topk(spark, sf_dir):
     out = _chosen(spark, sf_dir)[2]
     return out.select("qid", "widx", "item", "match", "rel", "conn", "coh", F.bround("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
@@ -265,6 +414,41 @@ def answer_presence(spark, sf_dir):
     return P.evaluate(P.search_space(kb, chosen), questions)
 
 
+def search_space_typed(spark, sf_dir):
+    """The interface's result: every fact's labels and types, and the items behind it."""
+    kb, _, chosen = _chosen(spark, sf_dir)
+    items, facts = P.result(kb, chosen, P.search_space(kb, chosen), types=True)
+    text = F.array_join(F.transform("elements", lambda e: F.concat(e["label"], F.lit("/"), F.coalesce(e["type"]["label"], F.lit("")))), "|")
+    shown = items.select("qid", "widx", "place", F.col("kb_item.item.label").alias("label"), F.col("kb_item.question_word").alias("word"))
+    return facts.select("qid", "widx", "place", text.alias("fact")).join(shown, ["qid", "widx", "place"]).select("qid", "widx", F.col("place").cast("int").alias("place"), "label", "word", "fact")
+
+
+def search_space_bm25(spark, sf_dir):
+    """Search spaces of at most 50 facts, the best by BM25."""
+    kb, questions, chosen = _chosen(spark, sf_dir)
+    par = P.Parameters(bm25_limit=50)
+    return P.search_space(kb, chosen, par, questions).groupBy("qid").agg(F.count(F.lit(1)).alias("n_facts"))
+
+
+def bm25_facts(spark, sf_dir):
+    """Scores of the 50 best facts of every question's search space."""
+    kb, questions, chosen = _chosen(spark, sf_dir)
+    space = P.search_space(kb, chosen)
+    docs = space.withColumn("did", F.struct("widx", "place", "fact_id", "pos", "item")).join(P.verbalize(kb, space), "fact_id").select("qid", "did", "text")
+    out = P.bm25(docs, questions, 50)
+    return out.select("qid", F.bround("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
+
+
+def answer_facts(spark, sf_dir):
+    kb, questions, chosen = _chosen(spark, sf_dir)
+    return P.answer_facts(P.search_space(kb, chosen), questions).groupBy("qid", "answer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def running_presence(spark, sf_dir):
+    rows = answer_presence(spark, sf_dir).withColumn("benchmark", F.lit("all"))
+    return readers.running_presence(rows).select("qid", F.bround("running", 6).alias("running"))
+
+
 def benchmark_summary(spark, sf_dir):
     kb, questions, words, rows = _scored(spark, sf_dir)
     return P.sweep(kb, words, questions, rows)
@@ -281,12 +465,46 @@ def bm25(spark, sf_dir):
 
 
 def flat_list(spark, sf_dir):
-    """Facts written as a flat list and read back."""
-    facts = base(spark, sf_dir).facts.where("predicate in ('P361', 'P17', 'P31')")
-    numbered = facts.select(F.concat_ws("|", "predicate", "subject").alias("k"), F.posexplode("items").alias("i", "item")).select(F.struct("k", "i").alias("pos"), "item")
+    """All facts, qualifiers included, written as a flat list and read back."""
+    numbered = base(spark, sf_dir).facts.select("fact_id", F.posexplode("items").alias("i", "item")).select(F.struct("fact_id", "i").alias("pos"), "item")
     return readers.parse_flat(numbered).select(_joined("items"))
 
 
+def _triples(spark, sf_dir):
+    """The facts as triples: statements with qualifiers have a number, and their qualifiers a row each."""
+    facts = base(spark, sf_dir).facts
+    named = F.when(F.size("qualifiers") > 0, F.concat("predicate", F.lit("-"), F.col("fact_id").cast("string"))).otherwise(F.col("predicate"))
+    rows = facts.select(F.col("subject").alias("s"), named.alias("p"), F.col("object").alias("o"), "fact_id", "qualifiers")
+    of = rows.select(F.col("p").alias("s"), "fact_id", F.explode("qualifiers").alias("q")).select("s", F.col("q.p").alias("p"), F.col("q.v").alias("o"), "fact_id")
+    return rows.drop("qualifiers").unionByName(of).withColumnRenamed("fact_id", "line")
+
+
+def assembled(spark, sf_dir):
+    """Facts put together again from triples; qualifiers are a set, in order."""
+    return B.assemble(_held(spark, sf_dir, "triples", lambda: _triples(spark, sf_dir))).select(_joined("items"))
+
+
+def triple_pattern(spark, sf_dir):
+    """Everything that is in a nation."""
+    triples = _held(spark, sf_dir, "triples", lambda: _triples(spark, sf_dir))
+    return readers.search_triples(triples, p="P17").select("s", "o")
+
+
+def facts_of_rows(spark, sf_dir):
+    """Facts put together from result rows with a qualifier each."""
+    rows = base(spark, sf_dir).facts.select(F.col("fact_id").alias("statement"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), F.explode_outer("qualifiers").alias("q"))
+    return readers.facts_of_rows(rows.select("statement", "s", "p", "o", F.col("q.p").alias("qp"), F.col("q.v").alias("qo"))).select(_joined("items"))
+
+
+def clean_values(spark, sf_dir):
+    """Cells as an endpoint returns them: addresses, typed literals, plain ones."""
+    kb = base(spark, sf_dir)
+    cells = kb.texts.select(F.concat(F.lit("http://www.wikidata.org/entity/"), "item").alias("cell"))
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).distinct()
+    cells = cells.union(days.select(F.concat(F.lit('"+'), "d", F.lit('T00:00:00Z"^^<http://www.w3.org/2001/XMLSchema#dateTime>')))).union(days.select(F.substring("d", 1, 4)).distinct())
+    return cells.select("cell", readers.clean_value(F.col("cell")).alias("item"))
+
+
 def date_labels(spark, sf_dir):
     days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00:00Z"')).alias("item")).distinct()
     label = X.timestamp_label(F.col("item"))
@@ -295,8 +513,10 @@ def date_labels(spark, sf_dir):
 
 
 _ALL = (
-    kb_facts, kb_qualifiers, kb_dictionary, kb_adjacency, kb_statistics, frequency, is_known, labels, types, top_type, neighborhood, neighborhood_pruned, two_hop, connectivity, connect_1hop, connect_2hop, distance,
-    search_space_union, connected_space, context_graph, question_words, candidates, auto_k, dynamic_p, relevance, connectivity_score, coherence_score, topk, search_space, answer_presence, benchmark_summary, bm25, flat_list, date_labels,
+    kb_facts, kb_qualifiers, kb_dictionary, kb_adjacency, kb_statistics, frequency, frequency_main, is_known, labels, types, top_type, encoded, rekeyed_texts, legacy_index, neighbors_unindexed, neighborhood, neighborhood_pruned, neighborhood_typed,
+    two_hop, two_hop_all, connectivity, connectivity_of_sets, connect_1hop, connect_2hop, connect, distance, search_space_union, connected_space, context_graph, verbalized, question_words, word_pairs, candidates, candidates_by_kind, linked_names,
+    auto_k, dynamic_p, relevance, matching_similarity, graph_nodes, edge_weights, graph_components, tuple_score, connectivity_score, coherence_score, topk, topk_fagin, topk_padded, search_space, search_space_typed, search_space_bm25, bm25_facts,
+    answer_presence, answer_facts, running_presence, benchmark_summary, bm25, flat_list, assembled, triple_pattern, facts_of_rows, clean_values, date_labels,
 )
 
 

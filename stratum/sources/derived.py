@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import keep
+
 #: Name spaces of entity numbers: 'Q' || (space * 10^9 + key).
 SPACES = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "order": 6, "class": 7}
 CLASSES = ["region", "nation", "customer", "supplier", "part"]
+#: Names of the predicates.
+PREDICATES = {"P31": "instance of", "P106": "occupation", "P361": "part of", "P17": "country", "P50": "placed by", "P585": "point in time", "P527": "has part", "P176": "manufacturer", "P1114": "quantity"}
 
 
 def entity(space: str, key):
@@ -38,6 +42,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = t("lineitem")
     quantity = F.col("l_quantity").cast("long").cast("string")
     parts.append(make(line, 5, entity("order", F.col("l_orderkey")), "P527", entity("part", F.col("l_partkey")), q(("P176", entity("supplier", F.col("l_suppkey"))), ("P1114", quantity)), *line.columns))
+    # second types: a more frequent one for suppliers, one as frequent as the first for nations
+    parts.append(make(t("supplier"), 6, entity("supplier", F.col("s_suppkey")), "P106", _class("customer"), none, "s_suppkey"))
+    parts.append(make(t("nation"), 7, entity("nation", F.col("n_nationkey")), "P106", entity("class", F.lit(6)), none, "n_nationkey"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -66,6 +73,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         make(t("part"), entity("part", F.col("p_partkey")), F.col("p_name"), F.concat_ws(" ", "p_brand", "p_name"), F.col("p_type")),
         make(t("orders"), entity("order", F.col("o_orderkey")), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string"))),
         make(classes, entity("class", F.col("k")), F.col("n")),
+        make(spark.createDataFrame(list(PREDICATES.items()), "item string, n string").coalesce(1), F.col("item"), F.col("n")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -75,10 +83,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, question, answers): one for every distinct part name, about a nation by turns."""
-    from pyspark.sql import Window
-
     names = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    numbered = names.withColumn("qid", F.row_number().over(Window.orderBy("p_name")) - 1)  # as many rows as names
+    ranged = keep(names.repartitionByRange("p_name").sortWithinPartitions("p_name").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").count()
+    before = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.expr("y.part < x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.count"), F.lit(0)).alias("before"))
+    numbered = ranged.join(F.broadcast(before), "part").withColumn("qid", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("p_name")) - 1)
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     out = numbered.join(F.broadcast(nation), F.col("qid") % 25 == F.col("n_nationkey"))
     text = F.concat(F.lit("Which part is the "), F.col("p_name"), F.lit(" from "), F.col("n_name"), F.lit("?"))
