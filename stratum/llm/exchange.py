@@ -51,10 +51,12 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; partitions and their order stay.
 
     The shuffle files made on the way go at once; the files that remain need none of them and go with the session.
+    ``keep_partitioning``: later steps know how the rows are dealt, and do not deal them again. For that
+    the plan must not change as it runs.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -62,8 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared_folder(spark))
         fs, p = _path(spark, sc._jsc.sc().getCheckpointDir().get())
         fs.deleteOnExit(p)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     with dropping_shuffles(spark):
-        return df.select("*").checkpoint(eager=True)  # a query of its own, so that it takes the setting up
+        try:
+            if keep_partitioning:
+                spark.conf.set("spark.sql.adaptive.enabled", "false")
+            return df.select("*").checkpoint(eager=True)  # a query of its own, so that it takes the settings up
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

@@ -1,11 +1,16 @@
 """Exact substring de-duplication by blockwise suffix sorting with a difference cover.
 
 Two equal strings of ``length`` bytes at any two places share an offset below the cover's
-period at which both places belong to the cover sample, whatever their positions are. So the
-sample suffixes alone, ranked by their first ``length - period + 1`` bytes, tell which places can
-repeat at all, and a rank that only one place has settles all ties through that place. The
-remaining suffixes are dealt into buckets of their key, and one bucket is sorted at a time.
-Memory is bounded by a bucket, which grows with neither the corpus nor a group of copies.
+period at which both places belong to the cover sample, whatever their positions are, and from there on
+they agree in ``length - period + 1`` bytes. So the suffixes of the cover sample alone settle all ties. A first
+exchange of short hashes rules out those that no other place can tie with. The others are dealt into
+buckets by their first bytes' hash, each with the bytes before and after that a string of ``length`` may
+take in, and one bucket at a time is sorted by bytes: suffixes that tie through ``length - period + 1`` bytes stand
+together, and the lengths of their common continuations, to the right and, sorted again, to the left, tell
+for each offset which strings are equal. No hash is taken for equality of bytes.
+
+A bucket is of the size of ``BUCKET_BYTES`` or less on average, whatever the corpus, and copies of a context within a block
+of texts are sent once.
 
 Texts lie in compressed blocks, dealt by a hash of the text; whole copies meet there and only
 the first one is looked at further.
@@ -24,6 +29,8 @@ from pyspark.sql import types as T
 
 from . import arrays, exchange
 
+#: Bytes of contexts in a bucket of suffixes, on average, which is sorted in memory.
+BUCKET_BYTES = 16 << 20
 #: A perfect difference set: every residue but 0 is the difference of exactly one pair.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 assert len({(a - b) % PERIOD for a in COVER for b in COVER}) == PERIOD
@@ -212,46 +219,130 @@ def _spread(bucket: np.ndarray, slab: int, flags: dict[tuple[int, int], np.ndarr
     return out
 
 
-def _candidates(buf, off, slab: int, flags, n: int, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose string of full length holds a shared sample suffix, and the hashes of those strings."""
-    at, _, hashes = _sample(buf, off, width)
-    shared = at[_spread(((hashes >> np.uint64(48)) % np.uint64(n)).astype(np.int64), slab, flags, n)]
-    z = np.zeros(0, np.int64)
-    if not len(shared):
-        return z, z.astype(np.uint64)
-    change = np.zeros(len(buf) + 1, np.int32)
-    row = np.searchsorted(off, shared, side="right") - 1
-    np.add.at(change, np.maximum(shared - (length - width), off[row]), 1)
-    np.add.at(change, shared + 1, -1)
-    near = np.cumsum(change[:-1]) > 0
-    starts, _ = _starts(off, length)
-    places = starts[near[starts]]
-    return places, arrays.hash_spans(buf, places, places + length)
+def _copies(rows: np.ndarray) -> np.ndarray:
+    """For each row of bytes the first row that is equal."""
+    m, width = rows.shape
+    padded = np.zeros((m, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = rows
+    words = padded.view(np.uint64)
+    h = np.zeros(m, np.uint64)
+    for j in range(words.shape[1]):
+        h = arrays.mix(h ^ words[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(m, bool)
+    near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    new[near + 1] = (rows[order[near + 1]] != rows[order[near]]).any(axis=1)  # equal hashes are only a hint
+    first = np.empty(m, np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(m), 0))] if m else order
+    return first
+
+
+def _contexts(padded: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray, width: int, margin: int) -> np.ndarray:
+    """Rows of margin bytes before, width bytes from, and margin bytes after each place, zero beyond the text, and how many of the margins are text."""
+    m = np.lib.stride_tricks.sliding_window_view(padded, width + 2 * margin)[at].copy()
+    steps = np.arange(margin)
+    m[:, :margin][margin - steps[None, :] > before[:, None]] = 0
+    m[:, margin + width :][steps[None, :] >= after[:, None]] = 0
+    return np.concatenate([m, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)
+
+
+def _all_offsets(before: np.ndarray, after: np.ndarray, margin: int) -> np.ndarray:
+    """A bit for each offset at which a string of full length lies within the text."""
+    out = np.zeros(len(before), np.uint32)
+    for d in range(margin + 1):
+        out |= ((before >= d) & (after >= margin - d)).astype(np.uint32) << np.uint32(d)
+    return out
 
 
-def _suffix_keys(n: int, length: int, width: int):
-    """Per block of texts and the shared ranks in it: keys of the candidate suffixes, by bucket."""
+def _suffix_contexts(n: int, buckets: int, length: int, width: int):
+    """Per block of texts and the shared ranks in it: the contexts of its shared sample suffixes by bucket, and for itself their places."""
+    margin = length - width
 
     def run(left, right):
         blobs, flags = _pair(left, right)
-        if flags and any(x[0] == 0 for x in blobs):
-            s = Shelf([x[3] for x in blobs if x[0] == 0])
-            got, shelf = _flags(flags, 2), blobs[0][1]
-            for k, (pick, buf, off) in enumerate(s.slabs(width)):
-                places, keys = _candidates(buf, off, k, got, n, length, width)
-                if len(places):
-                    row = np.searchsorted(off, places, side="right") - 1
-                    who = np.array(pick, np.int64)[row]
-                    rows = []
-                    for b, f in _deal([(_bucket(keys, n), {"key": keys, "who": who})], n):
-                        cut = np.flatnonzero(np.r_[True, f["who"][1:] != f["who"][:-1]])
-                        of = f["who"][cut]
-                        rows.append((b, shelf, 3, k, arrays.pack(key=f["key"], count=np.diff(np.r_[cut, len(f["who"])]), id=s.ids[of], null=s.null[of], row=of)))
+        if not flags or not any(x[0] == 0 for x in blobs):
+            return
+        s = Shelf([x[3] for x in blobs if x[0] == 0])
+        got, shelf = _flags(flags, 2), blobs[0][1]
+        for k, (pick, buf, off) in enumerate(s.slabs(width)):
+            at, _, hashes = _sample(buf, off, width)
+            some = _spread(((hashes >> np.uint64(48)) % np.uint64(n)).astype(np.int64), k, got, n)
+            at, hashes = at[some], hashes[some]
+            if not len(at):
+                continue
+            place = np.argsort(at, kind="stable")  # in the order of the texts
+            at, bucket = at[place], (arrays.mix(hashes[place]) % np.uint64(buckets)).astype(np.int64)
+            row = np.searchsorted(off, at, side="right") - 1
+            before, after = np.minimum(margin, at - off[row]), np.minimum(margin, off[row + 1] - at - width)
+            padded = np.concatenate([np.zeros(margin, np.uint8), buf, np.zeros(margin, np.uint8)])
+            order = np.argsort(bucket, kind="stable")
+            present, edge = np.unique(bucket[order], return_index=True)
+            own, rows = np.zeros(len(at), bool), []
+            for b, x, z in zip(present, edge, np.r_[edge[1:], len(order)]):
+                i = order[x:z]
+                m = _contexts(padded, at[i], before[i], after[i], width, margin)
+                first = _copies(m)
+                lead = first == np.arange(len(i))
+                own[i] = lead
+                who = row[i[lead]]
+                cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+                of = np.array(pick, np.int64)[who[cut]]
+                rows.append((int(b), shelf, 3, k, arrays.pack(rows=m[lead].reshape(-1), count=np.diff(np.r_[cut, len(who)]).astype(np.uint32), id=s.ids[of], null=s.null[of], row=of)))
+                if len(rows) >= 256:
                     yield _batch(rows)
+                    rows = []
+            rows.append((shelf, shelf, 5, k, arrays.pack(at=at[order].astype(np.uint32), own=np.packbits(own[order]), bucket=present.astype(np.uint32), count=np.diff(np.r_[edge, len(order)]).astype(np.uint32))))
+            yield _batch(rows)
 
     return lambda left, right: _whole(run(left, right))
 
 
+def _byte_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their bytes, and how many leading bytes each has in common with the one before."""
+    m, width = rows.shape
+    padded = np.zeros((m, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = rows
+    words = padded.view(">u8").astype(np.uint64)
+    order = np.lexsort(words.T[::-1])
+    s = rows[order]
+    differs = s[1:] != s[:-1]
+    common = np.zeros(m, np.int64)
+    common[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    return order, common
+
+
+def _repeated_offsets(contexts: np.ndarray, width: int, margin: int) -> np.ndarray:
+    """A bit for each offset at which the row's string of full length is that of an earlier row."""
+    before, after = contexts[:, -2].astype(np.int64), contexts[:, -1].astype(np.int64)
+    first = _copies(contexts)
+    out = np.where(first != np.arange(len(contexts)), _all_offsets(before, after, margin), 0).astype(np.uint32)
+    lead = np.flatnonzero(first == np.arange(len(contexts)))
+    order, common = _byte_order(contexts[lead, margin : 2 * margin + width])  # the suffix and its continuation
+    alone = common < width  # no tie with the one before
+    alone &= np.r_[alone[1:], True]
+    keep = np.zeros(len(lead), bool)
+    keep[order] = ~alone
+    lead = lead[keep]
+    if not len(lead):
+        return out
+    rows = contexts[lead]
+    to_right, right_common = _byte_order(rows[:, margin : 2 * margin + width])
+    to_left, left_common = _byte_order(np.concatenate([rows[:, margin : margin + width], rows[:, margin - 1 :: -1]], axis=1))
+    n = len(lead)
+    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+    before, after = before[lead], after[lead]
+    for d in range(margin + 1):
+        right[to_right] = np.cumsum(right_common < width + margin - d)
+        left[to_left] = np.cumsum(left_common < width + d)
+        some = np.flatnonzero((before >= d) & (after >= margin - d))
+        key = right[some] * (n + 1) + left[some]
+        by_key = np.argsort(key, kind="stable")  # rows are in the order of the texts
+        s = key[by_key]
+        again = some[by_key[1:][s[1:] == s[:-1]]]
+        out[lead[again]] |= np.uint32(1 << d)
+    return out
+
+
 def _whole(batches) -> pa.Table:
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got) if got else pa.Table.from_batches([_batch([])])
@@ -262,39 +353,63 @@ def _pair(left: pa.Table, right: pa.Table):
     return sorted(take(left), key=lambda x: (x[0], x[3])), take(right)
 
 
-def _repeats(batches):
-    """Sort one bucket of suffixes; all but the first of equal strings are repeats."""
-    for bucket, blocks in _gather(batches).items():
-        parts = [arrays.unpack(x[3]) for x in blocks]
-        key = np.concatenate([p["key"] for p in parts])
-        count = np.concatenate([p["count"] for p in parts])
-        ids, null = np.concatenate([p["id"] for p in parts]), np.concatenate([p["null"] for p in parts]).astype(bool)
-        shelf = np.concatenate([np.full(len(p["row"]), x[1], np.int64) for x, p in zip(blocks, parts)])
-        row = np.concatenate([p["row"] for p in parts])
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((row, shelf, ids, null))] = np.arange(len(ids))
-        order = np.lexsort((np.repeat(rank, count), key))  # stable: places of a text stay in order
-        s = key[order]
-        flags = np.zeros(len(key), bool)
-        flags[order[1:]] = s[1:] == s[:-1]
-        at = np.cumsum([0, *(len(p["key"]) for p in parts)])
-        yield _batch([(sh, bucket, 4, slab, arrays.pack(flags=np.packbits(flags[a:z]))) for (_, sh, slab, _), a, z in zip(blocks, at[:-1], at[1:]) if flags[a:z].any()])
+def _repeats(width: int, margin: int):
+    """Sort one bucket of suffixes at a time; what a block of texts keeps for itself passes through."""
+
+    def run(batches):
+        of_bucket: dict[int, list] = {}
+        for b in batches:
+            for bucket, shelf, kind, slab, block in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if kind == 5:
+                    yield _batch([(bucket, shelf, kind, slab, block)])
+                else:
+                    of_bucket.setdefault(bucket, []).append((shelf, slab, block))
+        for bucket in sorted(of_bucket):
+            blocks = sorted(of_bucket.pop(bucket), key=lambda x: x[:2])
+            parts = [arrays.unpack(x[2]) for x in blocks]
+            rows = np.concatenate([p["rows"] for p in parts]).reshape(-1, width + 2 * margin + 2)
+            count = np.concatenate([p["count"] for p in parts]).astype(np.int64)
+            ids, null = np.concatenate([p["id"] for p in parts]), np.concatenate([p["null"] for p in parts]).astype(bool)
+            shelf = np.concatenate([np.full(len(p["row"]), x[0], np.int64) for x, p in zip(blocks, parts)])
+            row = np.concatenate([p["row"] for p in parts])
+            texts = np.lexsort((row, shelf, ids, null))  # in the order of the texts, places of a text as they come
+            order = arrays.ranges((np.cumsum(count) - count)[texts], count[texts])
+            flags = np.zeros(len(rows), np.uint32)
+            flags[order] = _repeated_offsets(rows[order], width, margin)
+            at = np.cumsum([0, *(len(p["rows"]) // rows.shape[1] for p in parts)])
+            yield _batch([(sh, bucket, 4, slab, arrays.pack(flags=flags[a:z])) for (sh, slab, _), a, z in zip(blocks, at[:-1], at[1:]) if flags[a:z].any()])
+
+    return run
 
 
 def _finish(n: int, length: int, width: int, schema: list[str], keep_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs, flags = _pair(left, right)
         s = Shelf([x[3] for x in blobs if x[0] == 0])
-        shared, repeats = _flags(flags, 2), _flags(flags, 4)
+        margin = length - width
+        places = {slab: arrays.unpack(block) for k, _, slab, block in flags if k == 5}
+        repeats = _flags(flags, 4)
         removed: dict[int, np.ndarray] = {}
-        for k, (pick, buf, off) in enumerate(s.slabs(width) if repeats else ()):
-            places, keys = _candidates(buf, off, k, shared, n, length, width)
-            if not len(places):
+        for k, (pick, buf, off) in enumerate(s.slabs(width) if places else ()):
+            if k not in places:
                 continue
-            hit = places[_spread(_bucket(keys, n), k, repeats, n)]
+            p = places[k]
+            at = p["at"].astype(np.int64)
+            own = np.unpackbits(p["own"], count=len(at)).astype(bool)
+            bits = np.zeros(len(at), np.uint32)
+            edge = np.cumsum(np.r_[0, p["count"].astype(np.int64)])
+            for b, x, z in zip(p["bucket"].tolist(), edge[:-1], edge[1:]):
+                got = repeats.get((k, b))
+                if got is not None:
+                    bits[x:z][own[x:z]] = got
+            row = np.searchsorted(off, at, side="right") - 1
+            copy = ~own  # the same context stands earlier in this block
+            bits[copy] = _all_offsets(np.minimum(margin, at - off[row])[copy], np.minimum(margin, off[row + 1] - at - width)[copy], margin)
             change = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(change, hit, 1)
-            np.add.at(change, hit + length, -1)
+            for d in range(margin + 1):
+                hit = at[(bits >> np.uint32(d)) & np.uint32(1) != 0] - d
+                np.add.at(change, hit, 1)
+                np.add.at(change, hit + length, -1)
             gone = np.cumsum(change[:-1]) > 0
             for j, i in enumerate(pick):
                 g = gone[off[j] : off[j + 1]]
@@ -342,10 +457,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     n = exchange.partitions(spark)
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    shelves = exchange.cut(narrow.mapInArrow(_shelve(n, length), _BLOCK).repartition(n, "bucket"))
+    shelves = exchange.cut(narrow.mapInArrow(_shelve(n, length), _BLOCK).repartition(n, "bucket"), keep_partitioning=True)
     # no name for what lies before a cut, so that its shuffle files can go
     shared = exchange.cut(exchange.by_bucket(shelves.mapInArrow(_sample_ranks(n, width), _BLOCK), n).mapInArrow(_shared_ranks, _BLOCK))
-    repeats = exchange.cut(exchange.by_bucket(shelves.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffix_keys(n, length, width), _BLOCK), n).mapInArrow(_repeats, _BLOCK))
+    # a flag is a bit of a sample suffix, of which perhaps every one is shared
+    suffixes = shared.agg(F.coalesce(F.sum(8 * F.octet_length("block")), F.lit(0))).first()[0]
+    buckets = n * max(1, -(-int(suffixes) * (length + PERIOD) // (n * BUCKET_BYTES)))
+    contexts = shelves.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffix_contexts(n, buckets, length, width), _BLOCK)
+    repeats = exchange.cut(contexts.repartitionById(n, F.expr(f"bucket % {n}")).mapInArrow(_repeats(width, length - width), _BLOCK))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return shelves.groupBy("bucket").cogroup(shared.unionByName(repeats).groupBy("bucket")).applyInArrow(_finish(n, length, width, names, keep_text), schema)
+    return shelves.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_finish(n, length, width, names, keep_text), schema)
