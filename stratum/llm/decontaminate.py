@@ -8,7 +8,10 @@ can reach over any other word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,14 +91,43 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def scan(self, words: list[int]) -> Iterator[tuple[int, int, set[int]]]:
+
+class Packed:
+    """A finished automaton in sorted arrays, some tens of bytes for each word of its items."""
+
+    def __init__(self, a: SuffixAutomaton):
+        self.window, self.names, self.wants = a.window, a.names, [*a.short, a.window]
+        self.link, self.length = array("i", a.link), array("i", a.length)
+        edges = sorted((state << 32 | w, to) for state, nxt in enumerate(a.next) for w, to in nxt.items())
+        self.edge, self.to = array("Q", [k for k, _ in edges]), array("i", [t for _, t in edges])
+        owners = sorted((state << 32 | want, sorted(items)) for (state, want), items in a._owners.items())
+        self.owner = array("Q", [k for k, _ in owners])
+        self.first = array("q", [0, *accumulate(len(x) for _, x in owners)])
+        self.item = array("i", [i for _, x in owners for i in x])
+
+    def _next(self, state: int, w: int) -> int:
+        key = state << 32 | w
+        i = bisect_left(self.edge, key)
+        return self.to[i] if i < len(self.edge) and self.edge[i] == key else -1
+
+    def scan(self, words: list[int]) -> Iterator[tuple[int, int, array]]:
         """(end, length, items) of every window that ends in ``words``; end is exclusive."""
         state = length = 0
         for i, w in enumerate(words, 1):
-            state, length = self.step(state, length, w)
-            for want in (*self.short, self.window):
-                if length >= want and (owners := self._owners.get((self.at_length(state, want), want))):
-                    yield i, want, owners
+            to = self._next(state, w)
+            while state and to < 0:
+                state = self.link[state]
+                length = self.length[state]
+                to = self._next(state, w)
+            state, length = (to, length + 1) if to >= 0 else (0, 0)
+            for want in self.wants:
+                if length >= want:
+                    at = state
+                    while self.length[self.link[at]] >= want:
+                        at = self.link[at]
+                    k = bisect_left(self.owner, at << 32 | want)
+                    if k < len(self.owner) and self.owner[k] == at << 32 | want:
+                        yield i, want, self.item[self.first[k] : self.first[k + 1]]
 
 
 class Index:
@@ -108,7 +140,7 @@ class Index:
             starts, ends, _ = arrays.word_spans(buf, offsets, arrays.WORD_CHARS)
             hashes = arrays.hash_spans(buf, starts, ends, arrays.FOLDED)
             sequences.append((name, [numbers.setdefault(int(h), len(numbers)) for h in hashes]))
-        self.automaton = SuffixAutomaton(sequences, window)
+        self.automaton = Packed(SuffixAutomaton(sequences, window))
         self.hashes = np.array(sorted(numbers), np.uint64)
         self.number = np.array([numbers[int(h)] for h in self.hashes], np.int64)
         sizes = [len(s) for _, s in sequences if s]
@@ -152,32 +184,31 @@ class Index:
                         f["spans"][-1] = (f["spans"][-1][0], max(hi, f["spans"][-1][1]))
                     else:
                         f["spans"].append((lo, hi))
-                    f["items"] |= owners
+                    f["items"].update(owners)
             for f in found.values():
                 f["bytes"] = [(int(starts[x]), int(ends[y - 1])) for x, y in f["spans"]]
             yield np.diff(first), [found.get(r) and found[r] | {"base": int(offsets[r])} for r in range(z - a)]
 
 
-def build_index(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 8, most_chars: int = 64 << 20) -> list[Index]:
-    """Automata over all items, each of at most ``most_chars`` characters of item text.
+def build_index(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 8, most_chars: int = 2 << 20) -> Iterator[Index]:
+    """Automata over all items, one after another, each of about ``most_chars`` characters of item text (one item may be longer).
 
-    A benchmark beyond that size becomes several automata through which documents stream one
-    after another, each built from its own share of the items.
+    That bounds what the driver holds at a time (some 220 bytes a character while it builds) and what a worker holds (some 12).
+    A larger benchmark becomes more automata, through which every batch of documents streams one after another.
     """
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null and t <> ''")
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     parts = int(total // most_chars) + 1
-    out = []
     for k in range(parts):
         share = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        out.append(Index(sorted((r[0] if r[0] is not None else "", r[1]) for r in share.toLocalIterator()), window))
-    return out
+        yield Index(sorted((r[0] if r[0] is not None else "", r[1]) for r in share.toLocalIterator()), window)
 
 
-def scan(docs: DataFrame, indexes: list[Index], text: str = "text", keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, indexes: Iterable[Index], text: str = "text", keep_text: bool = True) -> DataFrame:
     """Append per document: n_words, spans (array of first and end word), cuts (byte places of the spans), items.
 
-    A null text has no words. All other columns pass through.
+    A null text has no words. All other columns pass through. Automata are broadcast one by one as they are built, and
+    where there are several, a worker holds one at a time.
     """
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(x) for x in indexes]
@@ -203,6 +234,9 @@ def scan(docs: DataFrame, indexes: list[Index], text: str = "text", keep_text: b
                             cuts[r] = _union(cuts[r] + [(x - f["base"], y - f["base"]) for x, y in f["bytes"]])
                             items[r] |= {index.automaton.names[o] for o in f["items"]}
                     at += len(n)
+                if len(shared) > 1:
+                    del index
+                    s.__dict__.pop("_value", None)  # read again from the executor's copy when its turn comes
             pairs = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i, c in enumerate(names) if keep_text or c != text), pa.array(n_words), pa.array([[list(x) for x in s] for s in spans], pairs), pa.array([[list(x) for x in s] for s in cuts], pairs), pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
@@ -255,4 +289,4 @@ def items_digest(items: F.Column) -> F.Column:
     return F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256)
 
 
-__all__ = ["Index", "SuffixAutomaton", "build_index", "items_digest", "remove", "report", "scan"]
+__all__ = ["Index", "Packed", "SuffixAutomaton", "build_index", "items_digest", "remove", "report", "scan"]

@@ -15,22 +15,21 @@ def _low(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _weight(name: str, table: str, n: str, b: str) -> str:
+def _weight(name: str, table: str, n: str, b: str, above: str) -> str:
     """CTE (m, w): mean rate and prior weight by the method of moments."""
-    return f"""{name}0 AS (SELECT sum({b}) AS b, sum({n}) AS n, count(*) AS k, sum({n} * {n}) AS q, sum({b} * {b} / {n}) AS s FROM {table}),
-{name}1 AS (SELECT *, (b + 0.5) / (n + 1) AS m, greatest(1e-9, (b + 0.5) / (n + 1) * (1 - (b + 0.5) / (n + 1))) AS within, n - q / n AS spread FROM {name}0),
-{name}2 AS (SELECT *, CASE WHEN spread > 0 THEN (s - n * (b / n) * (b / n) - (k - 1) * within) / spread ELSE 0 END AS betw FROM {name}1),
-{name} AS MATERIALIZED (SELECT m, CASE WHEN betw > 1e-9 THEN least(1000.0, greatest(1.0, within / betw - 1)) ELSE 1000.0 END AS w FROM {name}2)"""
+    return f"""{name}0 AS (SELECT sum({b}) AS b, sum({n}) AS n, count(*) AS k, sum({n} * {n}) AS q, sum({b} * {b} / {n}) AS s FROM {table} GROUP BY {above}),
+{name}1 AS (SELECT sum(b) AS b, sum(n) AS n, sum(s - n * (b / n) * (b / n) - (k - 1) * (b / n) * (1 - b / n)) / sum(n - q / n) AS betw, sum(n * (b / n) * (1 - b / n)) / sum(n) AS within FROM {name}0),
+{name} AS MATERIALIZED (SELECT (b + 0.5) / (n + 1) AS m, CASE WHEN betw > 1e-9 THEN least(1000.0, greatest(1.0, within / betw - 1)) ELSE 1000.0 END AS w FROM {name}1)"""
 
 
 def _bound(name: str, source: str) -> str:
     """CTE (key, bound): the 5 % quantile of Beta(a, b) from (key, a, b)."""
-    sd = "sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"
-    return f"""{name}0 AS (SELECT key, a, b, greatest(0.0, a / (a + b) - {REACH} * {sd}) AS lo, least(1.0, a / (a + b) + {REACH} * {sd}) AS hi FROM (SELECT key, greatest(1.0, a)::DOUBLE AS a, greatest(1.0, b)::DOUBLE AS b FROM ({source}))),
-{name}1 AS (SELECT key, lo, hi, i, (a - 1) * ln(lo + (hi - lo) * (i + 0.5::DOUBLE) / {CELLS}) + (b - 1) * ln(1 - lo - (hi - lo) * (i + 0.5::DOUBLE) / {CELLS}) AS l FROM {name}0, range({CELLS}) r(i)),
-{name}2 AS (SELECT key, lo, hi, i, exp(l - max(l) OVER (PARTITION BY key)) AS m FROM {name}1),
-{name}3 AS (SELECT *, sum(m) OVER (PARTITION BY key ORDER BY i) - m AS before, 0.05 * sum(m) OVER (PARTITION BY key) AS goal FROM {name}2),
-{name} AS MATERIALIZED (SELECT key, lo + (hi - lo) * (i + (goal - before) / m) / {CELLS} AS bound FROM {name}3 WHERE before < goal AND before + m >= goal)"""
+    return f"""{name}0 AS (SELECT key, a, b, ln(a / b) - {REACH} * (sqrt(1 / a + 1 / b) + 1 / a) AS lo, ln(a / b) + {REACH} * (sqrt(1 / a + 1 / b) + 1 / b) AS hi FROM (SELECT key, a::DOUBLE AS a, b::DOUBLE AS b FROM ({source}))),
+{name}1 AS (SELECT key, a, b, lo, hi, i, lo + (hi - lo) * (i + 0.5::DOUBLE) / {CELLS} AS u FROM {name}0, range({CELLS}) r(i)),
+{name}2 AS (SELECT key, lo, hi, i, -a * (greatest(-u, 0) + ln(1 + exp(-abs(u)))) - b * (greatest(u, 0) + ln(1 + exp(-abs(u)))) AS l FROM {name}1),
+{name}3 AS (SELECT key, lo, hi, i, exp(l - max(l) OVER (PARTITION BY key)) AS m FROM {name}2),
+{name}4 AS (SELECT *, sum(m) OVER (PARTITION BY key ORDER BY i) - m AS before, 0.05 * sum(m) OVER (PARTITION BY key) AS goal FROM {name}3),
+{name} AS MATERIALIZED (SELECT key, 1 / (1 + exp(-(lo + (hi - lo) * (i + (goal - before) / m) / {CELLS}))) AS bound FROM {name}4 WHERE before < goal AND before + m >= goal)"""
 
 
 def _rule(what: int) -> str:
@@ -50,13 +49,13 @@ lv0 AS (SELECT host, parts, CASE WHEN length(parts[-1]) = 2 AND parts[-2] IN ({_
 lv AS MATERIALIZED (SELECT host, array_to_string(parts[greatest(1, len(parts) - n + 1):], '.') AS suffix, array_to_string(parts[greatest(1, len(parts) - n):], '.') AS domain FROM lv0),
 hc AS MATERIALIZED (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(greatest(1 - quality, toxic))::DOUBLE AS b FROM p JOIN labels ON doc_id = page_id JOIN lv USING (host) WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY ALL),
 dc AS (SELECT domain, suffix, sum(n) AS dn, sum(b) AS db FROM hc GROUP BY ALL), sc AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM dc GROUP BY ALL),
-{_weight("ws", "sc", "sn", "sb")}, {_weight("wd", "dc", "dn", "db")}, {_weight("wh", "hc", "n", "b")},
+{_weight("ws", "sc", "sn", "sb", "()")}, {_weight("wd", "dc", "dn", "db", "suffix")}, {_weight("wh", "hc", "n", "b", "domain")},
 sm AS (SELECT suffix, (sb + ws.w * ws.m) / (sn + ws.w) AS sm FROM sc, ws), dm AS (SELECT domain, (db + wd.w * sm) / (dn + wd.w) AS dm FROM dc JOIN sm USING (suffix), wd),
 {_bound("hb", "SELECT host AS key, b + wh.w * dm AS a, n - b + wh.w * (1 - dm) AS b FROM hc JOIN dm USING (domain), wh")},
 {_bound("db", "SELECT domain AS key, wh.w * dm AS a, wh.w * (1 - dm) AS b FROM dm, wh")},
 {_bound("sb", "SELECT suffix AS key, least(wh.w, wd.w) * sm AS a, least(wh.w, wd.w) * (1 - sm) AS b FROM sm, wh, wd")},
 {_bound("ab", "SELECT 0 AS key, least(wh.w, wd.w, ws.w) * ws.m AS a, least(wh.w, wd.w, ws.w) * (1 - ws.m) AS b FROM ws, wd, wh")}
-SELECT page_id, host, path, {_rule(1)} AS rule, coalesce({_rule(0)}, CASE WHEN coalesce(hb.bound, db.bound, sb.bound, ab.bound) > least(0.9, 1.5 * ws.m) THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, host, path, {_rule(1)} AS rule, coalesce({_rule(0)}, CASE WHEN coalesce(hb.bound, db.bound, sb.bound, ab.bound) > least(0.9, 1.5 * ws.m / (1 - ws.m + 1.5 * ws.m)) THEN 'block' ELSE 'allow' END) AS verdict,
   round_even(coalesce(hb.bound, db.bound, sb.bound, ab.bound), 6) AS reputation
 FROM p JOIN lv USING (host) LEFT JOIN hb ON hb.key = host LEFT JOIN db ON db.key = domain LEFT JOIN sb ON sb.key = suffix, ab, ws"""
 

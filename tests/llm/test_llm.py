@@ -85,6 +85,8 @@ def test_decontaminate(spark, docs, empty):
                     hit |= set(range(a, a + k))
                     found |= o
         assert (r.n_words, r.n_hit, sorted(r["items"])) == (len(w), len(hit), sorted(found))
+    several = decontaminate.scan(docs.drop("n_words"), decontaminate.build_index(bench, most_chars=40))
+    assert sorted((r.n_words, str(r.spans), r["items"]) for r in several.collect()) == sorted((r.n_words, str(r.spans), r["items"]) for r in decontaminate.scan(docs.drop("n_words"), decontaminate.build_index(bench)).collect())
     assert decontaminate.report(empty, bench).count() == 0
     assert decontaminate.remove(docs, bench.limit(0)).count() == docs.count()
     cut = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, most_share=0.99).collect()}
