@@ -1,16 +1,16 @@
 """Scoring by a hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-Every context has a restaurant whose tables draw their dishes from one shared parent, the
-restaurant of single words, which draws from a uniform base. Contexts are the 2^17 classes of
-a hash of the word before, so what restaurants exchange is of fixed size; words themselves are
-never merged. Words are dealt into buckets: all customers of a dish, in all restaurants, are in
-one bucket, with every text's share in it. A Gibbs step takes all customers of a dish out of a
-restaurant and seats them again one after another given everybody else; a Metropolis test on
-the product of normalisers makes the step exact for the tables of that dish. Between rounds,
-buckets exchange the restaurants' table counts. Predictive probabilities are averaged over samples.
-
-Seating is resampled bucket by bucket with the other buckets' table counts as of the last round,
-as in distributed topic models. All draws are seeded by bucket, so a lost task draws the same again.
+Every context, the word before, has a restaurant whose tables draw their dishes from one shared parent, the
+restaurant of single words, which draws from a uniform base. Words are dealt into buckets: all customers of a dish are in
+one bucket, with every text's share in it; frequent words, which a sample of the texts names, are dealt by their context too. What
+a restaurant needs to know about its other dishes is how many customers and tables it has in all; so buckets send each context's
+numbers to the context's owner, which adds them up and sends the sums back: restaurants are as many as contexts are.
+
+A Gibbs step takes all customers of a dish out of a restaurant and draws their number of tables anew given everybody
+else, exactly (from generalised Stirling numbers) up to ``EXACT`` customers; beyond, the first ones are drawn so and the rest is seated in
+groups by binomial draws, which is an approximation. All dishes are drawn at a time, given the totals of other buckets as of the last
+exchange, as in distributed topic models. Discounts come from the counts of counts. Predictive probabilities are averaged over samples, each with
+its own exact totals, so that those of a context sum to one. All draws are seeded by bucket, so a lost task draws the same again.
 """
 
 from __future__ import annotations
@@ -26,22 +26,40 @@ from pyspark.sql import types as T
 
 from . import arrays, exchange
 
-CLASS_BITS = 17
-CLASSES = 1 << CLASS_BITS
-SLICES = 32
 END = np.uint64(0x5D1E0F5EA7ED0001)  # the end of a text, counted as a word; no word's hash by all odds
 BEGIN = np.uint64(0x5D1E0F5EA7ED0002)  # what stands before the first word
 
-DISCOUNT, STRENGTH = (0.75, 0.7), (2.0, 5.0)  # of context restaurants, of the restaurant of words
+STRENGTH = (2.0, 5.0)  # of context restaurants, of the restaurant of words
 BURN_IN, SAMPLES = 2, 2
-_ONE_BY_ONE = 64  # customers seated singly; later ones in groups of a sixteenth by binomial draws
+EXACT = 64
+#: Buckets for each partition, so that a partition's load evens out.
+SPREAD = 4
+#: Share of the texts that is looked at for frequent words; it only decides where things are dealt to.
+LOOK = 0.01
 
 
-def _classes(words: np.ndarray) -> np.ndarray:
-    return (arrays.mix(words ^ np.uint64(0xA5A5A5A5DEADBEEF)) >> np.uint64(64 - CLASS_BITS)).astype(np.uint32)
+def context_bytes(n: int) -> int:
+    """Bytes that tell contexts apart: more as the session's partitions, and so the input, grow."""
+    return 4 + (n > 1024) + (n > 1 << 16)
+
+
+def _context(words: np.ndarray, width: int) -> np.ndarray:
+    return arrays.mix(words ^ np.uint64(0xA5A5A5A5DEADBEEF)) >> np.uint64(64 - 8 * width)
+
+
+def _packed(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
+
+
+def _unpacked(x: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = x.reshape(-1, width)
+    return out.view("<u8").reshape(-1)
 
 
 _BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.BinaryType())])
+# Kinds of rows: 0 words of a bucket, 1 head of a slab of texts, 2 a bucket's contexts for their owner, 3 sums for a bucket, 4 a bucket's own
+# tables, 5 numbers for the driver, 6 frequent words for their owner, 7 sums of frequent words for the driver.
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -49,8 +67,12 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.int32()), pa.array(list(cols[3]), pa.binary())], _BLOCK.names)
 
 
-def _count(n: int):
-    """Blocks of (word, context class, text, count) by bucket of the word, and a head block for each slab of texts."""
+def _rows(table: pa.Table) -> list[tuple]:
+    return sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "bucket", "block"))), key=lambda r: r[:3])
+
+
+def _count(buckets: int, width: int, hot: np.ndarray):
+    """Blocks of (word, context, text, count) by bucket, and a head block for each slab of texts."""
 
     def slab(buf, offsets, held, ids, chunk):
         starts, ends, row = arrays.word_spans(buf, offsets, arrays.NON_SPACE)
@@ -65,35 +87,34 @@ def _count(n: int):
         before[1:] = seq[:-1]
         before[0] = BEGIN
         before[last[:-1] + 1] = BEGIN
-        words, inverse = np.unique(seq, return_inverse=True)
-        bucket = (arrays.mix(words) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        cls = _classes(before)
-        key = (place[inverse].astype(np.uint64) << np.uint64(CLASS_BITS + 16)) | (cls.astype(np.uint64) << np.uint64(16)) | doc.astype(np.uint64)
+        words, inverse = np.unique(np.concatenate([seq, before]), return_inverse=True)
+        word, ctx = inverse[: len(seq)].astype(np.uint64), inverse[len(seq) :].astype(np.uint64)
+        key = (word << np.uint64(40)) | (ctx << np.uint64(16)) | doc.astype(np.uint64)
         key.sort()
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         times = np.diff(np.r_[first, len(key)])
         key = key[first]
-        pair = key >> np.uint64(16)
-        pair_at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        word_of = (pair[pair_at] >> np.uint64(CLASS_BITS)).astype(np.int64)
-        cls_of = (pair[pair_at] & np.uint64(CLASSES - 1)).astype(np.uint32)
-        words, bucket = words[order], bucket[order]
-        edge = np.searchsorted(bucket, np.arange(n + 1))
-        pair_edge = np.searchsorted(word_of, edge)
-        entry_edge = np.r_[pair_at, len(key)][pair_edge]
+        pair_at = np.flatnonzero(np.r_[True, key[1:] >> np.uint64(16) != key[:-1] >> np.uint64(16)])
+        entries = np.diff(np.r_[pair_at, len(key)])
+        w, c = (key[pair_at] >> np.uint64(40)).astype(np.int64), (key[pair_at] >> np.uint64(16)).astype(np.int64) & 0xFFFFFF
+        mixed = arrays.mix(words)
+        to = mixed[w] % np.uint64(buckets)
+        frequent = np.isin(words, hot)[w]
+        to[frequent] = arrays.mix(mixed[w[frequent]] ^ words[c[frequent]]) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        present, edge = np.unique(to[order], return_index=True)
         held_bits = np.packbits(held)
-        for b in np.flatnonzero(np.diff(edge)):
-            p, q = pair_edge[b], pair_edge[b + 1]
-            x, y = entry_edge[b], entry_edge[b + 1]
-            t = times[x:y]
+        context = _context(words, width)
+        for b, x, z in zip(present.tolist(), edge, np.r_[edge[1:], len(order)]):
+            i = order[x:z]
+            new = np.flatnonzero(np.r_[True, w[i][1:] != w[i][:-1]])
+            e = arrays.ranges(pair_at[i], entries[i])
+            t = times[e]
             yield int(b), chunk, 0, arrays.pack(
-                word=words[edge[b] : edge[b + 1]], pairs=np.bincount(word_of[p:q] - edge[b], minlength=edge[b + 1] - edge[b]).astype(np.uint32), cls=cls_of[p:q], entries=np.diff(np.r_[pair_at[p:q], y]).astype(np.uint32),
-                doc=(key[x:y] & np.uint64(0xFFFF)).astype(np.uint16), times=t.astype(np.uint8 if t.max() < 256 else np.uint32), held=held_bits, docs=np.array([docs], np.int64),
+                word=words[w[i[new]]], pairs=np.diff(np.r_[new, len(i)]).astype(np.uint32), ctx=_packed(context[c[i]], width), entries=entries[i].astype(np.uint8 if entries[i].max() < 256 else np.uint32),
+                doc=(key[e] & np.uint64(0xFFFF)).astype(np.uint16), times=t.astype(np.uint8 if t.max() < 256 else np.uint32), held=held_bits, docs=np.array([docs], np.int64),
             )
-        yield chunk % n, chunk, 1, pickle.dumps((ids, per_doc + 1, held))
+        yield chunk % buckets, chunk, 1, pickle.dumps((ids, per_doc + 1, held))
 
     def run(batches):
         serial = 0
@@ -109,263 +130,372 @@ def _count(n: int):
     return run
 
 
-class Bucket:
-    """The training counts of a bucket's words, merged over all slabs: pairs sorted by (word, class)."""
+def _frequent(rows: DataFrame, n: int) -> np.ndarray:
+    """Words with more than half a partition's share of all words, by a sample: 2 * n at most; the end of texts is always one."""
+
+    def run(batches):
+        for b in batches:
+            buf, off = arrays.texts(b.column(0))
+            starts, ends, _ = arrays.word_spans(buf, off, arrays.NON_SPACE)
+            words, times = np.unique(arrays.hash_spans(buf, starts, ends, arrays.FOLDED), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], ["w", "n"])
 
-    def __init__(self, blocks: list[dict[str, np.ndarray]]):
-        words, keys, counts = [], [], []
-        for x in blocks:
+    counts = rows.select("text").sample(LOOK, 7).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = counts.select("n", "w").groupBy().agg(F.sum("n").alias("total"))
+    found = counts.crossJoin(F.broadcast(total)).where(F.col("n") * 2 * n > F.col("total")).select("w").collect()
+    return np.unique(np.concatenate([np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([END], np.uint64)]))
+
+
+class Bucket:
+    """A bucket's words and contexts, and its pairs of both with training counts, sorted by word and context."""
+
+    def __init__(self, blocks: list[dict[str, np.ndarray]], width: int):
+        words = [x["word"] for x in blocks]
+        contexts = [_unpacked(x["ctx"], width) for x in blocks]
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+        self.contexts = np.unique(np.concatenate([np.zeros(0, np.uint64), *contexts]))
+        self.keys, counts = [], []
+        for x, w, c in zip(blocks, words, contexts):
             held = np.unpackbits(x["held"], count=int(x["docs"][0])).astype(bool)
             t = np.where(held[x["doc"]], 0, x["times"].astype(np.int64))
-            c = np.add.reduceat(t, np.r_[0, np.cumsum(x["entries"][:-1].astype(np.int64))]) if len(x["entries"]) else t
-            words.append(x["word"])
-            keys.append((np.repeat(np.arange(len(x["word"])), x["pairs"]), x["cls"]))
-            counts.append(c)
-        self.words = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        key = np.concatenate([(np.searchsorted(self.words, w)[i].astype(np.int64) << CLASS_BITS) | cls for w, (i, cls) in zip(words, keys)]) if words else np.zeros(0, np.int64)
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            counts.append(np.add.reduceat(t, np.r_[0, np.cumsum(x["entries"][:-1].astype(np.int64))]))
+            self.keys.append(np.repeat(np.searchsorted(self.words, w), x["pairs"]).astype(np.int64) * len(self.contexts) + np.searchsorted(self.contexts, c))
+        key, count = np.concatenate([np.zeros(0, np.int64), *self.keys]), np.concatenate([np.zeros(0, np.int64), *counts])
         some = count > 0
-        key, count = key[some], count[some]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        order = np.argsort(key[some], kind="stable")
+        key, count = key[some][order], count[some][order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         self.key = key[first]
-        self.count = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
-        self.word, self.cls = self.key >> CLASS_BITS, self.key & (CLASSES - 1)
-        self.total = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+        self.count = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
+        self.word, self.ctx = self.key // max(1, len(self.contexts)), self.key % max(1, len(self.contexts))
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
+    def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, len(self.words))
 
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ctx, values, len(self.contexts))
+
+
+_stirling: dict[float, np.ndarray] = {}
+
+
+def log_stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) up to ``EXACT``: the weight of t tables among c customers."""
+    if discount not in _stirling:
+        out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        out[1, 1] = 0.0
+        for c in range(1, EXACT):
+            t = np.arange(1, c + 2)
+            with np.errstate(divide="ignore"):
+                out[c + 1, t] = np.logaddexp(out[c, t - 1], np.log(np.maximum(c - discount * t, 0)) + out[c, t])
+        _stirling[discount] = out
+    return _stirling[discount]
+
+
+def draw_tables(count: np.ndarray, base: np.ndarray, slope: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Numbers of tables of each row's customers; its k-th table (from 0) has weight base + slope * k."""
+    out, table = np.ones(len(count)), log_stirling(discount)
+    capped = np.minimum(count, EXACT).astype(np.int64)
+    order = np.argsort(capped, kind="stable")
+    sizes, edge = np.unique(capped[order], return_index=True)
+    for c, a, z in zip(sizes.tolist(), edge, np.r_[edge[1:], len(order)]):
+        if c < 2:
+            continue
+        step = max(1, (1 << 21) // c)
+        for x in range(a, z, step):
+            i = order[x : min(z, x + step)]
+            weights = np.cumsum(np.log(base[i, None] + slope[i, None] * np.arange(c)), axis=1) + table[c, 1 : c + 1]
+            out[i] = 1 + (weights - np.log(-np.log(rng.random(weights.shape)))).argmax(axis=1)
+    i = EXACT
+    live = np.flatnonzero(count > i)
+    while len(live):
+        group = np.minimum(max(1, i // 16), count[live] - i).astype(np.int64)
+        opened, old = base[live] + slope[live] * out[live], i - discount * out[live]
+        out[live] += rng.binomial(group, np.clip(opened / (opened + old), 0, 1))
+        i += max(1, i // 16)
+        live = live[count[live] > i]
+    return out
+
+
+class Shared:
+    """What all buckets share: discounts, totals of the restaurant of words for each sample, and the frequent words' numbers in it."""
+
+    def __init__(self, tokens: int, types: int, discounts: tuple[float, float], hot: np.ndarray, hot_count: np.ndarray):
+        self.tokens, self.types, self.discounts, self.hot, self.hot_count = tokens, types, discounts, hot, hot_count
+        self.customers, self.tables, self.hot_guests, self.hot_tables = [], [], [], []
+
+    def add(self, customers: float, tables: float, guests: np.ndarray, hot_tables: np.ndarray) -> None:
+        self.customers.append(customers)
+        self.tables.append(tables + float(hot_tables.sum()))
+        self.hot_guests.append(guests)
+        self.hot_tables.append(hot_tables)
+
+    def draw_hot(self, guests: np.ndarray, tables: float, seed: int) -> np.ndarray:
+        """Tables of the frequent words, whose customers come from all buckets."""
+        base = np.full(len(guests), (STRENGTH[1] + self.discounts[1] * tables) / (self.types + 1))
+        t = draw_tables(np.maximum(guests, 1).astype(np.int64), base, np.full(len(guests), self.discounts[1] / (self.types + 1)), self.discounts[1], np.random.default_rng(seed))
+        return np.where(guests > 0, t, 0.0)
+
+    def new_word(self, k: int) -> float:
+        """Probability of a word that no table of the restaurant of words has."""
+        d, s = self.discounts[1], STRENGTH[1]
+        return (s + d * self.tables[k]) / (s + self.customers[k]) / (self.types + 1)
+
+    def words(self, x: Bucket, k: int, guests: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probability of each word of a bucket in the restaurant of words."""
+        guests, tables = guests.copy(), tables.copy()
+        at, of = _positions(x.words, self.hot)
+        guests[at], tables[at] = self.hot_guests[k][of], self.hot_tables[k][of]
+        return np.maximum(guests - self.discounts[1] * tables, 0) / (STRENGTH[1] + self.customers[k]) + self.new_word(k)
+
+
+def _positions(words: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``words`` frequent ones stand, and which they are; both ascend."""
+    _, at, of = np.intersect1d(words, hot, assume_unique=True, return_indices=True)
+    return at, of
+
+
+def _start(x: Bucket) -> tuple[np.ndarray, np.ndarray]:
+    tables = np.maximum(1.0, np.floor(x.count.astype(float) ** 0.7))
+    guests = x.by_word(tables)
+    return tables, np.where(guests > 0, np.maximum(1.0, np.floor(guests**0.7)), 0.0)
+
+
+def _sweep(x: Bucket, shared: Shared, k: int, total: np.ndarray, own: np.ndarray, tables: np.ndarray, word_tables: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """All tables drawn anew. ``total``: tables of the contexts as of the last exchange, ``own`` of them from this bucket at that time."""
+    (d1, d0), (s1, s0) = shared.discounts, STRENGTH
+    many = np.flatnonzero(x.count > 1)
+    p = shared.words(x, k, x.by_word(tables), word_tables)[x.word[many]]
+    others = np.maximum(0.0, (total - own + x.by_context(tables))[x.ctx[many]] - tables[many])
+    tables = tables.copy()
+    tables[many] = draw_tables(x.count[many], (s1 + d1 * others) * p, d1 * p, d1, rng)
+    guests = x.by_word(tables)
+    word_tables = np.zeros(len(x.words))
+    some = np.flatnonzero(guests > 0)
+    word_tables[some] = draw_tables(guests[some].astype(np.int64), np.full(len(some), (s0 + d0 * shared.tables[k]) / (shared.types + 1)), np.full(len(some), d0 / (shared.types + 1)), d0, rng)
+    return tables, word_tables
+
+
+def _sent(x: Bucket, bucket: int, n: int, width: int, values: dict[str, np.ndarray], state: list[tuple[np.ndarray, np.ndarray]], numbers: list[float], hot: np.ndarray, hot_values: dict[str, np.ndarray]):
+    """A bucket's rows of an exchange: its contexts' values to their owners, its tables to itself, its numbers to the driver."""
+    owner = arrays.mix(x.contexts) % np.uint64(n)
+    order = np.argsort(owner, kind="stable")
+    present, edge = np.unique(owner[order], return_index=True)
+    for o, a, z in zip(present.tolist(), edge, np.r_[edge[1:], len(order)]):
+        i = order[a:z]
+        yield int(o), bucket, 2, arrays.pack(ctx=_packed(x.contexts[i], width), **{c: v[i].astype(np.uint32) for c, v in values.items()})
+    yield bucket, bucket, 4, arrays.pack(**{f"t{k}": t.astype(np.uint32) for k, (t, _) in enumerate(state)}, **{f"w{k}": w.astype(np.uint32) for k, (_, w) in enumerate(state)})
+    yield bucket, bucket, 5, arrays.pack(numbers=np.array(numbers, float))
+    at, of = _positions(x.words, hot)
+    for o in np.unique(of % n).tolist() if len(of) else ():
+        mine = of % n == o
+        yield int(o), bucket, 6, arrays.pack(of=of[mine], **{c: v[at[mine]] for c, v in hot_values.items()})
+
+
+def _owners(width: int):
+    """Adds up what buckets sent for each context, and sends the sums back in the order sent; the rest passes, or is added up for the driver."""
 
-def seat(count, tables, weight, base, slope, discount, rng):
-    """Seat each row's customers anew; returns tables and log weights after the Metropolis test.
+    def run(batches):
+        mine, frequent = [], []
+        for b in batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            mine += [(owner, sender, block) for owner, sender, kind, block in rows if kind == 2]
+            frequent += [(sender, block) for _, sender, kind, block in rows if kind == 6]
+            yield _batch([r for r in rows if r[2] in (4, 5)])
+        for o in sorted({x[0] for x in mine}):
+            parts = [(sender, arrays.unpack(block)) for owner, sender, block in sorted(mine, key=lambda x: x[:2]) if owner == o]
+            _, inverse = np.unique(np.concatenate([_unpacked(p["ctx"], width) for _, p in parts]), return_inverse=True)
+            names = [c for c in parts[0][1] if c != "ctx"]
+            sums = {c: np.bincount(inverse, np.concatenate([p[c] for _, p in parts]))[inverse].astype(np.uint64) for c in names}
+            edge = np.cumsum([0, *(len(p["ctx"]) // width for _, p in parts)])
+            for (sender, _), a, z in zip(parts, edge[:-1], edge[1:]):
+                yield _batch([(sender, o, 3, arrays.pack(**{c: v[a:z].astype(np.uint32 if not a < z or v[a:z].max() < 1 << 32 else np.uint64) for c, v in sums.items()}))])
+        if frequent:
+            parts = [arrays.unpack(block) for _, block in sorted(frequent, key=lambda x: x[0])]
+            of, inverse = np.unique(np.concatenate([p["of"] for p in parts]), return_inverse=True)
+            yield _batch([(0, 0, 7, arrays.pack(of=of, **{c: np.bincount(inverse, np.concatenate([p[c] for p in parts])) for c in parts[0] if c != "of"}))])
 
-    A row's next customer opens a table with odds base + slope * tables against
-    customers - discount * tables; the product of both is the weight.
-    """
-    n = len(count)
-    order = np.argsort(-count, kind="stable")
-    c, b, s = count[order], base[order], slope[order]
-    t, w = np.ones(n), np.zeros(n)
-    i, most = 1, int(c[0]) if n else 0
-    ascending = -c
-    while i < most:
-        live = int(np.searchsorted(ascending, -i, side="left"))  # rows with more than i customers
-        step = 1 if i < _ONE_BY_ONE else i // 16
-        opened, old = b[:live] + s[:live] * t[:live], i - discount * t[:live]
-        z = opened + old
-        if step == 1:
-            t[:live] += rng.random(live) * z < opened
-            w[:live] += np.log(z)
-        else:
-            m = np.minimum(step, c[:live] - i)
-            t[:live] += rng.binomial(m.astype(np.int64), np.clip(opened / z, 0, 1))
-            w[:live] += m * np.log(z)
-        i += step
-    t_new, w_new = np.empty(n), np.empty(n)
-    t_new[order], w_new[order] = t, w
-    if tables is None:
-        return t_new, w_new
-    keep = np.log(rng.random(n)) > w_new - weight
-    return np.where(keep, tables, t_new), np.where(keep, weight, w_new)
-
-
-class Globals:
-    """What all buckets share: customers and tables by class, and the word restaurant's totals."""
-
-    def __init__(self, customers, tables, word_customers, word_tables, tokens, types):
-        self.customers, self.tables = customers, tables
-        self.word_customers, self.word_tables = word_customers, word_tables
-        self.tokens, self.types = tokens, types
-
-
-def sampled(x: Bucket, rounds: list[list[Globals]], seed: int):
-    """Replays the rounds; yields (pair tables, word tables) after every sweep of the last round."""
-    (d1, d0), (s1, s0) = DISCOUNT, STRENGTH
-    rng = np.random.default_rng(seed)
-    many = np.flatnonzero(x.count > 1)
-    g = rounds[0][0]
-    tables = np.where(x.count > 1, np.maximum(1.0, np.floor(x.count.astype(float) ** d1)), 1.0)
-    weight, word_weight = None, None
-    guests = x.sums(tables)
-    word_tables = np.maximum(1.0, np.floor(guests**d0))
-    for r, shared in enumerate(rounds):
-        sweeps = BURN_IN if r == 0 else SAMPLES
-        for k in range(sweeps):
-            g = shared[0]
-            p_new = (s0 + d0 * g.word_tables) / (s0 + g.word_customers) / (g.types + 1)
-            p_word = np.maximum(guests - d0 * word_tables, 0) / (s0 + g.word_customers) + p_new
-            p = p_word[x.word[many]]
-            others = np.maximum(0.0, g.tables[x.cls[many]] - tables[many])
-            t, weight = seat(x.count[many], tables[many] if weight is not None else None, weight, (s1 + d1 * others) * p, d1 * p, d1, rng)
-            tables[many] = t
-            guests = x.sums(tables)
-            some = np.flatnonzero(guests > 0)
-            base = np.full(len(some), (s0 + d0 * g.word_tables) / (g.types + 1))
-            fresh = word_weight is None
-            t, word_weight = seat(guests[some].astype(np.int64), None if fresh else np.minimum(word_tables[some], guests[some]), word_weight, base, np.full(len(some), d0 / (g.types + 1)), d0, rng)
-            word_tables = np.zeros(len(x.words))
-            word_tables[some] = t
-            if r == len(rounds) - 1:
-                yield tables.copy(), word_tables.copy()
-
-
-def _blocks(batches) -> tuple[dict[int, list], list]:
-    """(blocks by bucket in the order of their slabs, head blocks) of a partition."""
-    out, heads = {}, []
-    for b in batches:
-        for bucket, chunk, kind, block in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if kind:
-                heads.append((bucket, chunk, kind, block))
-            else:
-                out.setdefault(bucket, []).append((chunk, block))
-    return {k: sorted(v) for k, v in sorted(out.items())}, heads
-
-
-def _sliced(values: dict[str, np.ndarray], scalars: list[float]) -> list[tuple]:
-    """Rows (slice, block) of class vectors, only where they are not zero, and one of the scalars."""
-    width = CLASSES // SLICES
-    rows = [(SLICES, 0, 2, arrays.pack(scalars=np.array(scalars)))]
-    some = np.flatnonzero(np.sum([v != 0 for v in values.values()], axis=0))
-    edge = np.searchsorted(some, np.arange(SLICES + 1) * width)
-    for k in range(SLICES):
-        at = some[edge[k] : edge[k + 1]]
-        if len(at):
-            rows.append((k, 0, 2, arrays.pack(at=at, **{n: v[at] for n, v in values.items()})))
-    return rows
-
-
-def _add_slices(table: pa.Table) -> pa.Table:
-    """Adds up all rows of one slice."""
-    k, blocks = table.column("bucket")[0].as_py(), [arrays.unpack(x) for x in table.column("block").to_pylist()]
-    if k == SLICES:
-        row = (k, 0, 2, arrays.pack(scalars=np.sum([x["scalars"] for x in blocks], axis=0)))
-    else:
-        names = [n for n in blocks[0] if n != "at"]
-        sums = {n: np.zeros(CLASSES // SLICES) for n in names}
-        for x in blocks:
-            for n in names:
-                sums[n][x["at"] - k * (CLASSES // SLICES)] += x[n]
-        at = np.flatnonzero(np.sum([v != 0 for v in sums.values()], axis=0))
-        row = (k, 0, 2, arrays.pack(at=at + k * (CLASSES // SLICES), **{n: v[at] for n, v in sums.items()}))
-    return pa.Table.from_batches([_batch([row])])
-
-
-def _collected(rows: DataFrame, names: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """At most SLICES + 1 rows of fixed size come to the driver."""
-    out, scalars = {n: np.zeros(CLASSES) for n in names}, np.zeros(8)
-    for r in rows.groupBy("bucket").applyInArrow(_add_slices, _BLOCK).collect():
-        x = arrays.unpack(bytes(r["block"]))
-        if r["bucket"] == SLICES:
-            scalars = x["scalars"]
-        else:
-            for n in names:
-                out[n][x["at"]] = x[n]
-    return out, scalars
+    return run
 
 
-def _first_totals(batches):
-    for blocks in _blocks(batches)[0].values():
-        x = Bucket([arrays.unpack(b) for _, b in blocks])
-        tables = np.where(x.count > 1, np.maximum(1.0, np.floor(x.count.astype(float) ** DISCOUNT[0])), 1.0)
-        guests = x.sums(tables)
-        word_tables = np.maximum(1.0, np.floor(guests ** DISCOUNT[1]))[guests > 0]
-        yield _batch(_sliced({"c": np.bincount(x.cls, x.count, CLASSES), "t": np.bincount(x.cls, tables, CLASSES)}, [x.count.sum(), (x.total > 0).sum(), guests.sum(), word_tables.sum()]))
+def _returned(x: Bucket, rows: list[tuple], n: int, name: str) -> np.ndarray:
+    """A context's sums, put back into the bucket's order."""
+    owner = arrays.mix(x.contexts) % np.uint64(n)
+    out = np.zeros(len(x.contexts))
+    out[np.argsort(owner, kind="stable")] = np.concatenate([np.zeros(0), *(arrays.unpack(b)[name] for kind, _, _, b in rows if kind == 3)])
+    return out
 
 
-def _sample_totals(shared, take_last: bool):
-    def run(batches):
-        for bucket, blocks in _blocks(batches)[0].items():
-            x = Bucket([arrays.unpack(b) for _, b in blocks])
-            got = list(sampled(x, shared.value, bucket))
-            got = got[-1:] if take_last else got
-            values = {f"t{k}": np.bincount(x.cls, t, CLASSES) for k, (t, _) in enumerate(got)}
-            yield _batch(_sliced(values, [v for t, w in got for v in (t.sum(), w.sum())]))
+def _bucket_of(table: pa.Table, width: int) -> tuple[int, list, list, Bucket]:
+    rows = _rows(table)
+    blocks = [(chunk, arrays.unpack(b)) for kind, chunk, _, b in rows if kind == 0]
+    return (rows[0][2] if rows else 0), [r for r in rows if r[0] == 1], blocks, Bucket([b for _, b in blocks], width)
+
+
+def _table(rows) -> pa.Table:
+    return pa.Table.from_batches([_batch(list(rows))])
+
+
+def _first_exchange(n: int, width: int, hot: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, _, blocks, x = _bucket_of(table, width)
+        if not blocks:  # it only holds heads of slabs
+            return _table([])
+        tables, word_tables = _start(x)
+        guests, total, kinds = x.by_word(tables), x.by_word(x.count), x.by_word(np.ones(len(x.key)))
+        plain = ~np.isin(x.words, hot)
+        numbers = [x.count.sum(), (plain & (total > 0)).sum(), guests.sum(), word_tables[plain].sum(), (x.count == 1).sum(), (x.count == 2).sum(), (plain & (kinds == 1)).sum(), (plain & (kinds == 2)).sum()]
+        return _table(_sent(x, bucket, n, width, {"c": x.by_context(x.count), "t0": x.by_context(tables)}, [(tables, word_tables)], numbers, hot, {"count": total, "g0": guests}))
 
     return run
 
 
-def _scores(shared):
-    """Each text's share of score, base score and known words in a bucket."""
-    (d1, d0), (s1, s0) = DISCOUNT, STRENGTH
+def _sample_exchange(n: int, width: int, shared: Shared, k: int, sweeps: int, kept: int):
+    """Draws on from the tables of the last exchange, and sends what the last ``kept`` sweeps have."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket, _, blocks, x = _bucket_of(left, width)
+        if not blocks:
+            return _table([])
+        back = _rows(right)
+        total = _returned(x, back, n, f"t{_last(back)}")
+        own = next(arrays.unpack(b) for kind, _, _, b in back if kind == 4)
+        tables, word_tables = own[f"t{_last(back)}"].astype(float), own[f"w{_last(back)}"].astype(float)
+        before, rng, state = x.by_context(tables), np.random.default_rng([bucket, k]), []
+        for _ in range(sweeps):
+            tables, word_tables = _sweep(x, shared, -1, total, before, tables, word_tables, rng)
+            state = [*state, (tables, word_tables)][-kept:]
+        plain = ~np.isin(x.words, shared.hot)
+        numbers = [v for t, w in state for v in (t.sum(), w[plain].sum())]
+        return _table(_sent(x, bucket, n, width, {f"t{i}": x.by_context(t) for i, (t, _) in enumerate(state)}, state, numbers, shared.hot, {f"g{i}": x.by_word(t) for i, (t, _) in enumerate(state)}))
 
-    def run(batches):
-        rounds, finals = shared.value
-        by_bucket, heads = _blocks(batches)
-        yield _batch(heads)
-        for bucket, blocks in by_bucket.items():
-            blocks = [(chunk, arrays.unpack(b)) for chunk, b in blocks]
-            x = Bucket([b for _, b in blocks])
-            seen, p_words, news = 0.0, [], []
-            for (t, wt), g in zip(sampled(x, rounds, bucket), finals):
-                guests = x.sums(t)
-                p_new = (s0 + d0 * g.word_tables) / (s0 + g.word_customers) / (g.types + 1)
-                p_words.append(np.maximum(guests - d0 * wt, 0) / (s0 + g.word_customers) + p_new)
-                news.append((s1 + d1 * g.tables) / (s1 + g.customers))
-                seen = seen + (x.count - d1 * t) / (s1 + g.customers[x.cls]) / len(finals)
-            log_count = np.log10(x.total + 1.0)
-            for chunk, b in blocks:
-                docs = int(b["docs"][0])
-                word = np.searchsorted(x.words, b["word"])
-                pair_word = np.repeat(word, b["pairs"])
-                key = (pair_word.astype(np.int64) << CLASS_BITS) | b["cls"]
-                at = np.minimum(np.searchsorted(x.key, key), max(0, len(x.key) - 1))
-                p = np.where(x.key[at] == key, seen[at], 0.0) if len(x.key) else np.zeros(len(key))
-                for new, pw in zip(news, p_words):
-                    p = p + new[b["cls"]] * pw[pair_word] / len(news)
-                times = b["times"].astype(np.int64)
-                entry = np.repeat(np.arange(len(key)), b["entries"])
-                doc, w = b["doc"], pair_word[entry]
-                yield _batch([(bucket, chunk, 0, arrays.pack(
-                    score=np.bincount(doc, np.log10(p)[entry] * times, docs), base=np.bincount(doc, log_count[w] * times, docs), known=np.bincount(doc, (x.total[w] > 0) * times, docs).astype(np.uint32),
-                ))])
+    return run
+
+
+def _last(rows: list[tuple]) -> int:
+    return sum(c.startswith("w") for c in next(arrays.unpack(b) for kind, _, _, b in rows if kind == 4)) - 1
+
+
+def _scores(n: int, width: int, shared: Shared, samples: int):
+    """Each text's share of score, base score and known words in a bucket; ``shared`` has the samples last."""
+    (d1, d0), (s1, s0) = shared.discounts, STRENGTH
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket, heads, blocks, x = _bucket_of(left, width)
+        back = _rows(right)
+        out = [(b, chunk, kind, block) for kind, chunk, b, block in heads]
+        if not blocks:
+            return _table(out)
+        customers = _returned(x, [r for r in back if r[0] == 3 and "c" in arrays.unpack(r[3])], n, "c")
+        sums = [r for r in back if r[0] == 3 and "c" not in arrays.unpack(r[3])]
+        own = next(arrays.unpack(b) for kind, _, _, b in back if kind == 4)
+        seen, p_words, news = 0.0, [], []
+        for i in range(samples):
+            t, w = own[f"t{i}"].astype(float), own[f"w{i}"].astype(float)
+            p_words.append(shared.words(x, i - samples, x.by_word(t), w))
+            news.append((s1 + d1 * _returned(x, sums, n, f"t{i}")) / (s1 + customers))
+            seen = seen + (x.count - d1 * t) / (s1 + customers[x.ctx]) / samples
+        total = x.by_word(x.count)
+        at, of = _positions(x.words, shared.hot)
+        total[at] = shared.hot_count[of]
+        log_count = np.log10(total + 1.0)
+        for (chunk, b), key in zip(blocks, x.keys):
+            docs = int(b["docs"][0])
+            word, ctx = key // len(x.contexts), key % len(x.contexts)
+            place = np.minimum(np.searchsorted(x.key, key), max(0, len(x.key) - 1))
+            p = np.where(x.key[place] == key, seen[place], 0.0) if len(x.key) else np.zeros(len(key))
+            for new, pw in zip(news, p_words):
+                p = p + new[ctx] * pw[word] / samples
+            times = b["times"].astype(np.int64)
+            entry = np.repeat(np.arange(len(key)), b["entries"])
+            doc, w = b["doc"], word[entry]
+            out.append((bucket, chunk, 0, arrays.pack(score=np.bincount(doc, np.log10(p)[entry] * times, docs), base=np.bincount(doc, log_count[w] * times, docs), known=np.bincount(doc, (total[w] > 0) * times, docs))))
+        return _table(out)
 
     return run
 
 
+def _added(batches):
+    """The shares that a partition has of a slab, added up, where they are not zero."""
+    sums: dict[int, dict] = {}
+    for b in batches:
+        for bucket, chunk, kind, block in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if kind:
+                yield _batch([(bucket, chunk, kind, block)])
+            else:
+                x = arrays.unpack(block)
+                s = sums.get(chunk)
+                sums[chunk] = {c: v + s[c] for c, v in x.items()} if s else x
+    for chunk, x in sums.items():
+        some = np.flatnonzero(x["score"] != 0)
+        yield _batch([(TaskContext.get().partitionId(), chunk, 0, arrays.pack(doc=some.astype(np.uint16), score=x["score"][some], base=x["base"][some], known=x["known"][some].astype(np.uint32)))])
+
+
 def _texts(n_train: int, n_types: int):
-    """Adds up the buckets' shares of one slab of texts."""
+    """Adds up the partitions' shares of one slab of texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("block").to_pylist()), key=lambda r: r[:2])
-        ids, tokens, held = next(pickle.loads(b) for k, _, b in rows if k == 1)
+        rows = _rows(table)
+        ids, tokens, held = next(pickle.loads(b) for k, _, _, b in rows if k == 1)
         score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for k, _, b in rows:
+        for k, _, _, b in rows:
             if not k:
                 x = arrays.unpack(b)
-                score += x["score"]
-                base += x["base"]
-                known += x["known"]
+                score[x["doc"]] += x["score"]
+                base[x["doc"]] += x["base"]
+                known[x["doc"]] += x["known"]
         base -= tokens * np.log10(float(n_train + n_types + 1))
         return pa.table({"id": pa.array(ids, pa.string()), "held_out": held, "n_tokens": tokens.astype(np.int64), "n_known": known, "train_tokens": np.full(len(ids), n_train, np.int64), "base_score": base, "score": score})
 
     return run
 
 
-def score(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _numbers(stage: DataFrame, hot: np.ndarray, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The sums of the buckets' numbers, and the frequent words' sums: some rows a bucket, and 2 * partitions words at most."""
+    numbers, frequent = 0.0, {c: np.zeros(len(hot)) for c in names}
+    for r in stage.where("kind in (5, 7)").select("kind", "block").collect():
+        x = arrays.unpack(bytes(r["block"]))
+        if r["kind"] == 5:
+            numbers = numbers + x["numbers"]
+        else:
+            for c in names:
+                frequent[c][x["of"]] += x[c]
+    return numbers, frequent
+
+
+def score(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """Per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity).
 
     The model learns from all documents for which ``held_out`` is not true and scores all. A null
     text is empty: its end alone is scored. With nothing to learn from, the uniform base over one
-    unseen word is left. Repeated rows are scored, and learnt from, each by itself.
+    unseen word is left. Repeated rows are scored, and learnt from, each by itself. Other columns are not looked at, and an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     n = exchange.partitions(spark)
+    width = context_bytes(n)
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    blocks = exchange.cut(exchange.by_bucket(rows.mapInArrow(_count(n), _BLOCK), n))
-    v, s = _collected(blocks.mapInArrow(_first_totals, _BLOCK), ["c", "t"])
-    tokens, types = int(s[0]), int(s[1])
-    start = Globals(v["c"], v["t"], s[2], s[3], tokens, types)
-    shared = spark.sparkContext.broadcast([[start]])
-    t, s = _collected(blocks.mapInArrow(_sample_totals(shared, True), _BLOCK), ["t0"])
-    burnt = Globals(v["c"], t["t0"], s[0], s[1], tokens, types)
-    rounds = [[start], [burnt]]
-    shared = spark.sparkContext.broadcast(rounds)
-    t, s = _collected(blocks.mapInArrow(_sample_totals(shared, False), _BLOCK), [f"t{k}" for k in range(SAMPLES)])
-    finals = [Globals(v["c"], t[f"t{k}"], s[2 * k], s[2 * k + 1], tokens, types) for k in range(SAMPLES)]
-    shared = spark.sparkContext.broadcast((rounds, finals))
-    parts = blocks.mapInArrow(_scores(shared), _BLOCK)
-    out = parts.groupBy("chunk").applyInArrow(_texts(tokens, types), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    hot = _frequent(rows, n)
+    blocks = exchange.cut(rows.mapInArrow(_count(SPREAD * n, width, hot), _BLOCK).repartition(n, "bucket"), keep_partitioning=True)
+    summed = lambda sent: exchange.cut(sent.repartitionById(n, F.expr(f"bucket % {n}")).mapInArrow(_owners(width), _BLOCK))
+    together = lambda back, f: blocks.groupBy("bucket").cogroup(back.where("kind in (3, 4)").groupBy("bucket")).applyInArrow(f, _BLOCK)
+
+    first = summed(blocks.groupBy("bucket").applyInArrow(_first_exchange(n, width, hot), _BLOCK))
+    v, frequent = _numbers(first, hot, ["count", "g0"])
+    v = v if len(np.atleast_1d(v)) == 8 else np.zeros(8)
+    rate = lambda one, two: float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5
+    shared = Shared(int(v[0]), int(v[1]) + int((frequent["count"] > 0).sum()), (rate(v[4], v[5]), rate(v[6], v[7])), hot, frequent["count"])
+    shared.add(v[2], v[3], frequent["g0"], np.where(frequent["g0"] > 0, np.maximum(1.0, np.floor(frequent["g0"] ** 0.7)), 0.0))
+    burnt = summed(together(first, _sample_exchange(n, width, shared, 1, burn_in, 1)))
+    v, frequent = _numbers(burnt, hot, ["g0"])
+    v = v if len(np.atleast_1d(v)) == 2 else np.zeros(2)
+    shared.add(v[0], v[1], frequent["g0"], shared.draw_hot(frequent["g0"], v[1], 1))
+    kept = summed(together(burnt, _sample_exchange(n, width, shared, 2, samples, samples)))
+    v, frequent = _numbers(kept, hot, [f"g{k}" for k in range(samples)])
+    v = v if len(np.atleast_1d(v)) == 2 * samples else np.zeros(2 * samples)
+    for k in range(samples):
+        shared.add(v[2 * k], v[2 * k + 1], frequent[f"g{k}"], shared.draw_hot(frequent[f"g{k}"], v[2 * k + 1], 2 + k))
+    parts = together(first.where("kind = 3").unionByName(kept), _scores(n, width, shared, samples)).mapInArrow(_added, _BLOCK)
+    out = parts.groupBy("chunk").applyInArrow(_texts(shared.tokens, shared.types), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(doc_id), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
