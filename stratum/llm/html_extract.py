@@ -194,13 +194,16 @@ def classify(found: list[Block], declared: bool = True) -> None:
 
     The second pass walks from each undecided block to the nearest decided ones; the borders of an
     article or main element are decided: good from inside, and unknown from outside, where the walk goes on. Of
-    two that differ, the nearer wins; headings go with what follows, near blocks with a good neighbour on either side.
+    two that differ, the nearer wins; headings go with what follows; near blocks, and all inside an article, with a good neighbour
+    on either side, so that there only what stands among links goes.
     Without any decided neighbour, paragraphs and headings are good.
     """
     for b in found:
         b.label = "bad" if declared and b.banned else by_text(b)
         if declared and b.main and b.label == "bad" and b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "figcaption"):
             b.label = "open"  # a paragraph that is one link, in an article
+        elif declared and b.main and b.label == "near":
+            b.label = "good"
 
     def nearest(order: list[int]) -> dict[int, tuple[str, int]]:
         out, last = {}, ("", 0)
@@ -221,7 +224,7 @@ def classify(found: list[Block], declared: bool = True) -> None:
         if b.label in ("good", "bad"):
             continue
         (left, l), (right, r) = forth[i], back[i]
-        if b.label == "near" and "good" in (left, right):
+        if (b.label == "near" or declared and b.main) and "good" in (left, right):
             decided[i] = "good"
         elif left == right or not left or not right:
             decided[i] = left or right or ("good" if b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") else "bad")

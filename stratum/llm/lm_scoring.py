@@ -34,6 +34,8 @@ BURN_IN, SAMPLES = 2, 2
 EXACT = 64
 #: Buckets for each partition, so that a partition's load evens out.
 SPREAD = 4
+#: Bytes of text in a slab, which a worker counts at once.
+SLAB_BYTES = 4 << 20
 #: Share of the texts that is looked at for frequent words; it only decides where things are dealt to.
 LOOK = 0.01
 
@@ -83,13 +85,16 @@ def _count(buckets: int, width: int, hot: np.ndarray):
         last = np.cumsum(per_doc + 1) - 1
         seq[np.arange(len(starts)) + row] = arrays.hash_spans(buf, starts, ends, arrays.FOLDED)
         seq[last] = END
-        before = np.empty_like(seq)
-        before[1:] = seq[:-1]
-        before[0] = BEGIN
-        before[last[:-1] + 1] = BEGIN
-        words, inverse = np.unique(np.concatenate([seq, before]), return_inverse=True)
-        word, ctx = inverse[: len(seq)].astype(np.uint64), inverse[len(seq) :].astype(np.uint64)
+        words, word = np.unique(seq, return_inverse=True)
+        word = word.astype(np.uint64)
+        ctx = np.empty_like(word)
+        ctx[1:] = word[:-1]
+        ctx[0] = len(words)
+        ctx[last[:-1] + 1] = len(words)
+        words = np.r_[words, BEGIN]
+        del seq
         key = (word << np.uint64(40)) | (ctx << np.uint64(16)) | doc.astype(np.uint64)
+        del word, ctx, doc
         key.sort()
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         times = np.diff(np.r_[first, len(key)])
@@ -122,7 +127,7 @@ def _count(buckets: int, width: int, hot: np.ndarray):
             all_buf, all_off = arrays.texts(b.column(1))
             held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             ids = b.column(0).to_pylist()
-            for a, z in arrays.row_slabs(all_off):
+            for a, z in arrays.row_slabs(all_off, most_bytes=SLAB_BYTES):
                 chunk = (TaskContext.get().partitionId() << 32) + serial
                 serial += 1
                 yield _batch(slab(all_buf[all_off[a] : all_off[z]], all_off[a : z + 1] - all_off[a], held[a:z], ids[a:z], chunk))

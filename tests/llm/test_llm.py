@@ -306,3 +306,244 @@ def test_license_finds_every_notice_of_a_text(spark):
     labels = {r.doc_id: r["labels"] for r in rows}
     assert [labels[i] for i in range(3)] == ["bsd,cc-by-nc", "bsd,cc-by", "cc-by-nc,mit"]
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_suffix_dedup_on_dense_repeats(spark):
+    """Two letters only, so that strings tie for long and share their parts in every way; odd bytes among them."""
+    rng = random.Random(1)
+    base = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(4)]
+    rows = []
+    for i in range(80):
+        t = ""
+        for _ in range(rng.randrange(0, 5)):
+            a = rng.randrange(0, 250)
+            t += rng.choice(base)[a : a + rng.randrange(20, 200)] + (rng.choice(["x", "é", "\0", "zz"]) if rng.random() < 0.5 else "")
+        rows.append((i, t))
+    rows += [(200, None), (201, ""), (202, "a" * 1000), (203, "a" * 99), (204, "a" * 100)]
+    seen, want = set(), {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want[i] = (sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in got.collect()} == want and sum(n for n, _ in want.values()) > 5000
+
+
+def test_offsets_of_contexts_against_plain_comparison():
+    rng = np.random.default_rng(0)
+    rows = rng.integers(0, 2, (300, 12), dtype=np.uint8)  # 3 bytes before, 4, 3 after, and how many of either are text
+    rows[:, 3:7] = rng.integers(0, 2, (300, 1))
+    rows[:, 10:] = rng.integers(0, 4, (300, 2))
+    for r in rows:
+        r[: 3 - r[10]] = 0
+        r[7 + r[11] : 10] = 0
+    want, seen = np.zeros(300, np.uint32), set()
+    for i, r in enumerate(rows):
+        for d in range(4):
+            if r[10] >= d and r[11] >= 3 - d:
+                s = (d, bytes(r[3 - d : 10 - d]))
+                want[i] |= (s in seen) << d
+                seen.add(s)
+    assert (suffix_dedup._repeated_offsets(rows, 4, 3) == want).all()
+
+
+def test_tables_are_drawn_from_their_distribution():
+    """Against all ways to seat four customers one after another; and the weights of a context sum to one."""
+    d, base, slope = 0.6, 0.7, 0.3
+    weight = collections.Counter({(1,): base})
+    for _ in range(3):
+        new = collections.Counter()
+        for sizes, w in weight.items():
+            new[tuple(sorted((*sizes, 1)))] += w * (base + slope * len(sizes))
+            for k in range(len(sizes)):
+                new[tuple(sorted(sizes[:k] + (sizes[k] + 1,) + sizes[k + 1 :]))] += w * (sizes[k] - d)
+        weight = new
+    share = [sum(w for s, w in weight.items() if len(s) == t) / sum(weight.values()) for t in range(1, 5)]
+    n = 200_000
+    got = lm_scoring.draw_tables(np.full(n, 4), np.full(n, base), np.full(n, slope), d, np.random.default_rng(3))
+    assert np.abs(np.bincount(got.astype(int), minlength=5)[1:] / n - share).max() < 0.005
+    many = lm_scoring.draw_tables(np.array([5000, 70, 1]), np.full(3, 2.0), np.full(3, 0.1), 0.5, np.random.default_rng(1))
+    assert (many >= 1).all() and many[0] > many[1] > 0 and many[2] == 1
+
+
+def test_scores_against_a_sequential_sampler(spark):
+    """A plain Gibbs sampler, customer by customer with every table's size, on a small corpus."""
+    rng = random.Random(11)
+    chain = {w: [rng.choice("abcdefgh") for _ in range(3)] for w in "abcdefgh"}
+    rows = []
+    for i in range(60):
+        w = [rng.choice("abcdefgh")]
+        while len(w) < 12:
+            w.append(rng.choice(chain[w[-1]]))
+        rows.append((i, " ".join(w)))
+    held = F.col("doc_id") >= 50
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), held, burn_in=15, samples=15).collect()}
+    pairs = lambda t: list(zip(["<", *t.split()], [*t.split(), ">"]))
+    train = [p for i, t in rows if i < 50 for p in pairs(t)]
+    count = collections.Counter(train)
+    one, two = sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+    kinds = collections.Counter(w for _, w in count if w != ">")
+    m1, m2 = sum(c == 1 for c in kinds.values()), sum(c == 2 for c in kinds.values())
+    d1 = min(0.95, max(0.05, one / (one + 2 * two)))
+    d0 = min(0.95, max(0.05, m1 / (m1 + 2 * m2))) if m1 + m2 else 0.5
+    s1, s0 = lm_scoring.STRENGTH
+    v = len({w for _, w in train})
+    low, top = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)  # sizes of tables by context and word, and by word
+
+    def p_top(w):
+        c, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(top[w]) - d0 * len(top[w])) / (s0 + c) + (s0 + d0 * t) / (s0 + c) / (v + 1)
+
+    def p_low(u, w):
+        c, t = sum(sum(x) for x in low[u].values()), sum(len(x) for x in low[u].values())
+        return (sum(low[u][w]) - d1 * len(low[u][w])) / (s1 + c) + (s1 + d1 * t) / (s1 + c) * p_top(w)
+
+    def seat(tables, discount, new):
+        weights = [x - discount for x in tables] + [new]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def enter(u, w):
+        t = sum(len(x) for x in low[u].values())
+        if seat(low[u][w], d1, (s1 + d1 * t) * p_top(w)):
+            seat(top[w], d0, (s0 + d0 * sum(map(len, top.values()))) / (v + 1))
+
+    for p in train:
+        enter(*p)
+    mean, n = collections.Counter(), 0
+    asked = {p for _, t in rows for p in pairs(t)}
+    for sweep in range(40):
+        for u, w in train:
+            if leave(low[u][w]):
+                leave(top[w])
+            enter(u, w)
+        if sweep >= 10:
+            n += 1
+            for p in asked:
+                mean[p] += p_low(*p)
+    for i, t in rows:
+        want = sum(np.log10(mean[p] / n) for p in pairs(t))
+        assert abs(got[i] - want) < 0.02 * abs(want), (i, got[i], want)
+
+
+def test_pages_without_declared_furniture():
+    """Labelled blocks: what counts is what a block says, how long it is and how much of it is links; names are only a hint."""
+    long = "The house on the hill was built by the family that had lived in the valley for more than a hundred years, and it is one of the few that are still there. "
+    links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(8))
+    page = f"<body><div><ul>{links}</ul></div><div>Get 20 % off</div><h2>The house</h2><p>{long * 2}</p><p>Quite so.</p><p>{long}</p><div><p><a href=/a>More stories about houses in this region and others</a> <a href=/b>All of them here</a></p></div></body>"
+    want = ["The house", (long * 2).strip(), "Quite so.", long.strip()]
+    assert html_extract.main_text(page) == "\n".join(want)
+    inside = f"<body><nav><a href=/>Home</a></nav><article><h1>On houses</h1><div class='side-effects'>Rare ones.</div><p>{long}</p><div class='product-widget'>A lamp of brass.</div><p><label>Built:</label> 1810</p><ul>{links}</ul><p>{long}</p><div class='cookie-notice'>{long}</div></article><footer>{long}</footer></body>"
+    assert html_extract.main_text(inside) == "\n".join(["On houses", "Rare ones.", long.strip(), "A lamp of brass.", "Built: 1810", long.strip()])
+    teaser = f"<body><article><a href=/1>One more story</a></article><div><p>{long * 2}</p></div></body>"
+    assert long.strip() in html_extract.main_text(teaser)  # a long text outside of an article stays
+
+
+def test_pages_through_the_operator(spark, monkeypatch):
+    long = "The text of the page is here and it is long enough to be one of those that are kept by the rules, as it was in the days of old. "
+    pages = [(1, "http://a/", f"<p>{long * 2}</p><ul><li><a href=x>Menu</a></li></ul>", "t"), (2, None, None, "t"), (3, "u", "", "t"), (1, "http://a/", f"<p>{long * 2}</p><ul><li><a href=x>Menu</a></li></ul>", "t"), (4, "u", "<article>" + f"<p>{long}" * 4000, "t")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    rows = html_extract.extract(df).collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.page_id].append(r.text)
+    assert got[1] == [(long * 2).strip()] * 2 and got[2] == got[3] == [""] and got[4] == ["\n".join([long.strip()] * 4000)]
+    assert html_extract.extract(df.limit(0)).count() == 0 and rows[0].url is not None
+    monkeypatch.setattr(html_extract, "by_text", lambda b: "good")  # without the text rules the menu would stay
+    assert "Menu" in html_extract.main_text(pages[0][2])
+
+
+def test_components_of_a_chain_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB_EDGES", 20)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(5000, 1100), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    root = {r.node: r.root for r in simhash.components(df).collect()}
+    assert {root[i] for i in range(1, 201)} == {0} and {root[i] for i in [*range(1001, 1301), 5000]} == {1000}
+    with pytest.raises(RuntimeError):
+        simhash.components(df, most_rounds=1)
+
+
+def test_posteriors_of_votes_against_a_plain_loop():
+    counts = {"1112112": 40, "0001001": 9, "1121222": 13, "0202020": 5, "2222222": 3}
+    prior, good, bad = 0.8, [0.85] * 7, [0.85] * 7
+
+    def posterior(p):
+        a, b = prior, 1 - prior
+        for k, v in enumerate(p):
+            if v != "2":
+                a, b = (a * good[k], b * (1 - bad[k])) if v == "1" else (a * (1 - good[k]), b * bad[k])
+        return a / (a + b)
+
+    for _ in range(50):
+        q = {p: posterior(p) for p in counts}
+        prior = min(0.95, max(0.05, sum(n * q[p] for p, n in counts.items()) / 70))
+        for k in range(7):
+            said = lambda v, f: sum(n * f(q[p]) for p, n in counts.items() if p[k] == v)  # noqa: B023, E731
+            g1, g0, b1, b0 = said("1", lambda x: x), said("0", lambda x: x), said("1", lambda x: 1 - x), said("0", lambda x: 1 - x)
+            good[k] = min(0.99, max(0.5, (g1 + 8.5) / (g1 + g0 + 10)))
+            bad[k] = min(0.99, max(1.02 - good[k], (b0 + 8.5) / (b0 + b1 + 10)))
+    got = quality.estimate(counts, 7)
+    assert all(abs(got[p] - posterior(p)) < 1e-9 for p in counts) and got["0001001"] < 0.5 < got["1112112"]
+
+
+def test_clashing_names_stay_or_are_replaced(spark):
+    docs = spark.createDataFrame([(i, "word " * 60 + str(i), "s", 1, 2, 3, 4, 5, 6) for i in range(6)], "doc_id long, text string, source string, size int, taken int, _hash int, _nth int, n_words int, quality int")
+    assert set(simhash.keep_one(docs).columns) == set(docs.columns) and simhash.keep_one(docs).first()["_nth"] == 4
+    assert mixing.repeat(docs).columns == docs.columns and mixing.repeat(docs).first().size == 1 and mixing.mix(docs).first()["_hash"] == 3
+    bench = spark.createDataFrame([(1, "none of these")], "item_id long, text string")
+    assert decontaminate.remove(docs, bench).columns == docs.columns and quality.keep_good(docs).columns == docs.columns
+    pages = spark.createDataFrame([(1, "http://a.com/x", "mine", "d", "s")], "page_id long, url string, host string, domain string, suffix string")
+    out = url_filter.judge(pages, spark.createDataFrame([(1, 0)], "k long, bad int")).first()
+    assert (out.host, out["domain"], out.suffix) == ("a.com", "d", "s")
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """All stages over a small corpus: who goes at each, and what the last one writes."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"{''.join(rng.choice('abcdefghijklmnoprstu') for _ in range(rng.randrange(3, 9)))}" for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(120), "s" + str(i % 3)) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " more", "s1") for i in range(5)]  # near copies
+    rows += [(200, "short one", "s0"), (201, "same again and " * 60, "s0")]  # rejected by the rules
+    item = text(12)
+    rows += [(300, text(60) + " " + item + " " + text(60), "s2")]  # a passage of the benchmark
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    now = docs
+    gone = [{200, 201}, set(range(100, 105)), set()]
+    for (_, stage), out in zip(corpus_pipeline.STAGES[:3], gone):
+        now = stage(spark, now, str(tmp_path))
+        assert {r.doc_id for r in now.collect()} == (kept := {k: v for k, v in kept.items() if k not in out}).keys()
+    after = {r.doc_id: r.text for r in now.collect()}
+    assert item not in after[300] and all(after[k] == v for k, v in kept.items() if k != 300)
+    spark.conf.set("stratum.shards.dir", str(tmp_path / "shards"))
+    try:
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("stratum.shards.dir")
+    enc = token_output.Encoder(open(VOCABULARY, "rb").read())
+    assert sorted(r.slot for r in out) == list(range(len(out))) and {r.doc_id for r in out} <= set(kept)
+    mixed = mixing.repeat(now).collect()
+    assert sum(int(r.n_tokens) for r in out) == sum(len(enc.encode(r.text)) + 1 for r in mixed)
+    back = token_output.read_from(spark, str(tmp_path / "shards"), 0, len(out), 65536, 512).collect()
+    assert [bytes(r.record) for r in back] == [bytes(r.record) for r in sorted(out, key=lambda r: r.slot)]
