@@ -200,7 +200,7 @@ def classify(found: list[Block], declared: bool = True) -> None:
     """
     for b in found:
         b.label = "bad" if declared and b.banned else by_text(b)
-        if declared and b.main and b.label == "bad" and b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "figcaption"):
+        if declared and b.main and not b.banned and b.label == "bad" and b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "figcaption"):
             b.label = "open"  # a paragraph that is one link, in an article
         elif declared and b.main and b.label == "near":
             b.label = "good"

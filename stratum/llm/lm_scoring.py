@@ -35,7 +35,9 @@ EXACT = 64
 #: Buckets for each partition, so that a partition's load evens out.
 SPREAD = 4
 #: Bytes of text in a slab, which a worker counts at once.
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 3 << 20
+#: Texts whose sums a partition holds at a time.
+MOST_TEXTS = 1 << 20
 #: Share of the texts that is looked at for frequent words; it only decides where things are dealt to.
 LOOK = 0.01
 
@@ -131,6 +133,7 @@ def _count(buckets: int, width: int, hot: np.ndarray):
                 chunk = (TaskContext.get().partitionId() << 32) + serial
                 serial += 1
                 yield _batch(slab(all_buf[all_off[a] : all_off[z]], all_off[a : z + 1] - all_off[a], held[a:z], ids[a:z], chunk))
+                arrays.give_back()
 
     return run
 
@@ -338,7 +341,9 @@ def _bucket_of(table: pa.Table, width: int) -> tuple[int, list, list, Bucket]:
 
 
 def _table(rows) -> pa.Table:
-    return pa.Table.from_batches([_batch(list(rows))])
+    out = pa.Table.from_batches([_batch(list(rows))])
+    arrays.give_back()
+    return out
 
 
 def _first_exchange(n: int, width: int, hot: np.ndarray):
@@ -423,17 +428,26 @@ def _scores(n: int, width: int, shared: Shared, samples: int):
 def _added(batches):
     """The shares that a partition has of a slab, added up, where they are not zero."""
     sums: dict[int, dict] = {}
+    held = 0
+
+    def flushed():
+        for chunk, x in sums.items():
+            some = np.flatnonzero(x["score"] != 0)
+            yield _batch([(TaskContext.get().partitionId(), chunk, 0, arrays.pack(doc=some.astype(np.uint16), score=x["score"][some], base=x["base"][some], known=x["known"][some].astype(np.uint32)))])
+        sums.clear()
+
     for b in batches:
         for bucket, chunk, kind, block in zip(*(b.column(i).to_pylist() for i in range(4))):
             if kind:
                 yield _batch([(bucket, chunk, kind, block)])
-            else:
-                x = arrays.unpack(block)
-                s = sums.get(chunk)
-                sums[chunk] = {c: v + s[c] for c, v in x.items()} if s else x
-    for chunk, x in sums.items():
-        some = np.flatnonzero(x["score"] != 0)
-        yield _batch([(TaskContext.get().partitionId(), chunk, 0, arrays.pack(doc=some.astype(np.uint16), score=x["score"][some], base=x["base"][some], known=x["known"][some].astype(np.uint32)))])
+                continue
+            x, s = arrays.unpack(block), sums.get(chunk)
+            sums[chunk] = {c: v + s[c] for c, v in x.items()} if s else x
+            held += 0 if s else len(x["score"])
+            if held > MOST_TEXTS:
+                yield from flushed()
+                held = 0
+    yield from flushed()
 
 
 def _texts(n_train: int, n_types: int):

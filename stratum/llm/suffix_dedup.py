@@ -345,6 +345,7 @@ def _repeated_offsets(contexts: np.ndarray, width: int, margin: int) -> np.ndarr
 
 def _whole(batches) -> pa.Table:
     got = [b for b in batches if b.num_rows]
+    arrays.give_back()
     return pa.Table.from_batches(got) if got else pa.Table.from_batches([_batch([])])
 
 
