@@ -101,6 +101,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_ids(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers of which ``repartition(n, ...)`` deals exactly one to each partition: by their hashes among some more numbers."""
+    rows = spark.range(40 * n + 400).select(F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()
+    found = {r["p"]: r["id"] for r in rows}
+    return [int(found[p]) for p in range(n)]
+
+
 def by_bucket(df: DataFrame, n: int, column: str = "bucket") -> DataFrame:
     """Bucket b of n goes to partition b, so that each partition holds one bucket."""
     return df.repartitionById(n, F.col(column).cast("int"))

@@ -32,8 +32,6 @@ BEGIN = np.uint64(0x5D1E0F5EA7ED0002)  # what stands before the first word
 STRENGTH = (2.0, 5.0)  # of context restaurants, of the restaurant of words
 BURN_IN, SAMPLES = 2, 2
 EXACT = 64
-#: Buckets for each partition, so that a partition's load evens out.
-SPREAD = 4
 #: Bytes of text in a slab, which a worker counts at once.
 SLAB_BYTES = 3 << 20
 #: Texts whose sums a partition holds at a time.
@@ -75,8 +73,9 @@ def _rows(table: pa.Table) -> list[tuple]:
     return sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "bucket", "block"))), key=lambda r: r[:3])
 
 
-def _count(buckets: int, width: int, hot: np.ndarray):
-    """Blocks of (word, context, text, count) by bucket, and a head block for each slab of texts."""
+def _count(ids_of: list[int], width: int, hot: np.ndarray):
+    """Blocks of (word, context, text, count) by bucket, and a head block for each slab of texts; ``ids_of`` has the buckets' numbers."""
+    buckets = len(ids_of)
 
     def slab(buf, offsets, held, ids, chunk):
         starts, ends, row = arrays.word_spans(buf, offsets, arrays.NON_SPACE)
@@ -117,11 +116,11 @@ def _count(buckets: int, width: int, hot: np.ndarray):
             new = np.flatnonzero(np.r_[True, w[i][1:] != w[i][:-1]])
             e = arrays.ranges(pair_at[i], entries[i])
             t = times[e]
-            yield int(b), chunk, 0, arrays.pack(
+            yield ids_of[b], chunk, 0, arrays.pack(
                 word=words[w[i[new]]], pairs=np.diff(np.r_[new, len(i)]).astype(np.uint32), ctx=_packed(context[c[i]], width), entries=entries[i].astype(np.uint8 if entries[i].max() < 256 else np.uint32),
                 doc=(key[e] & np.uint64(0xFFFF)).astype(np.uint16), times=t.astype(np.uint8 if t.max() < 256 else np.uint32), held=held_bits, docs=np.array([docs], np.int64),
             )
-        yield chunk % buckets, chunk, 1, pickle.dumps((ids, per_doc + 1, held))
+        yield ids_of[chunk % buckets], chunk, 1, pickle.dumps((ids, per_doc + 1, held))
 
     def run(batches):
         serial = 0
@@ -496,7 +495,7 @@ def score(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     hot = _frequent(rows, n)
-    blocks = exchange.cut(rows.mapInArrow(_count(SPREAD * n, width, hot), _BLOCK).repartition(n, "bucket"), keep_partitioning=True)
+    blocks = exchange.cut(rows.mapInArrow(_count(exchange.even_ids(spark, n), width, hot), _BLOCK).repartition(n, "bucket"), keep_partitioning=True)
     summed = lambda sent: exchange.cut(sent.repartitionById(n, F.expr(f"bucket % {n}")).mapInArrow(_owners(width), _BLOCK))
     together = lambda back, f: blocks.groupBy("bucket").cogroup(back.where("kind in (3, 4)").groupBy("bucket")).applyInArrow(f, _BLOCK)
 
