@@ -9,6 +9,7 @@ pigeonhole principle on equal bit fields, which loses no pair within the radius.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -291,7 +292,7 @@ _KEY_ROWS = np.concatenate([np.arange(24).reshape(8, 3), *(np.stack([np.arange(8
 MIN_KEYS = len(_KEY_ROWS)
 #: Texts are near copies from this share of common shingles on.
 SIMILAR = (4, 5)
-#: Rows and shingles in a block of a large group; every two blocks of it are compared.
+#: Rows and shingles in a block of a large group.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (MIN_HASHES + WIDE_BITS // 64, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -481,22 +482,68 @@ def _similar_partition(shingle: int):
     return run
 
 
-def _block_pairs(rows: DataFrame, key: str, blocks: F.Column) -> DataFrame:
-    """``rows`` with column group: one for a key of one block, else one for every two blocks of it, so that any two rows of a key meet."""
-    rows = rows.withColumn("_m", blocks.cast("long")).withColumn("_own", F.expr("pmod(xxhash64(same), _m)"))
-    rows = rows.withColumn("_other", F.explode(F.expr("if(_m = 1, array(0L), filter(sequence(0L, _m - 1), x -> x <> _own))")))
-    return rows.withColumn("group", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_m", "_own", "_other")
+#: SQL arrays of the groups (x, y) of a row in block own of the m of its key. ``_RING``: each block with the next. ``_REST``: the mr
+#: blocks of the rows outside the largest joined set (rest) with all blocks; if those are half of the key, every two blocks that are not neighbours.
+_PAIR = "struct(least(own, o) as x, greatest(own, o) as y)"
+_RING = f"if(m = 1, array(struct(0L as x, 0L as y)), transform(array_distinct(array(pmod(own + 1, m), pmod(own - 1, m))), o -> {_PAIR}))"
+_REST = f"""if(2 * r >= n, transform(filter(sequence(0L, m - 1), o -> pmod(own - o, m) not in (0, 1, m - 1)), o -> {_PAIR}), array_distinct(concat(
+    transform(sequence(0L, mr - 1), q -> struct(own as x, m + q as y)),
+    transform(filter(sequence(0L, m - 1), o -> rest), o -> struct(o as x, m + pmod(xxhash64(same, 1), mr) as y)))))"""
+
+
+def _dealt(rows: DataFrame, groups: str) -> DataFrame:
+    """``rows`` (key, same, m, ...) once for each of their ``groups``, with a column group."""
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(same), m)")).withColumn("_at", F.explode(F.expr(groups)))
+    return rows.withColumn("group", F.xxhash64("key", "_at.x", "_at.y")).drop("own", "_at")
+
+
+def _linked(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of what ``link`` joins, directly or not, among the rows (key, same, size, ...) of each key; ``rows`` is read twice.
+
+    ``link`` makes edges (a, b) of the rows of a group. Keys are dealt in blocks. First each block meets the next;
+    then rows outside the largest set of their key that this has joined meet all rows of the key, block by
+    block. Two rows of that set need not meet, as they are joined already, so no link is lost, and what is copied grows
+    with the key times the rows left outside, not with the square of the key.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long")
+    sizes = exchange.cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), blocks.alias("m")).where("n > 1"))
+    joined = components(link(_dealt(rows.join(sizes, "key"), _RING)).distinct())
+    hot = sizes.where("m > 3")  # in a ring of three all have met
+    if hot.isEmpty():
+        return joined
+    rooted = rows.join(hot, "key").join(joined.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    rooted = exchange.cut(rooted)
+    largest = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    rooted = rooted.join(largest, "key").withColumn("rest", F.col("root") != F.col("main")).drop("root", "main")
+    left = exchange.cut(rooted.where("rest").groupBy("key").agg(F.count(F.lit(1)).alias("r"), blocks.alias("mr")))
+    if left.isEmpty():
+        return joined
+    more = link(_dealt(rooted.join(left, "key"), _REST))
+    return components(joined.toDF("a", "b").unionByName(more).distinct())
+
+
+def _near(nodes: DataFrame) -> DataFrame:
+    """(node, root) of candidates: nodes whose wide fingerprints are near those of others with an equal key, directly or not."""
+
+    def link(met: DataFrame) -> DataFrame:
+        met = met.select("same", "group").join(nodes.select("same", "fp"), "same").select("group", "same", "fp")
+        met = met.repartition(exchange.partitions(nodes.sparkSession), "group").sortWithinPartitions("group", "same")
+        return met.mapInArrow(_wide_link_partition, "a long, b long")
+
+    return _linked(nodes.select("same", F.lit(0).alias("size"), F.explode("keys").alias("key")), link)
 
 
 def _similar(rows: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: int) -> DataFrame:
-    """Star edges (a, b) of the near copies in what candidates join: (node, root)."""
+    """(node, root) of near copies within ``joined``, the (node, root) of candidates."""
     joined = joined.union(joined.select("root", "root")).distinct()
-    some = exchange.cut(nodes.select("same", "least", "fp", "shingles").join(joined.withColumnRenamed("node", "same"), "same"))
-    sizes = some.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("m"))
-    some = _block_pairs(some.join(sizes, "root"), "root", F.col("m")).select("group", "same", "fp", "least")
-    texts = rows.join(some, rows["doc_id"].eqNullSafe(F.col("least.doc_id")) & (rows["hash"] == F.col("least.hash"))).select("group", "same", "fp", "text")
-    texts = texts.repartition(exchange.partitions(rows.sparkSession), "group").sortWithinPartitions("group", "same")
-    return texts.mapInArrow(_similar_partition(shingle), "a long, b long")
+    some = exchange.cut(nodes.select("same", "least", "fp", F.col("shingles").alias("size")).join(joined.toDF("same", "key"), "same"))
+
+    def link(met: DataFrame) -> DataFrame:
+        texts = rows.join(met, rows["doc_id"].eqNullSafe(F.col("least.doc_id")) & (rows["hash"] == F.col("least.hash"))).select("group", "same", "fp", "text")
+        texts = texts.repartition(exchange.partitions(rows.sparkSession), "group").sortWithinPartitions("group", "same")
+        return texts.mapInArrow(_similar_partition(shingle), "a long, b long")
+
+    return _linked(some, link)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -515,13 +562,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("hash long, same long, fp binary, keys array<long>, shingles long")])
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
     nodes = exchange.cut(rows.mapInArrow(_sketch_partition(shingle), schema).groupBy("same").agg(least, F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("shingles").alias("shingles")))
-    keyed = nodes.select("same", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = _block_pairs(keyed.join(shared, "key"), "key", F.ceil(F.col("n") / BLOCK_ROWS)).select("same", "group")
-    met = met.join(nodes.select("same", "fp"), "same").select("group", "same", "fp")
-    met = met.repartition(exchange.partitions(spark), "group").sortWithinPartitions("group", "same")
-    joined = components(met.mapInArrow(_wide_link_partition, "a long, b long").distinct())
-    roots = components(_similar(rows, nodes, joined, shingle).distinct())
+    roots = _similar(rows, nodes, _near(nodes), shingle)
     named = nodes.select("same", "least").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     stay = exchange.cut(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.hash").alias("_kept_hash")))
     mine, back = exchange.set_aside(docs, {"_hash", "_nth", "_kept_id", "_kept_hash"})

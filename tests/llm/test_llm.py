@@ -262,7 +262,7 @@ def test_members_of_a_hot_key_are_compared_with_all_that_come_later():
     assert edges == {(1, 0), (5000, 0)}
 
 
-@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("block", [1024, 2])
 def test_keep_one_is_exact_around_0_8(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     rng, rows = random.Random(6), []
@@ -284,6 +284,29 @@ def test_keep_one_is_exact_around_0_8(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(root.values())
 
 
+@pytest.mark.parametrize("most_apart", [0, 3, 100])
+def test_hot_keys_lose_no_link_and_do_not_meet_in_full(spark, monkeypatch, most_apart):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 4)
+    rng, met = random.Random(most_apart), []
+    value = {i: i // 2 if i < 160 else 1000 + 9 * i for i in range(200)}  # pairs or a chain, and rows near nothing
+    key = {i: [1] + [2] * (i % 3 == 0) + [10 + i // 2] for i in value}
+    rows = spark.createDataFrame([(k, i * 7919 - 10**6, value[i], 0) for i in value for k in key[i]], "key long, same long, v long, size int").cache()
+
+    def link(dealt):
+        met.append(dealt.count())
+        x, y = dealt.select("group", F.col("same").alias("a"), F.col("v").alias("va")), dealt.select("group", F.col("same").alias("b"), F.col("v").alias("vb"))
+        return x.join(y, "group").where(f"a < b and abs(va - vb) <= {most_apart}").select("a", "b")
+
+    got = {r.node: r.root for r in simhash._linked(rows, link).collect()}
+    root = {i: i for i in value}
+    for i in value:
+        for j in value:
+            if i < j and set(key[i]) & set(key[j]) and abs(value[i] - value[j]) <= most_apart and root[i] != root[j]:
+                root = {x: min(root[i], root[j]) if r in (root[i], root[j]) else r for x, r in root.items()}
+    assert {i: (got.get(i * 7919 - 10**6, i * 7919 - 10**6) + 10**6) // 7919 for i in value} == root
+    assert len(met) == 2 and sum(met) < (12_000 if most_apart < 100 else 6_000)  # every two blocks would be 10,900 rows
+
+
 def test_hosts_without_labels_inherit_from_domain_suffix_and_all(spark):
     rows = [(f"http://h{i % 9}.bad.com/", 1) for i in range(90)] + [(f"http://h{i % 9}.good.com/", 0) for i in range(90)] + [(f"http://h{i}.d{i % 10}.info/", 1) for i in range(200)] + [(f"http://h{i}.d{i % 10}.fr/", 0) for i in range(200)]
     new = ["http://new.bad.com/x", "http://new.good.com/x", "http://new.unseen.info/", "http://new.unseen.fr/", "http://new.unseen.zz/"]
