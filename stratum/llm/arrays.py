@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the temporary arrays of a Python worker.
 SLAB_BYTES = 6 << 20
+#: Bytes hashed at once: eight times as many are held some times over, and two tables of powers for as long as a worker lives.
+HASH_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,10 +49,12 @@ _powers = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:
-        table = np.full(max(n, SLAB_BYTES + 1), base, np.uint64)
+        table = np.full(max(n, 2 * HASH_BYTES), base, np.uint64)
         table[0] = 1
-        _powers[base] = np.cumprod(table)
-    return _powers[base]
+        np.cumprod(table, out=table)
+        if len(table) == 2 * HASH_BYTES:  # a longer one, for a long span, is not kept
+            _powers[base] = table
+    return table
 
 
 def _prefix(buf: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -69,10 +73,10 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: n
     i = 0
     while i < len(starts):
         lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, lo + SLAB_BYTES - 1)))
+        j = max(i + 1, int(np.searchsorted(starts, lo + HASH_BYTES)))
         s, e = starts[i:j] - lo, ends[i:j] - lo
         prefix = _prefix(buf[lo : lo + int(e.max())], weights)
-        raw = (prefix[e] - prefix[s]) * _power_table(_BASE_INVERSE, len(prefix))[s]
+        raw = (prefix[e] - prefix[s]) * _power_table(_BASE_INVERSE, int(s[-1]) + 1)[s]
         out[i:j] = _mix(raw + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         i = j
     return out

@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from . import arrays, exchange
 
+#: Bytes of text in a slab, which a worker looks through at once.
+SLAB_BYTES = 2 << 20
+
 
 class SuffixAutomaton:
     """All substrings of several word sequences; each window state knows the items that hold it."""
@@ -161,7 +164,7 @@ class Index:
     def rows(self, column) -> Iterator[tuple[np.ndarray, list[dict]]]:
         """Of each text: its number of words, hit spans [(first, end)] in words, items, and byte places of the spans."""
         all_buf, all_offsets = arrays.texts(column)
-        for a, z in arrays.row_slabs(all_offsets):
+        for a, z in arrays.row_slabs(all_offsets, most_bytes=SLAB_BYTES):
             offsets = all_offsets[a : z + 1] - all_offsets[a]
             buf = all_buf[all_offsets[a] : all_offsets[z]]
             starts, ends, row = arrays.word_spans(buf, offsets, arrays.WORD_CHARS)
@@ -242,6 +245,7 @@ def scan(docs: DataFrame, indexes: Iterable[Index], text: str = "text", keep_tex
                 [*(b.column(i) for i, c in enumerate(names) if keep_text or c != text), pa.array(n_words), pa.array([[list(x) for x in s] for s in spans], pairs), pa.array([[list(x) for x in s] for s in cuts], pairs), pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
                 [*(c for c in names if keep_text or c != text), "n_words", "spans", "cuts", "items"],
             )
+            arrays.give_back()
 
     pairs = T.ArrayType(T.ArrayType(T.LongType()))
     own = [T.StructField("n_words", T.LongType()), T.StructField("spans", pairs), T.StructField("cuts", pairs), T.StructField("items", T.ArrayType(T.StringType()))]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import exchange
+from . import arrays, exchange
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -392,6 +392,8 @@ def _sketch_partition(shingle: int):
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             keys = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * MIN_KEYS, as_long([k for x in found for k in x[2]]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long([x[0] for x in found]), pa.array([x[1] for x in found], pa.binary()), keys, pa.array([x[3] for x in found], pa.int64())], ["doc_id", "hash", "same", "fp", "keys", "shingles"])
+            del found, keys
+            arrays.give_back()
 
     return run
 
@@ -428,6 +430,8 @@ def _wide_link_partition(batches):
     if held:
         key, same, fps = (np.concatenate(x) for x in zip(*held))
         yield from linked(len(key))
+    key, same, fps, held = key[:0].copy(), same[:0].copy(), fps[:0].copy(), []
+    arrays.give_back()
 
 
 def similar_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -478,6 +482,8 @@ def _similar_partition(shingle: int):
                     x.append(v)
         if len(group) > 1:
             yield links(*held)
+        group, same, fps, sets = held = [], [], [], []
+        arrays.give_back()
 
     return run
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stratum.llm import decontaminate, html_extract, license_scan, lm_scoring, mixing, quality, simhash, suffix_dedup, token_output, url_filter
+from stratum.llm import arrays, decontaminate, html_extract, license_scan, lm_scoring, mixing, quality, simhash, suffix_dedup, token_output, url_filter
 from stratum.llm.queries import VOCABULARY
 
 WORD, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -93,6 +94,35 @@ def test_decontaminate(spark, docs, empty):
     assert cut[8].strip() == ". Licensed under CC BY-NC 4.0. ." or LONG.strip() not in cut[8]
 
 
+def held_at_most(f):
+    """What ``f()`` gives, and the MB that it held at a time."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashing_and_decontamination_hold_little_beside_the_text(monkeypatch):
+    monkeypatch.setattr(arrays, "_powers", {})
+    long = b"ab" * arrays.HASH_BYTES  # a word of two windows
+    words = [*(b"w%06d" % (i % 70_000) for i in range(700_000)), long, *(b"w%06d" % i for i in range(50_000)), long]
+    buf = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = arrays.word_spans(buf, np.array([0, len(buf)]), arrays.WORD_CHARS)
+    hashes, mb = held_at_most(lambda: arrays.hash_spans(buf, starts, ends, arrays.FOLDED))
+    assert mb < 60  # 20 for the places and hashes, and the long word's own tables
+    assert sum(x.nbytes for x in arrays._powers.values()) < 10e6  # a worker keeps these
+    one = lambda w: int(arrays.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), arrays.FOLDED)[0])
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == 70_001
+    assert all(int(hashes[i]) == one(words[i]) for i in [*range(0, 750_000, 9973), 699_999, 700_000, 700_001, len(words) - 1])
+    rows = pa.array([" ".join(f"w{i % 5000:06d}" for i in range(a, a + 300)) + " " + LONG for a in range(2500)])
+    index = decontaminate.Index([("x", LONG)], 8)
+    found, mb = held_at_most(lambda: [(n.tolist(), [f and (f["spans"], f["items"]) for f in x]) for n, x in index.rows(rows)])
+    n = len(LONG.split())
+    assert sum((x for x, _ in found), []) == [300 + n] * 2500 and all(f[1] == {0} and sum(b - a for a, b in f[0]) == n for _, x in found for f in x)
+    assert mb < 70  # 138 with slabs and windows of 6 MB
+
+
 def test_suffix_dedup(docs, empty):
     seen, want = set(), []
     rows = sorted(((i, t) for i, t in enumerate(TEXTS) if i != 4), key=lambda r: r[0]) + [(None, TEXTS[4])]
