@@ -34,6 +34,8 @@ BURN_IN, SAMPLES = 2, 2
 EXACT = 64
 #: Bytes of text in a slab, which a worker counts at once.
 SLAB_BYTES = 3 << 20
+#: Pairs of word and context that a bucket gathers before it adds them up.
+MOST_PAIRS = 1 << 19
 #: Texts whose sums a partition holds at a time.
 MOST_TEXTS = 1 << 20
 #: Share of the texts that is looked at for frequent words; it only decides where things are dealt to.
@@ -153,29 +155,65 @@ def _frequent(rows: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.concatenate([np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([END], np.uint64)]))
 
 
+def _unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; by sorting, which is faster here than by hashing."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _distinct(parts) -> np.ndarray:
+    """The distinct values of all parts, ascending, with about twice as much held at a time."""
+    out, new, some = np.zeros(0, np.uint64), [], 0
+    for x in parts:
+        new.append(_unique(x))
+        some += len(new[-1])
+        if some > len(out) // 2 + MOST_PAIRS:
+            out, new, some = _unique(np.concatenate([out, *new])), [], 0
+    return _unique(np.concatenate([out, *new]))
+
+
+def _places(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``np.searchsorted(values, x)``, with the lookups in order, so that they run through ``values`` once."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(values, x[order])
+    return out
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts, ascending, and the sums of their counts."""
+    key, count = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
 class Bucket:
     """A bucket's words and contexts, and its pairs of both with training counts, sorted by word and context."""
 
     def __init__(self, blocks: list[dict[str, np.ndarray]], width: int):
-        words = [x["word"] for x in blocks]
-        contexts = [_unpacked(x["ctx"], width) for x in blocks]
-        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
-        self.contexts = np.unique(np.concatenate([np.zeros(0, np.uint64), *contexts]))
-        self.keys, counts = [], []
-        for x, w, c in zip(blocks, words, contexts):
+        self.width = width
+        self.words = _distinct(x["word"] for x in blocks)
+        self.contexts = _distinct(_unpacked(x["ctx"], width) for x in blocks)
+        sums = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        new, pairs = [], 0
+        for x in blocks:
             held = np.unpackbits(x["held"], count=int(x["docs"][0])).astype(bool)
             t = np.where(held[x["doc"]], 0, x["times"].astype(np.int64))
-            counts.append(np.add.reduceat(t, np.r_[0, np.cumsum(x["entries"][:-1].astype(np.int64))]))
-            self.keys.append(np.repeat(np.searchsorted(self.words, w), x["pairs"]).astype(np.int64) * len(self.contexts) + np.searchsorted(self.contexts, c))
-        key, count = np.concatenate([np.zeros(0, np.int64), *self.keys]), np.concatenate([np.zeros(0, np.int64), *counts])
-        some = count > 0
-        order = np.argsort(key[some], kind="stable")
-        key, count = key[some][order], count[some][order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.key = key[first]
-        self.count = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
+            count = np.add.reduceat(t, np.r_[0, np.cumsum(x["entries"][:-1].astype(np.int64))])
+            new.append((self.keys(x)[count > 0], count[count > 0]))
+            pairs += len(new[-1][0])
+            if pairs > len(sums[0][0]) // 2 + MOST_PAIRS:
+                sums, new, pairs = [_summed(sums + new)], [], 0
+        self.key, self.count = _summed(sums + new)
         self.word, self.ctx = self.key // max(1, len(self.contexts)), self.key % max(1, len(self.contexts))
 
+    def keys(self, block: dict[str, np.ndarray]) -> np.ndarray:
+        """A block's pairs as ``key`` has them."""
+        word = np.repeat(np.searchsorted(self.words, block["word"]), block["pairs"])
+        return word.astype(np.int64) * len(self.contexts) + _places(self.contexts, _unpacked(block["ctx"], self.width))
+
     def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, len(self.words))
 
@@ -334,9 +372,12 @@ def _returned(x: Bucket, rows: list[tuple], n: int, name: str) -> np.ndarray:
 
 
 def _bucket_of(table: pa.Table, width: int) -> tuple[int, list, list, Bucket]:
-    rows = _rows(table)
-    blocks = [(chunk, arrays.unpack(b)) for kind, chunk, _, b in rows if kind == 0]
-    return (rows[0][2] if rows else 0), [r for r in rows if r[0] == 1], blocks, Bucket([b for _, b in blocks], width)
+    kinds = table.column("kind").to_pylist()
+    heads = _rows(table.filter(pa.array([k == 1 for k in kinds], pa.bool_())))
+    chunks = table.column("chunk").to_pylist()
+    order = sorted((i for i, k in enumerate(kinds) if k == 0), key=lambda i: chunks[i])
+    blocks = [(chunks[i], arrays.unpack(table.column("block")[i].as_py())) for i in order]
+    return (table.column("bucket")[0].as_py() if len(table) else 0), heads, blocks, Bucket([b for _, b in blocks], width)
 
 
 def _table(rows) -> pa.Table:
@@ -408,10 +449,10 @@ def _scores(n: int, width: int, shared: Shared, samples: int):
         at, of = _positions(x.words, shared.hot)
         total[at] = shared.hot_count[of]
         log_count = np.log10(total + 1.0)
-        for (chunk, b), key in zip(blocks, x.keys):
-            docs = int(b["docs"][0])
+        for chunk, b in blocks:
+            docs, key = int(b["docs"][0]), x.keys(b)
             word, ctx = key // len(x.contexts), key % len(x.contexts)
-            place = np.minimum(np.searchsorted(x.key, key), max(0, len(x.key) - 1))
+            place = np.minimum(_places(x.key, key), max(0, len(x.key) - 1))
             p = np.where(x.key[place] == key, seen[place], 0.0) if len(x.key) else np.zeros(len(key))
             for new, pw in zip(news, p_words):
                 p = p + new[ctx] * pw[word] / samples

@@ -423,6 +423,37 @@ def test_tables_are_drawn_from_their_distribution():
     assert (many >= 1).all() and many[0] > many[1] > 0 and many[2] == 1
 
 
+def test_a_bucket_adds_up_its_pairs_in_parts():
+    rng = np.random.default_rng(3)
+
+    def block(words, contexts, docs=50):
+        word = np.unique(rng.choice(words, len(words) // 2))
+        pairs = rng.integers(1, 40, len(word)).astype(np.uint32)
+        ctx = np.concatenate([rng.choice(contexts, k, replace=False) for k in pairs])
+        entries = rng.integers(1, 3, len(ctx)).astype(np.uint8)
+        doc = np.concatenate([rng.choice(docs, k, replace=False) for k in entries]).astype(np.uint16)
+        held = rng.random(docs) < 0.3
+        return {"word": word, "pairs": pairs, "ctx": lm_scoring._packed(ctx, 4), "entries": entries, "doc": doc, "times": rng.integers(1, 5, len(doc)).astype(np.uint8), "held": np.packbits(held), "docs": np.array([docs], np.int64)}
+
+    words, contexts = rng.integers(1, 1 << 63, 500, dtype=np.uint64), rng.choice(1 << 32, 400, replace=False).astype(np.uint64)
+    blocks = [block(words, contexts) for _ in range(5)]
+    want = collections.Counter()
+    for b in blocks:
+        held, entry = np.unpackbits(b["held"]), iter(zip(b["doc"].tolist(), b["times"].tolist()))
+        pairs = zip(np.repeat(b["word"], b["pairs"]).tolist(), lm_scoring._unpacked(b["ctx"], 4).tolist(), b["entries"].tolist())
+        for w, c, k in pairs:
+            want[w, c] += sum(t for d, t in (next(entry) for _ in range(k)) if not held[d])
+    x = lm_scoring.Bucket(blocks, 4)
+    assert set(x.words.tolist()) == {w for w, _ in want} and set(x.contexts.tolist()) == {c for _, c in want}
+    assert dict(zip(zip(x.words[x.word].tolist(), x.contexts[x.ctx].tolist()), x.count.tolist())) == {k: v for k, v in want.items() if v}
+    many = 400 * blocks  # 4 million pairs and more, of which few are distinct
+    y, mb = held_at_most(lambda: lm_scoring.Bucket(many, 4))
+    assert sum(int(b["pairs"].sum()) for b in many) > 4e6
+    assert (y.key == x.key).all() and (y.count == 400 * x.count).all()
+    assert mb < 60
+    assert not len(lm_scoring.Bucket([], 4).key)
+
+
 def test_scores_against_a_sequential_sampler(spark):
     """A plain Gibbs sampler, customer by customer with every table's size, on a small corpus."""
     rng = random.Random(11)
