@@ -36,8 +36,8 @@ EXACT = 64
 SLAB_BYTES = 3 << 20
 #: Pairs of word and context that a bucket gathers before it adds them up.
 MOST_PAIRS = 1 << 19
-#: Texts whose sums a partition holds at a time.
-MOST_TEXTS = 1 << 20
+#: Weights of seatings that are held at a time.
+MOST_WEIGHTS = 1 << 17
 #: Share of the texts that is looked at for frequent words; it only decides where things are dealt to.
 LOOK = 0.01
 
@@ -181,10 +181,17 @@ def _places(values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of all parts, ascending, and the sums of their counts."""
-    key, count = (np.concatenate(x) for x in zip(*parts))
+    """The distinct keys of all parts, ascending, and the sums of their counts; ``parts`` is emptied, so that they are not held twice."""
+    keys, counts = (list(x) for x in zip(*parts))
+    parts.clear()
+    key = np.concatenate(keys)
+    keys.clear()
     order = np.argsort(key)
-    key, count = key[order], count[order]
+    key = key[order]
+    count = np.concatenate(counts)
+    counts.clear()
+    count = count[order]
+    del order
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
@@ -192,21 +199,21 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 class Bucket:
     """A bucket's words and contexts, and its pairs of both with training counts, sorted by word and context."""
 
-    def __init__(self, blocks: list[dict[str, np.ndarray]], width: int):
+    def __init__(self, blocks, width: int):
+        """``blocks``: dicts of arrays, gone through some times over."""
         self.width = width
         self.words = _distinct(x["word"] for x in blocks)
         self.contexts = _distinct(_unpacked(x["ctx"], width) for x in blocks)
-        sums = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        new, pairs = [], 0
+        parts, pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0  # the sums so far, then what is new
         for x in blocks:
             held = np.unpackbits(x["held"], count=int(x["docs"][0])).astype(bool)
             t = np.where(held[x["doc"]], 0, x["times"].astype(np.int64))
             count = np.add.reduceat(t, np.r_[0, np.cumsum(x["entries"][:-1].astype(np.int64))])
-            new.append((self.keys(x)[count > 0], count[count > 0]))
-            pairs += len(new[-1][0])
-            if pairs > len(sums[0][0]) // 2 + MOST_PAIRS:
-                sums, new, pairs = [_summed(sums + new)], [], 0
-        self.key, self.count = _summed(sums + new)
+            parts.append((self.keys(x)[count > 0], count[count > 0]))
+            pairs += len(parts[-1][0])
+            if pairs > len(parts[0][0]) // 2 + MOST_PAIRS:
+                parts, pairs = [_summed(parts)], 0
+        self.key, self.count = _summed(parts)
         self.word, self.ctx = self.key // max(1, len(self.contexts)), self.key % max(1, len(self.contexts))
 
     def keys(self, block: dict[str, np.ndarray]) -> np.ndarray:
@@ -246,7 +253,7 @@ def draw_tables(count: np.ndarray, base: np.ndarray, slope: np.ndarray, discount
     for c, a, z in zip(sizes.tolist(), edge, np.r_[edge[1:], len(order)]):
         if c < 2:
             continue
-        step = max(1, (1 << 21) // c)
+        step = max(1, MOST_WEIGHTS // c)
         for x in range(a, z, step):
             i = order[x : min(z, x + step)]
             weights = np.cumsum(np.log(base[i, None] + slope[i, None] * np.arange(c)), axis=1) + table[c, 1 : c + 1]
@@ -371,13 +378,25 @@ def _returned(x: Bucket, rows: list[tuple], n: int, name: str) -> np.ndarray:
     return out
 
 
-def _bucket_of(table: pa.Table, width: int) -> tuple[int, list, list, Bucket]:
-    kinds = table.column("kind").to_pylist()
-    heads = _rows(table.filter(pa.array([k == 1 for k in kinds], pa.bool_())))
-    chunks = table.column("chunk").to_pylist()
-    order = sorted((i for i, k in enumerate(kinds) if k == 0), key=lambda i: chunks[i])
-    blocks = [(chunks[i], arrays.unpack(table.column("block")[i].as_py())) for i in order]
-    return (table.column("bucket")[0].as_py() if len(table) else 0), heads, blocks, Bucket([b for _, b in blocks], width)
+class Blocks:
+    """A table's blocks of words in the order of their chunks. They stay compressed; whoever goes through them has one unpacked at a time."""
+
+    def __init__(self, table: pa.Table):
+        chunks = table.column("chunk").to_pylist()
+        self.order = sorted((i for i, k in enumerate(table.column("kind").to_pylist()) if k == 0), key=lambda i: chunks[i])
+        self.chunks, self.column = [chunks[i] for i in self.order], table.column("block")
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __iter__(self):
+        return (arrays.unpack(self.column[i].as_py()) for i in self.order)
+
+
+def _bucket_of(table: pa.Table, width: int) -> tuple[int, list, Blocks, Bucket]:
+    heads = _rows(table.filter(pa.array([k == 1 for k in table.column("kind").to_pylist()], pa.bool_())))
+    blocks = Blocks(table)
+    return (table.column("bucket")[0].as_py() if len(table) else 0), heads, blocks, Bucket(blocks, width)
 
 
 def _table(rows) -> pa.Table:
@@ -427,7 +446,7 @@ def _last(rows: list[tuple]) -> int:
 
 
 def _scores(n: int, width: int, shared: Shared, samples: int):
-    """Each text's share of score, base score and known words in a bucket; ``shared`` has the samples last."""
+    """The shares of score, base score and known words that a bucket has of its texts, by slab; ``shared`` has the samples last."""
     (d1, d0), (s1, s0) = shared.discounts, STRENGTH
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -449,8 +468,8 @@ def _scores(n: int, width: int, shared: Shared, samples: int):
         at, of = _positions(x.words, shared.hot)
         total[at] = shared.hot_count[of]
         log_count = np.log10(total + 1.0)
-        for chunk, b in blocks:
-            docs, key = int(b["docs"][0]), x.keys(b)
+        for chunk, b in zip(blocks.chunks, blocks):
+            key = x.keys(b)
             word, ctx = key // len(x.contexts), key % len(x.contexts)
             place = np.minimum(_places(x.key, key), max(0, len(x.key) - 1))
             p = np.where(x.key[place] == key, seen[place], 0.0) if len(x.key) else np.zeros(len(key))
@@ -458,40 +477,16 @@ def _scores(n: int, width: int, shared: Shared, samples: int):
                 p = p + new[ctx] * pw[word] / samples
             times = b["times"].astype(np.int64)
             entry = np.repeat(np.arange(len(key)), b["entries"])
-            doc, w = b["doc"], word[entry]
-            out.append((bucket, chunk, 0, arrays.pack(score=np.bincount(doc, np.log10(p)[entry] * times, docs), base=np.bincount(doc, log_count[w] * times, docs), known=np.bincount(doc, (total[w] > 0) * times, docs))))
+            (doc, text), w = np.unique(b["doc"], return_inverse=True), word[entry]
+            known = np.bincount(text, (total[w] > 0) * times).astype(np.uint32)
+            out.append((bucket, chunk, 0, arrays.pack(doc=doc, score=np.bincount(text, np.log10(p)[entry] * times), base=np.bincount(text, log_count[w] * times), known=known)))
         return _table(out)
 
     return run
 
 
-def _added(batches):
-    """The shares that a partition has of a slab, added up, where they are not zero."""
-    sums: dict[int, dict] = {}
-    held = 0
-
-    def flushed():
-        for chunk, x in sums.items():
-            some = np.flatnonzero(x["score"] != 0)
-            yield _batch([(TaskContext.get().partitionId(), chunk, 0, arrays.pack(doc=some.astype(np.uint16), score=x["score"][some], base=x["base"][some], known=x["known"][some].astype(np.uint32)))])
-        sums.clear()
-
-    for b in batches:
-        for bucket, chunk, kind, block in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if kind:
-                yield _batch([(bucket, chunk, kind, block)])
-                continue
-            x, s = arrays.unpack(block), sums.get(chunk)
-            sums[chunk] = {c: v + s[c] for c, v in x.items()} if s else x
-            held += 0 if s else len(x["score"])
-            if held > MOST_TEXTS:
-                yield from flushed()
-                held = 0
-    yield from flushed()
-
-
 def _texts(n_train: int, n_types: int):
-    """Adds up the partitions' shares of one slab of texts."""
+    """Adds up the buckets' shares of one slab of texts."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _rows(table)
@@ -536,7 +531,7 @@ def score(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     hot = _frequent(rows, n)
-    blocks = exchange.cut(rows.mapInArrow(_count(exchange.even_ids(spark, n), width, hot), _BLOCK).repartition(n, "bucket"), keep_partitioning=True)
+    blocks = exchange.cut(rows.mapInArrow(_count(exchange.even_ids(spark, n), width, hot), _BLOCK).repartition(n, "bucket").sortWithinPartitions("bucket"), keep_partitioning=True)  # sorted once for all that read it
     summed = lambda sent: exchange.cut(sent.repartitionById(n, F.expr(f"bucket % {n}")).mapInArrow(_owners(width), _BLOCK))
     together = lambda back, f: blocks.groupBy("bucket").cogroup(back.where("kind in (3, 4)").groupBy("bucket")).applyInArrow(f, _BLOCK)
 
@@ -555,6 +550,6 @@ def score(docs: DataFrame, held_out: F.Column, doc_id: str = "doc_id", text: str
     v = v if len(np.atleast_1d(v)) == 2 * samples else np.zeros(2 * samples)
     for k in range(samples):
         shared.add(v[2 * k], v[2 * k + 1], frequent[f"g{k}"], shared.draw_hot(frequent[f"g{k}"], v[2 * k + 1], 2 + k))
-    parts = together(first.where("kind = 3").unionByName(kept), _scores(n, width, shared, samples)).mapInArrow(_added, _BLOCK)
+    parts = together(first.where("kind = 3").unionByName(kept), _scores(n, width, shared, samples))
     out = parts.groupBy("chunk").applyInArrow(_texts(shared.tokens, shared.types), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(doc_id), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

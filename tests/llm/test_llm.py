@@ -454,6 +454,23 @@ def test_a_bucket_adds_up_its_pairs_in_parts():
     assert not len(lm_scoring.Bucket([], 4).key)
 
 
+def test_a_bucket_is_read_packed_and_by_one_worker_a_task(docs):
+    rng = np.random.default_rng(5)
+
+    def block(words=20_000, docs=60):
+        doc = np.sort(rng.integers(0, docs, words)).astype(np.uint16)
+        return {"word": np.arange(1, words + 1, dtype=np.uint64), "pairs": np.ones(words, np.uint32), "ctx": lm_scoring._packed(np.arange(words, dtype=np.uint64), 4), "entries": np.ones(words, np.uint8), "doc": doc, "times": np.ones(words, np.uint8), "held": np.packbits(np.zeros(docs, bool)), "docs": np.array([docs], np.int64)}
+
+    table = pa.Table.from_batches([lm_scoring._batch([(7, 100 - i, 0, arrays.pack(**block())) for i in range(100)] + [(7, 3, 1, b"head")])])
+    (bucket, heads, blocks, x), mb = held_at_most(lambda: lm_scoring._bucket_of(table, 4))
+    assert (bucket, len(heads), len(x.key), int(x.count.sum())) == (7, 1, 20_000, 2_000_000)
+    assert [len(b["word"]) for b in blocks] == [20_000] * 100 and blocks.chunks == sorted(blocks.chunks) and not lm_scoring.Blocks(table.slice(100))
+    assert mb < 35  # the blocks alone are 40 unpacked
+    plan = lm_scoring.score(docs.select("doc_id", "text"), F.lit(False))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == plan.count("FlatMapGroupsInArrow") == 1 and "MapInArrow" not in plan.replace("FlatMap", "")
+    assert plan.count("Sort [") == 2  # what buckets send, and the shares of a slab: the blocks are in order
+
+
 def test_scores_against_a_sequential_sampler(spark):
     """A plain Gibbs sampler, customer by customer with every table's size, on a small corpus."""
     rng = random.Random(11)
