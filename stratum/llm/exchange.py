@@ -6,12 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import dropping_shuffles
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset a temporary one, on local masters only."""
@@ -39,18 +39,6 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-@contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries made inside drop their own shuffle files as they end: for results that are kept as files."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def cut(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; partitions and their order stay.
 

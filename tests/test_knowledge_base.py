@@ -82,6 +82,26 @@ def test_dates_and_dynamic_p(spark):
     assert tuple(one) == ("2018-07-15T00:00:00Z", "1939-01-01T00:00:00Z", 10000, 1000, 10000, 1000, 100, 1000)
 
 
+#: Queries that must not write the facts or the index, which are many times the tables they are made from.
+LEAN = [
+    "clean_values",
+]
+
+
+@pytest.mark.parametrize("query", LEAN)
+def test_facts_are_not_written(spark, monkeypatch, query):
+    """Tables of the derived knowledge base that hold whole facts stay views; what is written is what was asked for."""
+    from stratum import registry
+
+    wrote = []
+    for module in (B, G, registry):
+        monkeypatch.setattr(module, "keep", lambda df, keep=module.keep: (wrote.append(df.columns), keep(df))[1])
+    monkeypatch.setattr(registry, "_bases", {})
+    monkeypatch.setattr(registry, "_tables", {})
+    assert registry.queries()[query](spark, "/root/testdata/sf0.001").count() > 0
+    assert not [c for c in wrote if "items" in c or "qualifiers" in c]
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
