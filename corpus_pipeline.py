@@ -33,11 +33,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = token_output.materialise(docs, VOCABULARY)
+    placed = token_output.places(docs, VOCABULARY)
     folder = spark.conf.get("stratum.shards.dir", None)
     with exchange.dropping_shuffles(spark):
         token_output.write_shards(placed, folder or exchange.fresh_folder(spark, f"shards-{uuid.uuid4().hex}"))
-    return placed
+    return token_output.in_order(placed)
 
 
 STAGES = [

@@ -174,7 +174,12 @@ def sequences(docs: DataFrame, encoder: Encoder, length: int, doc_id: str = "doc
 
 
 def materialise(docs: DataFrame, vocabulary: str, length: int = 512, key: int = 20240229, per_shard: int = 65536, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(slot, shard, offset, doc_id, seq, n_tokens, record), range-partitioned and sorted by slot.
+    """(slot, shard, offset, doc_id, seq, n_tokens, record), range-partitioned and sorted by slot."""
+    return in_order(places(docs, vocabulary, length, key, per_shard, doc_id, text)).withColumnRenamed("doc_id", doc_id)
+
+
+def places(docs: DataFrame, vocabulary: str, length: int = 512, key: int = 20240229, per_shard: int = 65536, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(slot, shard, offset, part, doc_id, seq, n_tokens, record), not dealt out yet; ``part`` is the range of slots for ``in_order``.
 
     Slots are a permutation of 0 .. number of sequences - 1; shard and offset (bytes) say where
     ``write_shards`` puts the record: ``length`` little-endian ids, a stride of which the last byte is a line feed. Every text ends with the end id, so a null or
@@ -200,8 +205,12 @@ def materialise(docs: DataFrame, vocabulary: str, length: int = 512, key: int =
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * step), pa.array(part), *(b.column(i) for i in range(2, 6))], names)
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("part", T.IntegerType()), *table.schema.fields[2:]])
-    placed = exchange.by_bucket(table.mapInArrow(run, schema), n, "part").sortWithinPartitions("slot")
-    return placed.select("slot", "shard", "offset", F.col("doc_id").alias(doc_id), "seq", "n_tokens", "record")
+    return table.mapInArrow(run, schema)
+
+
+def in_order(placed: DataFrame) -> DataFrame:
+    """Records with their places, range-partitioned and sorted by slot."""
+    return exchange.by_bucket(placed, exchange.partitions(placed.sparkSession), "part").sortWithinPartitions("slot").drop("part")
 
 
 def stride(length: int, width: int = 2) -> int:
@@ -213,7 +222,7 @@ def write_shards(placed: DataFrame, path: str) -> None:
     """Write the records as raw files of fixed stride, a folder for each shard: record k of a shard begins at k times the stride.
 
     Spark's text writer commits whole tasks, so a lost executor leaves no half shard. Rows are dealt by
-    ranges of slots, cut at the borders of shards, so that a shard is one file.
+    ranges of slots, cut at the borders of shards, so that a shard is one file. ``places`` will do: what is in order would be dealt out twice.
     """
     n = max(1, (placed.agg(F.max("shard")).first()[0] or 0) + 1)
     lines = exchange.by_bucket(placed.select("shard", "slot", "record"), int(n), "shard").sortWithinPartitions("shard", "slot")

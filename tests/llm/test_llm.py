@@ -233,6 +233,18 @@ def test_tokens(spark, docs, empty, tmp_path):
         token_output.read_from(spark, str(tmp_path / "s"), len(rows) + 500, 1, 50, 64)
 
 
+def test_shards_are_dealt_once(spark, tmp_path, monkeypatch):
+    """The pipeline's last stage deals the records out once for the shards, not first into the order of its result."""
+    import corpus_pipeline
+
+    plans = []
+    monkeypatch.setattr(token_output, "write_shards", lambda placed, path: plans.append(placed.select("shard", "slot", "record")._jdf.queryExecution().optimizedPlan().toString()))
+    docs = spark.createDataFrame([(i, "a few words " * i) for i in range(50)], "doc_id long, text string")
+    out = corpus_pipeline.token_sequences(spark, docs, "")
+    assert "Repartition" not in plans[0]
+    assert out.columns == ["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "record"] and [r.slot for r in out.collect()] == list(range(out.count()))
+
+
 def _jaccard(a, b, n=5):
     x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
     return len(x & y) / len(x | y)
