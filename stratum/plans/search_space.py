@@ -106,8 +106,8 @@ def search_space(kb: KnowledgeBase, chosen: DataFrame, par: Parameters = Paramet
         out = G.neighborhood(kb, chosen.select("qid", "widx", "place", "item"), par.p)
     else:
         n = chosen.withColumn("p", C.dynamic_p(par.p, F.count(F.lit(1)).over(Window.partitionBy("qid", "widx"))))
-        hubs = n.select("qid", "widx", "place", "item", "p").join(kb.freq, "item").withColumn("hub", F.col("freq_o") > F.col("p"))
-        out = kb.asked(hubs).join(kb.index.select("item", "fact_id", "pos", "items"), "item").where("not hub or pos = 0").select("qid", "widx", "place", "item", "pos", "fact_id", "items")
+        hubs = n.select("qid", "widx", "place", "item", "p").join(kb.counts(n), "item").withColumn("hub", F.col("freq_o") > F.col("p"))
+        out = kb.asked(hubs).join(kb.entries.select("item", "fact_id", "pos", "items"), "item").where("not hub or pos = 0").select("qid", "widx", "place", "item", "pos", "fact_id", "items")
     if par.bm25_limit:
         if questions is None:
             raise ValueError("bm25_limit needs the questions")

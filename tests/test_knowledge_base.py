@@ -107,6 +107,25 @@ def test_facts_are_not_written(spark, monkeypatch, query):
     assert not [c for c in wrote if "items" in c or "qualifiers" in c]
 
 
+#: Queries that look up few items, so that not all items of the knowledge base are counted for them.
+FEW_COUNTED = [
+    "relevance",
+]
+
+
+@pytest.mark.parametrize("query", FEW_COUNTED)
+def test_few_items_are_counted_alone(spark, monkeypatch, query):
+    from stratum import registry
+
+    monkeypatch.setattr(registry, "_bases", {})
+    monkeypatch.setattr(registry, "_tables", {})
+    assert registry.queries()[query](spark, "/root/testdata/sf0.001").count() > 0
+    (kb,) = registry._bases.values()
+    assert "freq" not in kb.__dict__
+    some = kb.texts.where("item like 'Q4%'").select("item").union(items(spark, "P31", "nothing"))
+    assert sorted(kb.counts(some).collect()) == sorted(kb.freq.join(some, "item", "left_semi").collect())
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
