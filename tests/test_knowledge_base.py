@@ -84,6 +84,7 @@ def test_dates_and_dynamic_p(spark):
 
 #: Queries that must not write the facts or the index, which are many times the tables they are made from.
 LEAN = [
+    "frequency",
     "connected_space",
     "bm25",
     "types",
