@@ -111,6 +111,7 @@ def test_facts_are_not_written(spark, monkeypatch, query):
 
 #: Queries that look up few items, so that not all items of the knowledge base are counted for them.
 FEW_COUNTED = [
+    "graph_components",
     "coherence_score",
     "relevance",
 ]
