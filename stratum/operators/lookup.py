@@ -20,11 +20,8 @@ def names(kb: KnowledgeBase, items: DataFrame) -> DataFrame:
 
 def frequency(kb: KnowledgeBase, items: DataFrame, qualifiers: bool = True) -> DataFrame:
     """[0, 0] for what is unknown or a literal; C27: without ``qualifiers`` only subjects and objects count."""
-    if not qualifiers:
-        own = kb.entries.where("pos in (0, 2)").groupBy("item").agg(F.count_if(F.col("pos") == 0).alias("freq_s"), F.count_if(F.col("pos") == 2).alias("freq_o"))
-        own = own.where(kind_of(F.col("item")) != "L")
-        return items.join(own, "item", "left").select(*items.columns, F.coalesce("freq_s", F.lit(0)).alias("freq_s"), F.coalesce("freq_o", F.lit(0)).alias("freq_o"))
-    return items.join(kb.freq, "item", "left").select(*items.columns, F.coalesce("freq_s", F.lit(0)).alias("freq_s"), F.coalesce("freq_o", F.lit(0)).alias("freq_o"))
+    own = kb.freq if qualifiers else kb.main_freq
+    return items.join(own, "item", "left").select(*items.columns, F.coalesce("freq_s", F.lit(0)).alias("freq_s"), F.coalesce("freq_o", F.lit(0)).alias("freq_o"))
 
 
 def known(kb: KnowledgeBase, items: DataFrame) -> DataFrame:
