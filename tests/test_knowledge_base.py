@@ -156,6 +156,32 @@ def test_adjacency_is_not_written(spark, monkeypatch):
     assert got == sorted(B.adjacency(kb.facts).groupBy("item").agg(F.count(F.lit(1)), F.min("neighbor"), F.max("neighbor")).collect())
 
 
+#: Queries on pairs of which one side has few items: neighbours of the other side are never written, nor those of predicates.
+FEW_AND_MANY = [
+    "connectivity",
+]
+
+
+@pytest.mark.parametrize("query", FEW_AND_MANY)
+def test_pairs_with_few_items_write_no_neighbors(spark, monkeypatch, query):
+    from stratum import registry
+
+    wrote = []
+    for module in (B, G):
+        monkeypatch.setattr(module, "keep", lambda df, keep=module.keep: (wrote.append((df.columns, keep(df))), wrote[-1][1])[1])
+    monkeypatch.setattr(registry, "_bases", {})
+    monkeypatch.setattr(B, "SLICED_FACTS", 1)
+    got = registry.queries()[query](spark, "/root/testdata/sf0.001").collect()
+    (kb,) = registry._bases.values()
+    some = kb.texts.where("item like 'Q4%'").select("item")
+    assert sum(df.count() for columns, df in wrote if "neighbor" in columns) < kb.near(some).count() / 2
+    if query in ("connectivity", "connectivity_of_sets"):
+        pairs = registry._some_pairs(kb).where("i1 not like 'Q4%' or i1 like '%1'")
+        monkeypatch.setattr(G, "MASK_BITS", 1)  # too few for either side: pairs go the other way
+        want = {(r.i1, r.i2): r.connectivity for r in getattr(G, query)(kb, pairs).collect()}
+        assert want and want == {k: v for k, v in ((tuple(r)[:2], r.connectivity) for r in got) if k in want}
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
