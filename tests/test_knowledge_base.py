@@ -159,6 +159,7 @@ def test_adjacency_is_not_written(spark, monkeypatch):
 #: Queries on pairs of which one side has few items: neighbours of the other side are never written, nor those of predicates.
 FEW_AND_MANY = [
     "connectivity",
+    "connectivity_of_sets",
 ]
 
 
