@@ -160,6 +160,7 @@ def test_adjacency_is_not_written(spark, monkeypatch):
 FEW_AND_MANY = [
     "connectivity",
     "connectivity_of_sets",
+    "connect",
 ]
 
 
