@@ -238,15 +238,33 @@ def _beside(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     return marked.where("hub_m is not null").withColumnRenamed("hub_m", "m").select(*rest.columns).unionByName(rest)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
+#: So many distinct edges at most are joined by one task; every round would write a file for each partition, however few they are.
+AT_ONCE = 1 << 17
 
-    Alternating large-star and small-star steps, each a min per node and one join; the rows of hubs are joined
-    where they are. The number of rounds grows with the logarithm of the largest component, so
+
+def _root_partition(batches):
+    """(node, root) of all edges (a, b) of a partition."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    left, right = (np.concatenate(x) for x in zip(*held))
+    node, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    root = _spanning(at[: len(left)], at[len(left) :], len(node))
+    some = root != np.arange(len(node))
+    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], ["node", "root"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, at_once: int = 0) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b) but the roots; root is the smallest node of its component.
+
+    Up to ``at_once`` distinct edges, of longs, are joined by one task; more, or all by default, in rounds
+    of alternating large-star and small-star steps, each a min per node and one join; the rows of hubs are joined where they are. The number of rounds grows with the logarithm of the largest component, so
     ``most_rounds`` is out of reach; should labels not have settled by then, ``RuntimeError`` is raised.
     """
     now = exchange.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n, before = now.count(), None
+    if n <= at_once:
+        return exchange.cut(now.repartition(1).mapInArrow(_root_partition, "node long, root long"))
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
@@ -264,7 +282,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _classes(fp: DataFrame, least: F.Column, radius: int, blocks: int) -> DataFrame:
     """(fp, component): ``least`` over all rows whose fingerprint is in the same component."""
     nodes = exchange.cut(fp.groupBy("fp").agg(least.alias("least")))
-    roots = components(near_pairs(nodes.select("fp"), radius, blocks))
+    roots = components(near_pairs(nodes.select("fp"), radius, blocks), at_once=AT_ONCE)
     named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
 
@@ -513,7 +531,7 @@ def _linked(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFram
     """
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long")
     sizes = exchange.cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), blocks.alias("m")).where("n > 1"))
-    joined = components(link(_dealt(rows.join(sizes, "key"), _RING)).distinct())
+    joined = components(link(_dealt(rows.join(sizes, "key"), _RING)).distinct(), at_once=AT_ONCE)
     hot = sizes.where("m > 3")  # in a ring of three all have met
     if hot.isEmpty():
         return joined
@@ -525,7 +543,7 @@ def _linked(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFram
     if left.isEmpty():
         return joined
     more = link(_dealt(rooted.join(left, "key"), _REST))
-    return components(joined.toDF("a", "b").unionByName(more).distinct())
+    return components(joined.toDF("a", "b").unionByName(more).distinct(), at_once=AT_ONCE)
 
 
 def _near(nodes: DataFrame) -> DataFrame:

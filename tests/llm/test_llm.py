@@ -592,6 +592,19 @@ def test_components_of_a_chain_and_a_hub(spark, monkeypatch):
         simhash.components(df, most_rounds=1)
 
 
+def test_few_edges_are_joined_by_one_task(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(200)] + [(-9, 300 + i) for i in range(50)] + [(320, -(2**62)), (7, 7), (3, 2), (900, 901)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = {(r.node, r.root) for r in simhash.components(df).collect()}
+    cuts, cut = [], simhash.exchange.cut
+    monkeypatch.setattr(simhash.exchange, "cut", lambda df, **kw: cuts.append(1) or cut(df, **kw))
+    got = simhash.components(df, at_once=1000).collect()
+    assert {(r.node, r.root) for r in got} == want and len(got) == len(want) and len(cuts) == 2
+    assert {(r.node, r.root) for r in simhash.components(df, at_once=252).collect()} == want and len(cuts) == 4  # just as many edges
+    assert {(r.node, r.root) for r in simhash.components(df, at_once=251).collect()} == want and len(cuts) > 6  # one too many
+    assert simhash.components(df.limit(0), at_once=10).collect() == []
+
+
 def test_posteriors_of_votes_against_a_plain_loop():
     counts = {"1112112": 40, "0001001": 9, "1121222": 13, "0202020": 5, "2222222": 3}
     prior, good, bad = 0.8, [0.85] * 7, [0.85] * 7
